@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import rules
+from . import rules, urls
 
 QUERIES = {
     "op4_quality_rules": rules.query,
+    "op10_url_trees": urls.query,
 }
 ORACLES = {
     "op4_quality_rules": rules.SQL,
