@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import rules, urls
+from . import digest, rules, urls
 
 QUERIES = {
     "op4_quality_rules": rules.query,
+    "op9_quartile_digest": digest.query,
     "op10_url_trees": urls.query,
 }
 ORACLES = {
