@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import digest, rules, urls
+from . import digest, rules, substrings, urls
 
 QUERIES = {
     "op4_quality_rules": rules.query,
+    "op6_repeated_windows": substrings.query,
     "op9_quartile_digest": digest.query,
     "op10_url_trees": urls.query,
 }
