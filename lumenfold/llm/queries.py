@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import digest, rules, substrings, urls
+from . import digest, rules, simhash, substrings, urls
 
 QUERIES = {
     "op4_quality_rules": rules.query,
     "op6_repeated_windows": substrings.query,
+    "op8_simhash_components": simhash.query,
     "op9_quartile_digest": digest.query,
     "op10_url_trees": urls.query,
 }
