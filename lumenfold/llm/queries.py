@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import digest, rules, simhash, substrings, urls
+from . import digest, lines, rules, simhash, substrings, urls
 
 QUERIES = {
+    "op1_line_quality": lines.query,
     "op4_quality_rules": rules.query,
     "op6_repeated_windows": substrings.query,
     "op8_simhash_components": simhash.query,
