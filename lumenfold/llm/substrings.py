@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, shuffle_width, text_buffers, text_of, window_hashes, word_hashes, word_spans
+from .shared import Scratch, mix64, shuffle_width, text_buffers, text_of, window_hashes, word_hashes, word_spans
 
 WINDOW = 35
 #: Halving stops at this many words or fewer.
@@ -159,40 +159,49 @@ def _offsets(lengths: list[int], k: int) -> list[int]:
     return sorted(at)
 
 
-def _meet(batches):
-    """Of the packed rows of this partition, the positions whose hash is there twice or known to repeat, as lists by document row."""
-    kept = {"hash": [], "flag": [], "rows": [], "pos": []}
-    names, through = ("hash", "flag", "rows", "pos"), []
-    for b in batches:
-        for r in b.to_pylist():
-            if r["hash"]:
-                for n in names:
-                    kept[n].append(r[n])
-            else:
-                through.append((r["rows"], r["pos"]))
+def _meet(parts: int):
+    """Of the packed rows of this partition, the positions whose hash is there twice or known to repeat, packed by where their documents' lists are gathered."""
 
-    def joined(name, kind):
-        return np.frombuffer(b"".join(kept[name]), kind)
-
-    rows, pos = [np.frombuffer(r, np.int64) for r, _ in through], [np.frombuffer(p, np.int32) for _, p in through]
-    if kept["hash"]:
-        h = joined("hash", np.uint64)
+    def run(batches):
+        kept, through = {"hash": [], "flag": [], "rows": [], "pos": []}, {"rows": [], "pos": []}
+        for b in batches:
+            for r in b.to_pylist():
+                into = kept if r["hash"] else through
+                for name, values in into.items():
+                    values.append(r[name])
+        h, flag = (np.frombuffer(b"".join(kept[k]), t) for k, t in (("hash", np.uint64), ("flag", bool)))
         order = np.argsort(h)
         same = np.zeros(len(h) + 1, bool)
         same[1:-1] = h[order][1:] == h[order][:-1]
         mask = np.empty(len(h), bool)
         mask[order] = same[1:] | same[:-1]
-        mask |= joined("flag", bool)
-        # what a block knows to repeat was passed through there
-        mask &= ~joined("flag", bool)
-        rows.append(joined("rows", np.int64)[mask])
-        pos.append(joined("pos", np.int32)[mask])
+        mask &= ~flag  # what a block knows to repeat was passed through there
+        rows = np.concatenate((np.frombuffer(b"".join(through["rows"]), np.int64), np.frombuffer(b"".join(kept["rows"]), np.int64)[mask]))
+        pos = np.concatenate((np.frombuffer(b"".join(through["pos"]), np.int32), np.frombuffer(b"".join(kept["pos"]), np.int32)[mask]))
+        to = (mix64(rows.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        rows, pos, to = rows[order], pos[order], to[order]
+        cut = np.searchsorted(to, np.arange(parts + 1))
+        out = [(k, rows[i:j].tobytes(), pos[i:j].tobytes()) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "rows", "pos"])
+
+    return run
+
+
+def _gather(batches):
+    """One row for each document that has positions, with their list."""
+    rows, pos = [], []
+    for b in batches:
+        for r in b.to_pylist():
+            rows.append(np.frombuffer(r["rows"], np.int64))
+            pos.append(np.frombuffer(r["pos"], np.int32))
     if not rows:
         return
     rows, pos = np.concatenate(rows), np.concatenate(pos)
     order = np.lexsort((pos, rows))
     rows, pos = rows[order], pos[order]
-    lead = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))) if len(rows) else np.zeros(0, np.int64)
+    lead = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
     for a in range(0, len(lead), 5000):
         part = lead[a : a + 5000]
         end = lead[a + 5000] if a + 5000 < len(lead) else len(rows)
@@ -259,11 +268,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
         if found is None:
             dealt = table.select("__row", "text").mapInArrow(_first_level(lengths, n), _CHUNK)
         else:
-            held = found.groupBy("__row").agg(F.flatten(F.collect_list("found")).alias("found")).hint("shuffle_hash")
-            dealt = table.select("__row", "text").join(held, "__row").mapInArrow(_next_level(lengths, k, n), _CHUNK)
-        found = scratch.write(dealt.repartitionById(n, F.col("bucket")).mapInArrow(_meet, "__row long, found array<int>"))
-    held = found.groupBy("__row").agg(F.flatten(F.collect_list("found")).alias("found")).hint("shuffle_hash")
-    out = table.join(held, "__row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<int>")))
+            dealt = table.select("__row", "text").join(found.hint("shuffle_hash"), "__row").mapInArrow(_next_level(lengths, k, n), _CHUNK)
+        met = dealt.repartitionById(n, F.col("bucket")).mapInArrow(_meet(n), "part int, rows binary, pos binary")
+        found = scratch.write(met.repartitionById(n, F.col("part")).mapInArrow(_gather, "__row long, found array<int>"))
+    out = table.join(found.hint("shuffle_hash"), "__row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<int>")))
     return out.withColumn("made", _kept_of(window, texts)("text", "found")).select("doc", "made.n_words", "made.n_removed", "made.kept")
 
 
