@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import digest, lines, rules, simhash, substrings, urls
+from . import digest, grammar, lines, packing, rules, simhash, substrings, urls
 
 QUERIES = {
     "op1_line_quality": lines.query,
     "op4_quality_rules": rules.query,
+    "op5_bin_slack_packing": packing.query,
     "op6_repeated_windows": substrings.query,
+    "op7_repair_ids": grammar.query,
     "op8_simhash_components": simhash.query,
     "op9_quartile_digest": digest.query,
     "op10_url_trees": urls.query,
