@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import digest, grammar, lines, packing, rules, simhash, substrings, urls
+from . import digest, grammar, lines, mixing, packing, rules, shards, simhash, substrings, urls
 
 QUERIES = {
     "op1_line_quality": lines.query,
+    "op2_pfair_mix": mixing.query,
+    "op3_slot_shards": shards.query,
     "op4_quality_rules": rules.query,
     "op5_bin_slack_packing": packing.query,
     "op6_repeated_windows": substrings.query,
