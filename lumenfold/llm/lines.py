@@ -266,5 +266,11 @@ def line_quality(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def only_good(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
+    """docs, all columns, without the rows whose score is under 0.5."""
+    model = train(docs, labels, fit_docs)
+    return docs.where(score_column(model, text_of(docs)) >= 0.5)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return line_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

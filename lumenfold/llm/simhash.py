@@ -368,17 +368,14 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
         seen = mark
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, long_words: int | None = None) -> DataFrame:
-    """Rows of docs (doc_id, text; other columns are ignored) as doc_id, fp (long) and component_id.
-
-    component_id is the least doc_id that links reach (nulls are no candidates for it while any other id is there). A null
-    or empty text has fingerprint zero and links like any other. Repeated rows share a fingerprint, hence a component.
-    Tables without rows give none. Fingerprints are made distinct before the search, so copies cost nothing there.
-    """
+def _grouped(docs: DataFrame, payload, radius: int, shingle: int, long_words: int | None) -> tuple[DataFrame, DataFrame]:
+    """(own, payload, fp) of every row, own being (absent, doc_id, row); and (fp, least), the least own of its component."""
     spark = docs.sparkSession
     scratch, n = Scratch(spark, "simhash"), max(shuffle_width(spark), 2)
-    printed = scratch.write(docs.select("doc_id", fingerprint_column(text_of(docs), shingle, long_words).alias("fp")))
-    classes = scratch.write(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    absent = docs["doc_id"].isNull()  # a null id only stands for a group without any other
+    own = F.struct(absent.alias("absent"), docs["doc_id"].alias("doc_id"), F.monotonically_increasing_id().alias("row"))
+    printed = scratch.write(docs.select(own.alias("own"), *payload, fingerprint_column(text_of(docs), shingle, long_words).alias("fp")))
+    classes = scratch.write(printed.groupBy("fp").agg(F.min("own").alias("least")))
     counts = classes.select("fp").mapInArrow(_bit_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
     both = np.zeros((BITS, BITS))
     for r in counts:
@@ -389,10 +386,33 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, long_wor
     roots = connected(links, scratch)
     # every linked fingerprint with its root; the root itself included
     member = roots.unionByName(roots.select(F.col("root").alias("a"), "root").distinct())
-    least = member.join(classes, F.col("a") == F.col("fp")).groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = member.join(least, "root").select("a", "component_id")
-    named = classes.join(linked, F.col("a") == F.col("fp"), "left").select(F.col("fp").alias("__fp"), F.coalesce("component_id", "least").alias("component_id"))
-    return printed.join(named, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
+    first = member.join(classes, F.col("a") == F.col("fp")).groupBy("root").agg(F.min("least").alias("first"))
+    linked = member.join(first, "root").select("a", "first")
+    named = scratch.write(classes.join(linked, F.col("a") == F.col("fp"), "left").select("fp", F.coalesce("first", "least").alias("least")))
+    return printed, named
+
+
+def one_of_each_group(docs: DataFrame, radius: int = 6, long_words: int | None = 5, shingle: int = 3) -> DataFrame:
+    """docs without near duplicates: of each component the row of the least doc_id stays, one row even where rows repeat.
+
+    By default fingerprints are of a text's distinct words of five bytes or more, which copies with one word in thirty
+    changed (a similarity of 0.8 on shingles of five words) keep within six bits, while unrelated texts differ in about half.
+    """
+    printed, named = _grouped(docs, [F.struct(*[docs[c] for c in docs.columns]).alias("doc")], radius, shingle, long_words)
+    stays = named.select("least.row").distinct()
+    return printed.join(stays.hint("shuffle_hash"), F.col("own.row") == F.col("row"), "left_semi").select("doc.*")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, long_words: int | None = None) -> DataFrame:
+    """Rows of docs (doc_id, text; other columns are ignored) as doc_id, fp (long) and component_id.
+
+    component_id is the least doc_id that links reach (nulls are no candidates for it while any other id is there). A null
+    or empty text has fingerprint zero and links like any other. Repeated rows share a fingerprint, hence a component.
+    Tables without rows give none. Fingerprints are made distinct before the search, so copies cost nothing there.
+    """
+    printed, named = _grouped(docs, [], radius, shingle, long_words)
+    named = named.select(F.col("fp").alias("__fp"), F.col("least.doc_id").alias("component_id"))
+    return printed.join(named, F.col("fp") == F.col("__fp")).select("own.doc_id", "fp", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -242,7 +242,7 @@ def _kept_of(window: int, texts: bool):
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
-    """docs' rows as `doc` (a struct of all their columns, whatever their names) with n_words, n_removed and kept.
+    """docs' rows as `doc` (a struct of all their columns but text, whatever their names) with n_words, n_removed and kept.
 
     kept is the sha256 of the kept words joined by one space or, with texts, the text without the removed words (what is
     left of a changed text between two removals stays as it was; pieces are joined by a newline). Each word in a window of
@@ -255,11 +255,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
     scratch, n = Scratch(spark, "substrings"), max(shuffle_width(spark), 2)
     lengths = levels(window)
     name = f"lumenfold_{uuid.uuid4().hex}"
-    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), text_of(docs).alias("text")) if not texts else docs.select(
-        F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("doc"), text_of(docs).alias("text")
-    )
-    if not texts:
-        base = base.withColumn("doc", F.col("doc").dropFields("text")) if len(docs.columns) > 1 else base
+    base = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("doc"), text_of(docs).alias("text"))
     numbered = base.withColumn("__row", F.monotonically_increasing_id())
     numbered.repartition(n, "__row").write.option("compression", "zstd").option("path", f"{scratch.base}/texts").bucketBy(n, "__row").saveAsTable(name)
     table = spark.table(name)
@@ -275,6 +271,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
     return out.withColumn("made", _kept_of(window, texts)("text", "found")).select("doc", "made.n_words", "made.n_removed", "made.kept")
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs, same rows and columns, with the repeated windows' words taken out of text, and n_chars (if there) its length."""
+    made = remove_repeats(docs, window, texts=True)
+    out = []
+    for f in docs.schema:
+        if f.name == "text":
+            out.append(F.col("kept").alias("text"))
+        elif f.name == "n_chars":
+            out.append(F.length("kept").cast(f.dataType).alias("n_chars"))
+        else:
+            out.append(F.col("doc").getField(f.name).alias(f.name))
+    return made.select(*out)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc.doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
