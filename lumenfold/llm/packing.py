@@ -161,11 +161,11 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END,
 
         make, packer = encoder(vocabulary, spaced), Packer(window, TaskContext.get().partitionId())
         for b in batches:
-            names, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for i, j in text_slices(texts):
-                ids, bound = ended(*make.encode(texts[i:j]), end)
-                for k in range(i, j):
-                    packer.add(names[k], ids[bound[k - i] : bound[k - i + 1]])
+            names = b.column("doc_id").to_pylist()
+            for first, texts in text_slices(b.column("text")):
+                ids, bound = ended(*make.encode(texts), end)
+                for k in range(len(texts)):
+                    packer.add(names[first + k], ids[bound[k] : bound[k + 1]])
                 yield from packer.flush()
         packer.finish()
         yield from packer.flush()

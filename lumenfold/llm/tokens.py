@@ -8,16 +8,30 @@ between words, or a special token's string) is encoded whole, so ids never diffe
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .shared import text_buffers
 
 #: Pieces kept at most; beyond, all are forgotten and learnt anew.
-CACHE = 1_000_000
+CACHE = 600_000
 #: White space in some library's sense other than space and line feed, two of them in a row, and what opens a special token.
 _UNUSUAL = [*"\t\x0b\x0c\r\x1c\x1d\x1e\x1f", "  ", " \n", "\n ", "\n\n", "<|"]
 _UNUSUAL_WIDE = [*"\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff", *map(chr, range(0x2000, 0x200C))]
 
 
+#: ASCII marks that end a word.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+#: First bytes of what may be unusual: a text that has one is looked at more closely.
+_LOOK = np.zeros(256, bool)
+_LOOK[[9, 11, 12, 13, 28, 29, 30, 31, ord("<"), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+
+
 def _simple(text: str) -> bool:
     """Words parted by single spaces or line feeds, with no other white space and no special token's string."""
     if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _UNUSUAL):
@@ -25,10 +39,23 @@ def _simple(text: str) -> bool:
     return text.isascii() or not any(x in text for x in _UNUSUAL_WIDE)
 
 
-def _spaced(text: str) -> list[str]:
-    """Pieces that keep the blank before a word, for pre-tokenizers that attach it; a line feed stands alone."""
-    first, *rest = text.replace("\n", " \n").split(" ")
-    return [first, *[p if p[0] == "\n" else " " + p for p in rest]] if rest else [first]
+def _unusual_rows(col: pa.Array, latin: bool) -> np.ndarray:
+    """Rows that must be encoded whole; with latin, also those with letters beyond U+00FF. Empty texts are among them."""
+    raw, offsets = text_buffers(col)
+    out = np.diff(offsets) == 0
+    if not len(raw):
+        return out
+    gap = (raw == 32) | (raw == 10)
+    twice = np.flatnonzero(gap[1:] & gap[:-1])
+    edges = np.concatenate((offsets[:-1][~out], offsets[1:][~out] - 1))
+    certain = np.concatenate((twice, edges[gap[edges]]))
+    if latin:
+        certain = np.concatenate((certain, np.flatnonzero(raw >= 0xC4)))
+    out[np.unique(np.searchsorted(offsets, certain, "right") - 1)] = True
+    for i in np.unique(np.searchsorted(offsets, np.flatnonzero(_LOOK[raw]), "right") - 1).tolist():
+        if not out[i]:
+            out[i] = not _simple(col[i].as_py())
+    return out
 
 
 class Encoder:
@@ -40,6 +67,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.spaced = spaced
+        self.lowers = self.library.normalizer is not None and self.library.normalizer.normalize_str("AÀ") == "aà"
         vocab = self.library.get_vocab(with_added_tokens=False)
         self.id_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
@@ -68,7 +96,7 @@ class Encoder:
         """ids and counts of pieces encoded as one text; None unless the ids' bytes meet every piece's end."""
         parts = [self._bytes_of(pieces[a : a + 4096]) for a in range(0, len(pieces), 4096)]
         made = self._raw([t for t, _ in parts])
-        ids = np.fromiter((x for r in made for x in r), np.uint32, sum(map(len, made)))
+        ids = np.concatenate([np.array(r, np.uint32) for r in made])
         ends = np.cumsum([n for _, sizes in parts for n in sizes])
         if len(ends) != len(pieces) or (len(ids) and int(ids.max()) >= len(self.id_bytes)):
             return None
@@ -79,7 +107,30 @@ class Encoder:
         return ids, np.diff(at + 1, prepend=0)
 
     def _learn(self, pieces: list[str]) -> None:
-        loose = [p for p in pieces if self.spaced and p[:1] not in (" ", "\n") or not p]
+        """Adds pieces. A pre-token ends between a letter and a mark, so a word and the marks behind it are learnt apart."""
+        parted, words, marks, rest = [], [], [], []
+        for p in pieces:
+            w = p.rstrip(_MARKS)
+            if len(w) < len(p) and w[-1:].isalpha():
+                parted.append(p)
+                words.append(w)
+                marks.append(p[len(w) :])
+            else:
+                rest.append(p)
+        if parted:
+            known = self.index
+            self._encode_new([q for q in dict.fromkeys((*rest, *words, *marks)) if q not in known])
+            word = np.fromiter(map(known.__getitem__, words), np.int64, len(parted))
+            mark = np.fromiter(map(known.__getitem__, marks), np.int64, len(parted))
+            both = np.stack((word, mark), 1).ravel()
+            size, start = self.size[both], self.start[both]
+            ids = self.flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+            self._store(parted, ids, size[0::2] + size[1::2])
+        else:
+            self._encode_new(pieces)
+
+    def _encode_new(self, pieces: list[str]) -> None:
+        loose = [p for p in pieces if not p or self.spaced and p[0] not in " \n"]
         dense = [p for p in pieces if p and not (self.spaced and p[0] not in " \n")] if loose else pieces
         for group, together in ((dense, True), (loose, False)):
             if not group:
@@ -103,39 +154,58 @@ class Encoder:
         self.used = need
         self.index.update(zip(pieces, range(base, rows), strict=True))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        pieces, counts, whole = [], [], {}
-        for i, t in enumerate(texts):
-            if not t:
-                counts.append(0)
-            elif not _simple(t):
-                counts.append(1)
-                pieces.append("")
-                whole[len(pieces) - 1] = i
-            else:
-                part = _spaced(t) if self.spaced else t.split()
-                counts.append(len(part))
-                pieces.extend(part)
+    def _places(self, keys: list[str]) -> np.ndarray:
+        """Indexes of pieces, which are learnt where new."""
+        at = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
+        if len(absent := np.flatnonzero(at < 0)):
+            fresh = [keys[i] for i in absent.tolist()]
+            self._learn(list(dict.fromkeys(fresh)))
+            at[absent] = np.fromiter(map(self.index.__getitem__, fresh), np.int64, len(fresh))
+        return at
+
+    def _pieces(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Each piece's index, and the bounds of each text's pieces."""
+        if self.lowers:
+            col = pc.utf8_lower(col)
+        col = pc.replace_substring(col, "\n", " \n" if self.spaced else " ")
+        lists = pc.split_pattern(col, " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.flatten()
+        coded = pc.dictionary_encode(flat)
+        distinct = coded.dictionary.to_pylist()
+        if not self.spaced:
+            return self._places(distinct)[coded.indices.to_numpy()], bounds - bounds[0]
+        # the blank before a word belongs to it, but for a text's first word
+        at = self._places([p if p[:1] == "\n" else " " + p for p in distinct])[coded.indices.to_numpy()]
+        bounds = bounds - bounds[0]
+        at[bounds[:-1]] = self._places(flat.take(pa.array(bounds[:-1])).to_pylist())
+        return at, bounds
+
+    def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts of a string array without nulls, one after another, and each text's number of them."""
         if len(self.index) > CACHE:
             self._reset()
-        if fresh := list(set(pieces).difference(self.index)):
-            self._learn(fresh)
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        size, start = self.size[at], self.start[at]
-        flat = self.flat
-        if whole:
-            rows = self._raw([texts[i] for i in whole.values()])
-            extra = np.fromiter((x for r in rows for x in r), np.uint32)
-            lens = np.array([len(r) for r in rows], np.int64)
-            where = np.fromiter(whole.keys(), np.int64)
-            size[where] = lens
-            start[where] = self.used + np.cumsum(lens) - lens
-            flat = np.concatenate((flat[: self.used], extra))
-        total = int(size.sum())
-        ids = flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)]
-        per_piece = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
-        bound = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts))).astype(np.int64)
-        return ids, per_piece[bound[1:]] - per_piece[bound[:-1]]
+        whole = _unusual_rows(col, self.lowers)
+        ids, counts = np.zeros(0, np.uint32), np.zeros(len(col), np.int64)
+        plain = np.flatnonzero(~whole)
+        if len(plain):
+            at, bounds = self._pieces(col if len(plain) == len(col) else col.take(pa.array(plain)))
+            size, start = self.size[at], self.start[at]
+            ends = np.cumsum(size)
+            ids = self.flat[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]))]
+            upto = np.concatenate((np.zeros(1, np.int64), ends))
+            counts[plain] = upto[bounds[1:]] - upto[bounds[:-1]]
+        if len(plain) < len(col):
+            rest = np.flatnonzero(whole)
+            rows = self._raw(col.take(pa.array(rest)).to_pylist())
+            counts[rest] = [len(r) for r in rows]
+            ends = np.cumsum(counts)
+            out = np.empty(int(ends[-1]), np.uint32)
+            took = np.repeat(~whole, counts)
+            out[took] = ids
+            out[~took] = [x for r in rows for x in r]
+            ids = out
+        return ids, counts
 
 
 _MADE: dict[tuple[str, bool], Encoder] = {}
@@ -148,11 +218,14 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return _MADE[path, spaced]
 
 
-def text_slices(texts: list[str], limit: int = 4 << 20):
-    """(first, last) of runs of texts with about `limit` characters, at least one text each."""
-    a, n, size = 0, len(texts), 0
-    for i in range(n):
-        size += len(texts[i])
-        if size >= limit or i == n - 1:
-            yield a, i + 1
-            a, size = i + 1, 0
+def text_slices(col: pa.Array, limit: int = 4 << 20):
+    """(first, array) of runs of texts of about `limit` bytes, at least one text each; nulls are empty texts."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    col = pc.fill_null(col.cast(pa.large_string()), "")
+    _, offsets = text_buffers(col)
+    a, n = 0, len(col)
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
+        yield a, pa.concat_arrays([col.slice(a, b - a)])
+        a = b
