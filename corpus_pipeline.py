@@ -13,6 +13,8 @@ from lumenfold.llm import lines, mixing, packing, simhash, substrings
 from lumenfold.llm.shared import Scratch
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Pieces that a worker remembers: few, as workers live on into the next job's stages.
+CACHE = 300_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens."""
-    return packing.pack(docs, public_tokenizers.path(VOCABULARY))
+    return packing.pack(docs, public_tokenizers.path(VOCABULARY), cache=CACHE)
 
 
 STAGES = [

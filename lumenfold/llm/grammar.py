@@ -25,18 +25,21 @@ from .tokens import encoder, text_slices
 MAGIC = b"LFRP0001"
 END = 2
 SHARD_IDS = 1 << 20
-ROUNDS, PAIRS, LEAST = 4, 2048, 8
+ROUNDS, PAIRS, LEAST = 3, 4096, 8
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(base, rules, sequence): symbols below len(base) stand for base ids, the others for a rule's pair."""
-    base, seq = np.unique(ids, return_inverse=True)
-    seq, rules = seq.astype(np.uint32), []
-    symbols = len(base)
+    place = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.uint32)
+    place[ids] = 1
+    base = np.flatnonzero(place)
+    place[base] = np.arange(len(base))
+    seq, rules, symbols = place[ids], [], len(base)
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+        half, kind = (16, np.uint32) if symbols <= 1 << 16 else (32, np.uint64)  # the narrower keys sort faster
+        key = seq[:-1].astype(kind) << kind(half) | seq[1:]
         ordered = np.sort(key)
         head = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         count = np.diff(np.append(head, len(ordered)))
@@ -47,8 +50,9 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: i
             top = top[np.argsort(-count[top], kind="stable")[:pairs]]
         chosen = np.sort(ordered[head[top]])
         left, right = np.zeros(symbols, bool), np.zeros(symbols, bool)
-        left[(chosen >> np.uint64(32)).astype(np.int64)] = True
-        right[(chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+        first, second = (chosen >> kind(half)).astype(np.uint32), (chosen & kind((1 << half) - 1)).astype(np.uint32)
+        left[first] = True
+        right[second] = True
         at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
         rank = np.searchsorted(chosen, key[at])
         hit = chosen[np.minimum(rank, len(chosen) - 1)] == key[at]
@@ -65,7 +69,7 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: i
         at, rank = at[keep], name[rank[keep]]
         if not len(at):
             break
-        rules.append(np.stack(((chosen[worth] >> np.uint64(32)).astype(np.uint32), (chosen[worth] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), 1))
+        rules.append(np.stack((first[worth], second[worth]), 1))
         seq[at] = symbols + rank
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
@@ -152,10 +156,10 @@ def _shards(vocabulary: str, end: int, shard_ids: int):
             return out
 
         for b in batches:
-            names, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for i, j in text_slices(texts):
-                ids, bound = ended(*make.encode(texts[i:j]), end)
-                held.append((names[i:j], ids, bound))
+            names = b.column("doc_id").to_pylist()
+            for at, texts in text_slices(b.column("text")):
+                ids, bound = ended(*make.encode(texts), end)
+                held.append((names[at : at + len(texts)], ids, bound))
                 if sum(len(x) for _, x, _ in held) >= shard_ids:
                     yield close()
         if held:
@@ -172,8 +176,12 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end: int = END, shard
     """
     n = max(shuffle_width(docs.sparkSession), 2)
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    key = ("doc_id", F.length("text"), F.xxhash64("text"))
-    dealt = base.repartitionByRange(n, *key).sortWithinPartitions(*key)
+    # bounds of the ranges from the ids alone, so that texts are read once
+    cuts = base.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("c")).first()["c"] or []
+    cuts = sorted(set(cuts))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
+    part = F.coalesce(part, F.lit(0)).cast("int")
+    dealt = base.repartitionById(n, part).sortWithinPartitions("doc_id", F.length("text"), F.xxhash64("text"))
     dealt.mapInArrow(_shards(vocabulary, end, shard_ids), "part int, shard int, n_ids long, data binary").write.option("compression", "none").parquet(path)
 
 
@@ -192,7 +200,8 @@ def read_ids(spark, path: str) -> DataFrame:
     # one row a partition: its first id's place
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = totals.select(F.col("part").alias("__part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return shards.join(before, F.col("part") == F.col("__part")).select("before", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # bounded: a row for each of the partitions that wrote, whose number is a setting
+    return shards.join(F.broadcast(before), F.col("part") == F.col("__part")).select("before", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

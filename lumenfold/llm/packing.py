@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import text_of
-from .tokens import encoder, text_slices
+from .tokens import CACHE, encoder, text_slices
 
 WINDOW = 1024
 END = 0
@@ -148,18 +148,18 @@ def ended(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np
     return out, bound
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END, spaced: bool = True) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END, spaced: bool = True, cache: int = CACHE) -> DataFrame:
     """Pieces of all rows of docs (doc_id, text; other columns are ignored): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null text is empty: its one id is the end id. Rows of equal doc_id are documents of their own. A null doc_id stays null.
     Tables without rows give no pieces. sequence_id holds the partition in its upper bits; a rerun of a lost task makes the
-    same pieces, for a partition's rows and order are those of its input split.
+    same pieces, for a partition's rows and order are those of its input split. cache bounds the pieces whose ids a worker remembers.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
-        make, packer = encoder(vocabulary, spaced), Packer(window, TaskContext.get().partitionId())
+        make, packer = encoder(vocabulary, spaced, cache), Packer(window, TaskContext.get().partitionId())
         for b in batches:
             names = b.column("doc_id").to_pylist()
             for first, texts in text_slices(b.column("text")):

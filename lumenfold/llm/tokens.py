@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from .shared import text_buffers
 
 #: Pieces kept at most; beyond, all are forgotten and learnt anew.
-CACHE = 600_000
+CACHE = 1_200_000
 #: White space in some library's sense other than space and line feed, two of them in a row, and what opens a special token.
 _UNUSUAL = [*"\t\x0b\x0c\r\x1c\x1d\x1e\x1f", "  ", " \n", "\n ", "\n\n", "<|"]
 _UNUSUAL_WIDE = [*"\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff", *map(chr, range(0x2000, 0x200C))]
@@ -61,12 +61,12 @@ def _unusual_rows(col: pa.Array, latin: bool) -> np.ndarray:
 class Encoder:
     """ids of texts as one array and each text's count of them."""
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.spaced = spaced
+        self.spaced, self.cache = spaced, cache
         self.lowers = self.library.normalizer is not None and self.library.normalizer.normalize_str("AÀ") == "aà"
         vocab = self.library.get_vocab(with_added_tokens=False)
         self.id_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -183,7 +183,7 @@ class Encoder:
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts of a string array without nulls, one after another, and each text's number of them."""
-        if len(self.index) > CACHE:
+        if len(self.index) > self.cache:
             self._reset()
         whole = _unusual_rows(col, self.lowers)
         ids, counts = np.zeros(0, np.uint32), np.zeros(len(col), np.int64)
@@ -208,17 +208,19 @@ class Encoder:
         return ids, counts
 
 
-_MADE: dict[tuple[str, bool], Encoder] = {}
+_MADE: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, cache: int = CACHE) -> Encoder:
     """This process's encoder for a vocabulary file."""
-    if (path, spaced) not in _MADE:
-        _MADE[path, spaced] = Encoder(path, spaced)
-    return _MADE[path, spaced]
+    key = (path, spaced, cache)
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = Encoder(*key)
+    return _MADE[key]
 
 
-def text_slices(col: pa.Array, limit: int = 4 << 20):
+def text_slices(col: pa.Array, limit: int = 8 << 20):
     """(first, array) of runs of texts of about `limit` bytes, at least one text each; nulls are empty texts."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
