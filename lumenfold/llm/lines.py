@@ -21,7 +21,7 @@ from .shared import mix64, text_buffers, text_of, word_hashes, word_spans
 
 FIT_DOCS = 4000
 FIT_LINES = 200
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Byte classes that are counted in a line.
 CLASSES = {
     "symbol": b"#*$%&|<>@~^_=+\\{}[]",

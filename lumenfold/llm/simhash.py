@@ -114,7 +114,7 @@ def fingerprint_column(text, shingle: int = 3, long_words: int | None = None):
         raw, offsets = text_buffers(col)
         out, a, n = [], 0, len(offsets) - 1
         while a < n:
-            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (8 << 20), "right")) - 1)
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (4 << 20), "right")) - 1)
             part, off = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             h, counts = _shingle_hashes(part, off, shingle) if long_words is None else _word_set_hashes(part, off, long_words)
             out.append(majority(h, counts))

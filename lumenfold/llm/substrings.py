@@ -26,7 +26,7 @@ from .shared import Scratch, mix64, shuffle_width, text_buffers, text_of, window
 WINDOW = 35
 #: Halving stops at this many words or fewer.
 SHORTEST = 12
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _CHUNK = "bucket int, hash binary, flag binary, rows binary, pos binary"
 _GAPS = re.compile(rb"[\x20\x09-\x0D]+")
 
