@@ -4,5 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+from . import graph_queries, retrieval_queries
+
+QUERIES: dict[str, Callable] = {**retrieval_queries.Q, **graph_queries.Q}
+ORACLES: dict[str, str] = {**retrieval_queries.SQL, **graph_queries.SQL}
