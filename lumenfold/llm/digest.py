@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, mix64, shuffle_width, text_of
+from .shared import Scratch, mix64, modest_batches, shuffle_width, text_of
 
 BUCKETS = 256
 #: Offsets of the triplets taken in a window of five bytes: the window's last byte with two before it.
@@ -152,6 +152,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     spark = docs.sparkSession
+    modest_batches(spark)
     scratch = Scratch(spark, "digest")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     dealt = base.repartitionByRange(max(shuffle_width(spark), 2), "doc_id", F.length("text"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.length("text"), F.xxhash64("text"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packing import ended
-from .shared import Scratch, shuffle_width, text_of
+from .shared import Scratch, modest_batches, shuffle_width, text_of
 from .tokens import encoder, text_slices
 
 MAGIC = b"LFRP0001"
@@ -174,6 +174,7 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end: int = END, shard
     A null text is empty; each document has its end id. Each range of doc_ids is one partition of shards, (part, shard)
     ascending. A table without rows writes no shard.
     """
+    modest_batches(docs.sparkSession)
     n = max(shuffle_width(docs.sparkSession), 2)
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     # bounds of the ranges from the ids alone, so that texts are read once

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix64, text_buffers, text_of, word_hashes, word_spans
+from .shared import mix64, modest_batches, text_buffers, text_of, word_hashes, word_spans
 
 FIT_DOCS = 4000
 FIT_LINES = 200
@@ -230,6 +230,7 @@ def in_held_out(doc_id):
 
 def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> LineModel:
     """Fits on at most fit_docs labelled ids outside the held-out fold (a label that several rows contradict goes by their mean; nulls are no labels)."""
+    modest_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~in_held_out(F.col("doc_id")))
     ids = known.groupBy("doc_id").agg(F.avg("quality").alias("q")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
     ids = ids.select(F.col("doc_id").alias("__id"), F.col("q"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of
+from .shared import modest_batches, text_of
 from .tokens import CACHE, encoder, text_slices
 
 WINDOW = 1024
@@ -156,6 +156,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END,
     same pieces, for a partition's rows and order are those of its input split. cache bounds the pieces whose ids a worker remembers.
     """
 
+    modest_batches(docs.sparkSession)
+
     def run(batches):
         from pyspark import TaskContext
 

@@ -2,53 +2,27 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch, shared_dir
+
+__all__ = ["Scratch", "shared_dir"]
+
 #: Words are runs of anything but these bytes (space, and tab to carriage return).
 WORD_GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
 
-_own_dirs: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a folder of this process where it is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_dirs:
-        _own_dirs.append(tempfile.mkdtemp(prefix="lumenfold-"))
-        atexit.register(shutil.rmtree, _own_dirs[0], ignore_errors=True)
-    return _own_dirs[0]
+#: Rows in an Arrow batch, unless the session has another than the default: whole texts are long rows.
+BATCH_ROWS = "2500"
 
 
-class Scratch:
-    """Tables written below the shared folder. They cut lineage: a lost executor loses no written part."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/lumenfold/{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
-
-    def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        self.n += 1
-        path = f"{self.base}/t{self.n}"
-        df.write.option("compression", codec).parquet(path)
-        self.last = path
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, path: str) -> None:
-        """Deletes a written table that nothing reads any more, through Hadoop's file system."""
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+def modest_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker and its executor hold of whole texts at a time; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -64,10 +38,6 @@ def ascii_lower(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 # ---------------------------------------------------------------- bytes and words of Arrow text columns
 
 _GAP = np.zeros(256, bool)
@@ -135,7 +105,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         if not len(starts):
             return np.zeros(0, np.uint64)
         out = np.empty(len(starts), np.uint64)
-        step = 1 << 18  # words at a time, so that temporaries stay in cache-sized memory
+        step = 1 << 16  # words at a time, so that temporaries stay in cache-sized memory
         for a in range(0, len(starts), step):
             s, e = starts[a : a + step], ends[a : a + step]
             lo, hi = int(s[0]), int(e[-1])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, mix64, shuffle_width, text_buffers, text_of, word_hashes, word_spans
+from .shared import Scratch, mix64, modest_batches, shuffle_width, text_buffers, text_of, word_hashes, word_spans
 
 BITS = 64
 SEED = 42
@@ -371,6 +371,7 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def _grouped(docs: DataFrame, payload, radius: int, shingle: int, long_words: int | None) -> tuple[DataFrame, DataFrame]:
     """(own, payload, fp) of every row, own being (absent, doc_id, row); and (fp, least), the least own of its component."""
     spark = docs.sparkSession
+    modest_batches(spark)
     scratch, n = Scratch(spark, "simhash"), max(shuffle_width(spark), 2)
     absent = docs["doc_id"].isNull()  # a null id only stands for a group without any other
     own = F.struct(absent.alias("absent"), docs["doc_id"].alias("doc_id"), F.monotonically_increasing_id().alias("row"))

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, mix64, shuffle_width, text_buffers, text_of, window_hashes, word_hashes, word_spans
+from .shared import Scratch, mix64, modest_batches, shuffle_width, text_buffers, text_of, window_hashes, word_hashes, word_spans
 
 WINDOW = 35
 #: Halving stops at this many words or fewer.
 SHORTEST = 12
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _CHUNK = "bucket int, hash binary, flag binary, rows binary, pos binary"
 _GAPS = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -252,6 +252,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
     moving them again.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     scratch, n = Scratch(spark, "substrings"), max(shuffle_width(spark), 2)
     lengths = levels(window)
     name = f"lumenfold_{uuid.uuid4().hex}"
