@@ -348,17 +348,18 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, root) for every node of edges (a, b): alternating large and small stars until no edge moves.
 
     Each step is a grouped minimum and a join back on the node; tables are written between steps. A node of many links is
-    a grouped minimum of many rows, pre-aggregated before the exchange.
+    a grouped minimum of many rows, pre-aggregated before the exchange; minima are written before they are joined, so that the join is
+    of two plain exchanges, whose large partitions the engine splits.
     """
     ordered = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     current, seen = scratch.write(ordered(edges)), None
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).select(F.col("a").alias("u"), "m")
+        low = scratch.write(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).select(F.col("a").alias("u"), "m"))
         large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # a node that is the least of all its neighbours keeps them
-        large = ordered(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+        large = scratch.write(ordered(large))
+        low = scratch.write(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"))
         small = large.join(low, F.col("a") == F.col("u"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         current = scratch.write(ordered(small))

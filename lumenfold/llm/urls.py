@@ -52,9 +52,8 @@ def rule_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """
     labels = urls.select("__row", F.split("host", r"\.").alias("l"), F.split("path", "/").alias("p"))
     tails = labels.select("__row", "p", F.explode(F.transform(F.sequence(F.lit(1), F.size("l")), lambda i: F.array_join(F.slice("l", i, F.size("l")), "."))).alias("at"))
-    keys = tails.where(F.size("p") > 1).select(
-        "__row", F.concat("at", F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.concat(F.array_join(F.slice("p", 1, i), "/"), F.lit("/"))))).alias("rule")
-    )
+    folders = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.concat(F.array_join(F.slice("p", 1, i), "/"), F.lit("/")))
+    keys = tails.where(F.size("p") > 1).select("__row", "at", F.explode(folders).alias("folder")).select("__row", F.concat("at", "folder").alias("rule"))
     hit = keys.join(rules.select("rule").distinct(), "rule")
     return hit.groupBy("__row").agg(F.max_by("rule", F.struct(F.length("rule"), "rule")).alias("rule"))
 
