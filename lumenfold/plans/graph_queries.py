@@ -399,3 +399,31 @@ def relation_triples(spark, sf):
 @query("hetero_index", cte(GRAPH) + 'SELECT node_id, node_type, row_number() OVER (PARTITION BY node_type ORDER BY node_id) - 1 AS "index" FROM nodes')
 def hetero_index(spark, sf):
     return mining.typed_index(P.graph(spark, sf)[0])
+
+
+# ------------------------------------------------------------------------------------------------ systems and small functions
+
+
+@query("system_metrics")
+def system_metrics(spark, sf):
+    """Three systems over vectors as nodes, gold by label, macro means of all metrics."""
+    from . import systems
+
+    e = P.table(spark, sf, "embeddings")
+    v = P.vectors(e)
+    nodes = v.select("node_id", "paper_id", "node_type", F.concat(F.lit("vector "), "node_id").alias("text"), F.when(F.col("node_type") == "Figure", F.concat("node_id", F.lit(".png"))).alias("image_path"))
+    w = Window.partitionBy("paper_id").orderBy("ord")
+    edges = v.select(F.col("node_id").alias("src"), F.lead("node_id").over(w).alias("dst"), F.lit("next_sentence").alias("relation"), F.lit(1.0).alias("confidence")).where("dst IS NOT NULL")
+    written = Scratch(spark, "systems")
+    nodes, edges = written.write(nodes), written.write(edges)
+    asked = P.vector_queries(e).withColumn("query", F.lit("vector"))
+    gold = asked.select("query_id", "label").join(v.select("node_id", "label"), "label").select("query_id", "node_id")
+    chosen = {k: systems.SYSTEMS[k] for k in ("dense", "one_hop", "ec_bfr")}
+    return systems.benchmark(chosen, asked, gold, nodes, edges, v)
+
+
+@query("point_ids", "SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][('0x' || substr(h, 17, 1))::INTEGER % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(doc_id::VARCHAR)) AS h FROM documents)")
+def point_ids(spark, sf):
+    from ..functions.text import uuid5_of
+
+    return P.table(spark, sf, "documents").select("doc_id", uuid5_of(F.col("doc_id").cast("string")).alias("point_id"))
