@@ -14,7 +14,7 @@ from lumenfold.llm.shared import Scratch
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a worker remembers: few, as workers live on into the next job's stages.
-CACHE = 300_000
+CACHE = 600_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

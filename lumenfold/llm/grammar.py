@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .packing import ended
 from .shared import Scratch, modest_batches, shuffle_width, text_of
-from .tokens import encoder, text_slices
+from .tokens import encoder, gathered, text_slices
 
 MAGIC = b"LFRP0001"
 END = 2
@@ -155,7 +155,7 @@ def _shards(vocabulary: str, end: int, shard_ids: int):
             shard, first, held = shard + 1, first + len(ids), []
             return out
 
-        for b in batches:
+        for b in gathered(batches):
             names = b.column("doc_id").to_pylist()
             for at, texts in text_slices(b.column("text")):
                 ids, bound = ended(*make.encode(texts), end)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import modest_batches, text_of
-from .tokens import CACHE, encoder, text_slices
+from .tokens import CACHE, encoder, gathered, text_slices
 
 WINDOW = 1024
 END = 0
@@ -162,7 +162,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END,
         from pyspark import TaskContext
 
         make, packer = encoder(vocabulary, spaced, cache), Packer(window, TaskContext.get().partitionId())
-        for b in batches:
+        for b in gathered(batches):
             names = b.column("doc_id").to_pylist()
             for first, texts in text_slices(b.column("text")):
                 ids, bound = ended(*make.encode(texts), end)

@@ -8,7 +8,6 @@ between words, or a special token's string) is encoded whole, so ids never diffe
 from __future__ import annotations
 
 import os
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -75,11 +74,12 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
         self.used = 0
+        self.marks: dict[str, int] = {}
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -106,43 +106,28 @@ class Encoder:
             return None
         return ids, np.diff(at + 1, prepend=0)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Adds pieces. A pre-token ends between a letter and a mark, so a word and the marks behind it are learnt apart."""
-        parted, words, marks, rest = [], [], [], []
-        for p in pieces:
-            w = p.rstrip(_MARKS)
-            if len(w) < len(p) and w[-1:].isalpha():
-                parted.append(p)
-                words.append(w)
-                marks.append(p[len(w) :])
-            else:
-                rest.append(p)
-        if parted:
-            known = self.index
-            self._encode_new([q for q in dict.fromkeys((*rest, *words, *marks)) if q not in known])
-            word = np.fromiter(map(known.__getitem__, words), np.int64, len(parted))
-            mark = np.fromiter(map(known.__getitem__, marks), np.int64, len(parted))
-            both = np.stack((word, mark), 1).ravel()
-            size, start = self.size[both], self.start[both]
-            ids = self.flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-            self._store(parted, ids, size[0::2] + size[1::2])
-        else:
-            self._encode_new(pieces)
-
-    def _encode_new(self, pieces: list[str]) -> None:
-        loose = [p for p in pieces if not p or self.spaced and p[0] not in " \n"]
-        dense = [p for p in pieces if p and not (self.spaced and p[0] not in " \n")] if loose else pieces
-        for group, together in ((dense, True), (loose, False)):
-            if not group:
-                continue
-            got = self._joined(group) if together else None
-            if got is None:
-                rows = self._raw(group)
-                got = np.fromiter((x for r in rows for x in r), np.uint32, sum(map(len, rows))), np.array([len(r) for r in rows], np.int64)
-            self._store(group, *got)
-
-    def _store(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        base = len(self.index)
+    def _encode_new(self, pieces: pa.Array) -> int:
+        """Encodes and stores pieces; gives the index of the first."""
+        base, texts = len(self.known), pieces.to_pylist()
+        got = self._joined(texts) if not self.spaced or all(p[:1] in (" ", "\n") for p in texts) else None
+        if got is None:
+            rows = self._raw(texts)
+            got = np.fromiter((x for r in rows for x in r), np.uint32, sum(map(len, rows))), np.array([len(r) for r in rows], np.int64)
+        self._store(pieces, *got)
+        return base
+
+    def _mark_places(self, marks: list[str]) -> np.ndarray:
+        """Indexes of runs of marks behind words: few kinds, each encoded once."""
+        if fresh := [m for m in dict.fromkeys(marks) if m not in self.marks]:
+            base = len(self.known)
+            rows = self._raw(fresh)
+            # stored under a name that no piece has (a blank within), as they are pieces only behind a word
+            self._store(pa.array([f"mark {m}" for m in fresh], pa.large_string()), np.array([x for r in rows for x in r], np.uint32), np.array([len(r) for r in rows], np.int64))
+            self.marks.update(zip(fresh, range(base, base + len(fresh)), strict=True))
+        return np.fromiter(map(self.marks.__getitem__, marks), np.int64, len(marks))
+
+    def _store(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        base = len(self.known)
         need, rows = self.used + len(ids), base + len(pieces)
         while need > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
@@ -152,15 +137,37 @@ class Encoder:
         self.size[base:rows] = sizes
         self.start[base:rows] = self.used + np.cumsum(sizes) - sizes
         self.used = need
-        self.index.update(zip(pieces, range(base, rows), strict=True))
-
-    def _places(self, keys: list[str]) -> np.ndarray:
-        """Indexes of pieces, which are learnt where new."""
-        at = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
-        if len(absent := np.flatnonzero(at < 0)):
-            fresh = [keys[i] for i in absent.tolist()]
-            self._learn(list(dict.fromkeys(fresh)))
-            at[absent] = np.fromiter(map(self.index.__getitem__, fresh), np.int64, len(fresh))
+        self.known = pa.concat_arrays([self.known, pieces])
+
+    def _places(self, keys: pa.Array) -> np.ndarray:
+        """Indexes of distinct pieces; new ones are learnt.
+
+        A pre-token ends between a letter and a mark, so a word and the marks behind it are learnt apart.
+        """
+        words = pc.utf8_rtrim(keys, characters=_MARKS)
+        both = pc.fill_null(pc.index_in(pa.concat_arrays([keys, words]), value_set=self.known), -1).to_numpy().astype(np.int64)
+        at, of_word = both[: len(keys)], both[len(keys) :]
+        absent = np.flatnonzero(at < 0)
+        if not len(absent):
+            return at
+        keys, words, of_word = keys.take(pa.array(absent)), words.take(pa.array(absent)), of_word[absent]
+        marked = pc.less(pc.binary_length(words), pc.binary_length(keys)).to_numpy(zero_copy_only=False) & pc.match_substring_regex(words, r"\pL$").to_numpy(zero_copy_only=False)
+        rest = keys.filter(pa.array(~marked))
+        fresh = pc.unique(pa.concat_arrays([rest, words.filter(pa.array(marked & (of_word < 0)))]))
+        base = self._encode_new(fresh) if len(fresh) else len(self.known)
+        place = np.empty(len(absent), np.int64)
+        place[~marked] = base + pc.index_in(rest, value_set=fresh).to_numpy()
+        if marked.any():
+            parted, word = keys.filter(pa.array(marked)), words.filter(pa.array(marked))
+            here = pc.fill_null(pc.index_in(word, value_set=fresh), -1).to_numpy() if len(fresh) else np.full(len(word), -1)
+            w = np.where(here >= 0, base + here, of_word[marked])
+            m = self._mark_places([k[len(x) :] for k, x in zip(parted.to_pylist(), word.to_pylist(), strict=True)])
+            two = np.stack((w, m), 1).ravel()
+            size, start = self.size[two], self.start[two]
+            ids = self.flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+            place[marked] = len(self.known) + np.arange(len(parted))
+            self._store(parted, ids, size[0::2] + size[1::2])
+        at[absent] = place
         return at
 
     def _pieces(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -172,18 +179,20 @@ class Encoder:
         bounds = lists.offsets.to_numpy().astype(np.int64)
         flat = lists.flatten()
         coded = pc.dictionary_encode(flat)
-        distinct = coded.dictionary.to_pylist()
+        distinct, which = coded.dictionary, coded.indices.to_numpy()
+        bounds = bounds - bounds[0]
         if not self.spaced:
-            return self._places(distinct)[coded.indices.to_numpy()], bounds - bounds[0]
+            return self._places(distinct)[which], bounds
         # the blank before a word belongs to it, but for a text's first word
-        at = self._places([p if p[:1] == "\n" else " " + p for p in distinct])[coded.indices.to_numpy()]
-        bounds = bounds - bounds[0]
-        at[bounds[:-1]] = self._places(flat.take(pa.array(bounds[:-1])).to_pylist())
+        blank = pc.if_else(pc.starts_with(distinct, "\n"), distinct, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), distinct, pa.scalar(" ", pa.large_string())))
+        first = pc.dictionary_encode(flat.take(pa.array(bounds[:-1])))
+        at = self._places(blank)[which]
+        at[bounds[:-1]] = self._places(first.dictionary)[first.indices.to_numpy()]
         return at, bounds
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts of a string array without nulls, one after another, and each text's number of them."""
-        if len(self.index) > self.cache:
+        if len(self.known) > self.cache:
             self._reset()
         whole = _unusual_rows(col, self.lowers)
         ids, counts = np.zeros(0, np.uint32), np.zeros(len(col), np.int64)
@@ -220,7 +229,7 @@ def encoder(path: str, spaced: bool, cache: int = CACHE) -> Encoder:
     return _MADE[key]
 
 
-def text_slices(col: pa.Array, limit: int = 8 << 20):
+def text_slices(col: pa.Array, limit: int = 10 << 20):
     """(first, array) of runs of texts of about `limit` bytes, at least one text each; nulls are empty texts."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
@@ -231,3 +240,17 @@ def text_slices(col: pa.Array, limit: int = 8 << 20):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
         yield a, pa.concat_arrays([col.slice(a, b - a)])
         a = b
+
+
+def gathered(batches, limit: int = 10 << 20):
+    """Record batches joined until they hold about `limit` bytes: the more texts at a time, the fewer pieces are looked up. Memory of the last goes back before the next."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+            pa.default_memory_pool().release_unused()
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
