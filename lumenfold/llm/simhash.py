@@ -26,7 +26,7 @@ SEED = 42
 #: A bucket of more fingerprints than this is split once more by exact pigeonhole over all bits.
 WIDE = 20_000
 #: Costs by which the programme weighs one emitted key against one candidate pair.
-KEY_COST, PAIR_COST = 60.0, 1.0
+KEY_COST, PAIR_COST = 60.0, 5.0
 _CHUNK = "bucket int, keys binary, fps binary"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -169,15 +169,16 @@ def plan_partitions(n: int, ones: np.ndarray, both: np.ndarray, radius: int) ->
         def cost(g, t):
             if t < 0:
                 return 0.0
-            keys = 1 if t == 0 else sum(comb(len(g), i) for i in range(t // 2 + 1)) + sum(comb(len(g), i) for i in range(t - t // 2 + 1))
-            return KEY_COST * n * keys + PAIR_COST * 0.5 * n * n * _agreement(p[list(g)], t)
+            # both sides give their variants within half the threshold, rounded up, so an odd one costs as the even one above
+            half = (t + 1) // 2
+            return KEY_COST * n * sum(comb(len(g), i) for i in range(half + 1)) + PAIR_COST * 0.5 * n * n * _agreement(p[list(g)], 2 * half)
 
         total = radius - m + 1
         table = {0: (0.0, [])}  # threshold sum so far, each counted from -1
         for g in groups:
             nxt: dict = {}
             for s, (c, ts) in table.items():
-                for t in range(-1, min(total + m, 4)):
+                for t in range(-1, min(total + m, 5)):
                     if (s2 := s + t + 1) <= total + m and ((v := c + cost(g, t)) < nxt.get(s2, (float("inf"),))[0]):
                         nxt[s2] = (v, [*ts, t])
             table = nxt
@@ -198,11 +199,9 @@ def keys_of(fps: np.ndarray, parts: list[Part]):
             if part.threshold < 0:
                 continue
             mask = np.uint64(sum(1 << b for b in part.bits))
-            kinds = {part.threshold // 2, part.threshold - part.threshold // 2}
-            for radius in kinds:
-                for flip in _masks(part.bits, radius) if radius == max(kinds) else ():
-                    keys.append((mix64(((fps ^ flip) & mask) + np.uint64(k + 1) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.uint32))
-                    who.append(fps)
+            for flip in _masks(part.bits, (part.threshold + 1) // 2):
+                keys.append((mix64(((fps ^ flip) & mask) + np.uint64(k + 1) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.uint32))
+                who.append(fps)
     return (np.concatenate(keys), np.concatenate(who)) if keys else (np.zeros(0, np.uint32), np.zeros(0, np.uint64))
 
 
@@ -394,11 +393,11 @@ def _grouped(docs: DataFrame, payload, radius: int, shingle: int, long_words: in
     return printed, named
 
 
-def one_of_each_group(docs: DataFrame, radius: int = 6, long_words: int | None = 5, shingle: int = 3) -> DataFrame:
+def one_of_each_group(docs: DataFrame, radius: int = 8, long_words: int | None = 5, shingle: int = 3) -> DataFrame:
     """docs without near duplicates: of each component the row of the least doc_id stays, one row even where rows repeat.
 
     By default fingerprints are of a text's distinct words of five bytes or more, which copies with one word in thirty
-    changed (a similarity of 0.8 on shingles of five words) keep within six bits, while unrelated texts differ in about half.
+    changed (a similarity of 0.8 on shingles of five words) keep within eight bits, while unrelated texts differ in about half.
     """
     printed, named = _grouped(docs, [F.struct(*[docs[c] for c in docs.columns]).alias("doc")], radius, shingle, long_words)
     stays = named.select("least.row").distinct()
