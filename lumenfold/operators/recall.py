@@ -28,20 +28,26 @@ def searchable(nodes: DataFrame) -> DataFrame:
 
 
 def scoped(queries: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(queries with scope, members (scope, node_id, ...)): each distinct pair of filters is one scope."""
+    """(queries with scope, members (scope, node_id, ...)): each distinct pair of filters is one scope.
+
+    Queries without filter columns share one scope, which is all nodes: then nothing is joined.
+    """
+    if not {"paper_ids", "candidate_node_ids"} & set(queries.columns):
+        everything = F.lit("")
+        return queries.withColumn("scope", everything), nodes.withColumn("scope", everything)
     none = F.array().cast("array<string>")
     lists = [F.array_sort(F.array_distinct(F.coalesce(F.col(c).cast("array<string>"), none))) if c in queries.columns else none for c in ("paper_ids", "candidate_node_ids")]
     q = queries.withColumns({"__papers": lists[0], "__cands": lists[1]}).withColumn("scope", F.sha1(F.to_json(F.struct("__papers", "__cands"))))
     scopes = q.select("scope", "__papers", "__cands").distinct()
-    free = scopes.where((F.size("__papers") == 0) & (F.size("__cands") == 0)).select("scope")
-    by_paper = scopes.where((F.size("__papers") > 0) & (F.size("__cands") == 0)).select("scope", F.explode("__papers").alias("__key"))
+    # one join by paper (a scope without filters takes part as every paper's), one by node
     by_node = scopes.where(F.size("__cands") > 0).select("scope", "__papers", F.explode("__cands").alias("__key"))
     fits = (F.size("__papers") == 0) | F.array_contains("__papers", F.col("paper_id"))
-    members = (
-        nodes.join(by_paper, F.col("paper_id") == F.col("__key")).drop("__key")
-        .unionByName(nodes.join(by_node, F.col("node_id") == F.col("__key")).where(fits).drop("__key", "__papers"))
-        .unionByName(nodes.join(free, how="cross"))  # at most one scope is free
-    )
+    named = scopes.where((F.size("__papers") > 0) & (F.size("__cands") == 0)).select("scope", F.explode("__papers").alias("__key"))
+    free = scopes.where((F.size("__papers") == 0) & (F.size("__cands") == 0)).select("scope")
+    by_paper = named.unionByName(free.crossJoin(nodes.select(F.col("paper_id").alias("__key")).distinct()))  # at most one scope is free
+    members = nodes.join(by_paper, F.col("paper_id") == F.col("__key")).drop("__key")
+    if "candidate_node_ids" in queries.columns:
+        members = members.unionByName(nodes.join(by_node, F.col("node_id") == F.col("__key")).where(fits).drop("__key", "__papers"))
     return q.drop("__papers", "__cands"), members
 
 

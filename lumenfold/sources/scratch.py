@@ -24,7 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables below the shared folder. They cut lineage: a lost executor loses no written part."""
+    """Tables below the shared folder. They cut lineage: a lost executor loses no written part.
+
+    They stay for the application's life, as results may read them at any time, and go when it ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/lumenfold/{name}-{uuid.uuid4().hex[:12]}", 0
@@ -33,4 +36,7 @@ class Scratch:
         self.n += 1
         path = f"{self.base}/t{self.n}"
         df.write.option("compression", codec).parquet(path)
+        if self.n == 1:
+            base = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+            base.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(base)
         return self.spark.read.schema(df.schema).parquet(path)
