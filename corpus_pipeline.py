@@ -19,7 +19,8 @@ CACHE = 600_000
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier calls good; it learns from the labels outside the held-out fold."""
-    return lines.only_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return lines.only_good(docs, labels, taught_by=documents)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

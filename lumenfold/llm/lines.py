@@ -267,9 +267,9 @@ def line_quality(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def only_good(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """docs, all columns, without the rows whose score is under 0.5."""
-    model = train(docs, labels, fit_docs)
+def only_good(docs: DataFrame, labels: DataFrame, taught_by: DataFrame | None = None, fit_docs: int = FIT_DOCS) -> DataFrame:
+    """docs, all columns, without the rows whose score is under 0.5; the labels are of taught_by, or of docs."""
+    model = train(docs if taught_by is None else taught_by, labels, fit_docs)
     return docs.where(score_column(model, text_of(docs)) >= 0.5)
 
 

@@ -89,7 +89,7 @@ def mixed(docs: DataFrame, weights: dict | None = None, temper: float = 0.5, blo
     spark = docs.sparkSession
     buckets = 4 * max(shuffle_width(spark), 2)
     keyed = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"),
         docs["source"].cast("string").alias("s"),
         docs["doc_id"].alias("i"),
         F.pmod(F.xxhash64(docs["doc_id"]), F.lit(buckets)).alias("b"),

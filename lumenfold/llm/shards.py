@@ -55,7 +55,7 @@ def placed(docs: DataFrame, key: str = "doc_id", shards=SHARDS, slots: int = SLO
     """
     names = list(shards)
     table = pa.table({"table_slot": pa.array(range(slots), pa.int64()), "shard": pa.array([names[i] for i in lookup_table(names, slots)])})
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), slot_of(docs[key], slots).alias("slot"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), slot_of(docs[key], slots).alias("slot"))
     # bounded: the table has `slots` rows
     return rows.join(F.broadcast(docs.sparkSession.createDataFrame(table)), F.col("slot") == F.col("table_slot")).select("doc", "slot", "shard")
 

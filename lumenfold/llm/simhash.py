@@ -399,7 +399,7 @@ def one_of_each_group(docs: DataFrame, radius: int = 8, long_words: int | None =
     By default fingerprints are of a text's distinct words of five bytes or more, which copies with one word in thirty
     changed (a similarity of 0.8 on shingles of five words) keep within eight bits, while unrelated texts differ in about half.
     """
-    printed, named = _grouped(docs, [F.struct(*[docs[c] for c in docs.columns]).alias("doc")], radius, shingle, long_words)
+    printed, named = _grouped(docs, [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")], radius, shingle, long_words)
     stays = named.select("least.row").distinct()
     return printed.join(stays.hint("shuffle_hash"), F.col("own.row") == F.col("row"), "left_semi").select("doc.*")
 

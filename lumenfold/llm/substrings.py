@@ -12,6 +12,8 @@ and every level must agree.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import hashlib
 import re
 import uuid
@@ -241,6 +243,16 @@ def _kept_of(window: int, texts: bool):
     return F.arrow_udf(run, "n_words long, n_removed long, kept string")
 
 
+def _drop_at_exit(spark, name: str) -> None:
+    """The bucketed table's name goes with the application, as its files do."""
+
+    def drop():
+        with contextlib.suppress(Exception):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    atexit.register(drop)
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
     """docs' rows as `doc` (a struct of all their columns but text, whatever their names) with n_words, n_removed and kept.
 
@@ -256,9 +268,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
     scratch, n = Scratch(spark, "substrings"), max(shuffle_width(spark), 2)
     lengths = levels(window)
     name = f"lumenfold_{uuid.uuid4().hex}"
-    base = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("doc"), text_of(docs).alias("text"))
+    base = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("doc"), text_of(docs).alias("text"))
     numbered = base.withColumn("__row", F.monotonically_increasing_id())
     numbered.repartition(n, "__row").write.option("compression", "zstd").option("path", f"{scratch.base}/texts").bucketBy(n, "__row").saveAsTable(name)
+    _drop_at_exit(spark, name)
     table = spark.table(name)
     found = None
     for k in range(len(lengths)):

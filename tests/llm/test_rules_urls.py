@@ -97,3 +97,14 @@ def test_real_pages(spark, data):
     out = urls.query(spark, data)
     for r, p in zip(out.orderBy("page_id").collect(), spark.read.parquet(f"{data}/pages.parquet").orderBy("page_id").collect()):
         assert (r.host, r.path, r.rule) == expected(p.url)
+
+
+def test_rules_equal_their_sql(spark, data):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data}/documents.parquet')")
+    df = rules.query(spark, data)
+    want = c.sql(rules.SQL)
+    assert df.columns == want.columns
+    assert sorted(map(tuple, df.collect())) == sorted(want.fetchall())

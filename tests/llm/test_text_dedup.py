@@ -169,3 +169,11 @@ def test_digest_of_one_and_no_document(spark, none):
     one = digest.fingerprints(spark.createDataFrame([(7, "only one here")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     assert digest.fingerprints(none).count() == 0
+
+
+def test_dotted_column_names(spark):
+    from lumenfold.llm import mixing, shards
+
+    docs = spark.createDataFrame([(1, "a b", "s", 2), (2, "c", "s", 3)], "doc_id long, text string, source string, `odd.name` int")
+    for out in (substrings.without_repeats(docs), simhash.one_of_each_group(docs), mixing.in_mixed_order(docs), shards.placed(docs).select("doc.*")):
+        assert out.columns == docs.columns and out.count() == 2
