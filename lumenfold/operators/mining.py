@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import range_place
 from ..functions.text import dot
 
 #: Relations that triples are drawn from.
@@ -51,8 +52,7 @@ def typed_index(nodes: DataFrame) -> DataFrame:
     least = nodes.groupBy(F.pmod(F.xxhash64("node_id"), F.lit(n)).alias("h")).agg(F.max_by("node_id", F.sha1("node_id")).alias("i"))
     bounds = sorted(r["i"] for r in least.collect())
     ranged = nodes.select("node_id", "node_type")
-    cell = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("node_id"))) if bounds else F.lit(0)
-    ranged = ranged.withColumn("cell", cell)
+    ranged = ranged.withColumn("cell", range_place(F.col("node_id"), bounds))
     counts = ranged.groupBy("node_type", "cell").count()
     before = counts.select("node_type", "cell", (F.sum("count").over(Window.partitionBy("node_type").orderBy("cell")) - F.col("count")).alias("before"))
     place = F.row_number().over(Window.partitionBy("node_type", "cell").orderBy("node_id")) - 1

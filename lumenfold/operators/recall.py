@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dot, l2_normalized, tokens
+from ..sources.scratch import Scratch
 
 #: Node types that are searched, in the order in which ties between types are broken.
 TYPES = ("Sentence", "Figure", "Table", "Caption", "ChartData")
@@ -61,15 +62,17 @@ def best_per_type(scored: DataFrame, k: int, *ties: Column) -> DataFrame:
 
 def bm25(queries: DataFrame, nodes: DataFrame, k: int = 25, types=TYPES, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """queries (query_id, query, ...) x nodes (node_id, paper_id, node_type, text, ...) -> query_id, node_id, paper_id, node_type, score, pos."""
+    scratch = Scratch(nodes.sparkSession, "bm25")
     text = searchable(nodes).where(F.col("node_type").isin(list(types)) & (F.trim("searchable_text") != ""))
-    docs = text.select("node_id", "paper_id", "node_type", tokens(F.col("searchable_text")).alias("words")).withColumn("len", F.size("words"))
+    # the index: texts are split and tokenised once, for all queries; statistics read its lengths alone
+    docs = scratch.write(text.select("node_id", "paper_id", "node_type", tokens(F.col("searchable_text")).alias("words")).withColumn("len", F.size("words")))
     q, members = scoped(queries, docs)
     terms = q.select("query_id", "scope", F.explode(tokens(F.coalesce("query", F.lit("")))).alias("term")).groupBy("query_id", "scope", "term").agg(F.count("*").alias("qtf"))
     asked = terms.select("scope", "term").distinct()
     stats = members.groupBy("scope", "node_type").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     # only terms that some query of the scope asks for become postings
     words = members.select("scope", "node_id", "paper_id", "node_type", "len", F.explode("words").alias("term")).join(asked, ["scope", "term"])
-    postings = words.groupBy("scope", "node_type", "term", "node_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.first("paper_id").alias("paper_id"))
+    postings = scratch.write(words.groupBy("scope", "node_type", "term", "node_id", "paper_id", "len").agg(F.count("*").alias("tf")))
     df = postings.groupBy("scope", "node_type", "term").agg(F.count("*").alias("df"))
     idf = df.join(stats, ["scope", "node_type"]).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest("avg_len", F.lit(1.0))))

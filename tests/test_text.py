@@ -70,3 +70,16 @@ def test_models(spark):
     assert [r.n for r in got.collect()] == [1.0, 1.0]
     cut = df.select(F.array(F.lit(3.0), F.lit(4.0), F.lit(5.0)).alias("v")).select(models.truncated(F.col("v"), 2).alias("v")).first()
     assert list(cut.v) == pytest.approx([0.6, 0.8])
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 256, 257, 1000])
+def test_range_place(spark, n):
+    from bisect import bisect_left
+
+    from lumenfold.functions.ranges import range_place
+
+    bounds = [3 * i for i in range(n)]
+    xs = [-1, 0, 1, 3, 5, 3 * n // 2, 3 * n - 4, 3 * n - 3, 3 * n, 10**6, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x long")
+    got = [r.p for r in df.select("i", range_place(F.col("x"), bounds).alias("p")).orderBy("i").collect()]
+    assert got == [0 if x is None else bisect_left(bounds, x) for x in xs]
