@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import range_place
 from .packing import ended
 from .shared import Scratch, modest_batches, shuffle_width, text_of
 from .tokens import encoder, gathered, text_slices
@@ -179,9 +180,7 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end: int = END, shard
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     # bounds of the ranges from the ids alone, so that texts are read once
     cuts = base.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    part = F.coalesce(part, F.lit(0)).cast("int")
+    part = range_place(F.col("doc_id"), sorted(set(cuts))).cast("int")
     dealt = base.repartitionById(n, part).sortWithinPartitions("doc_id", F.length("text"), F.xxhash64("text"))
     dealt.mapInArrow(_shards(vocabulary, end, shard_ids), "part int, shard int, n_ids long, data binary").write.option("compression", "none").parquet(path)
 
