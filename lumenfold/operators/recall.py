@@ -77,6 +77,8 @@ def bm25(queries: DataFrame, nodes: DataFrame, k: int = 25, types=TYPES, k1: flo
     idf = df.join(stats, ["scope", "node_type"]).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest("avg_len", F.lit(1.0))))
     parts = postings.join(idf, ["scope", "node_type", "term"]).select("scope", "node_type", "term", "node_id", "paper_id", weight.alias("w"))
+    # a node's postings together: its scores for all queries are summed in place, and only each part's best rows move on
+    parts = parts.repartition("node_id")
     scored = terms.join(parts, ["scope", "term"]).groupBy("query_id", "node_id", "paper_id", "node_type").agg(F.round(F.sum(F.col("qtf") * F.col("w")), DIGITS).alias("score"))
     top = best_per_type(scored.where("score > 0"), k, F.col("node_id").desc())
     return top.select("query_id", "node_id", "paper_id", "node_type", "score", "pos")

@@ -12,8 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few files dealt over all cores before costly work; one of more parts than cores stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def sentences(docs: DataFrame) -> DataFrame:
     """Sentence nodes of documents; the paper is the source, `ord` the place in the text."""
+    docs = spread(docs.select("doc_id", "source", "text"))
     parts = docs.select("doc_id", "source", sentence_parts(F.col("text")).alias("parts"))
     split = parts.select("doc_id", "source", F.posexplode(folded_sentences(F.col("parts"))).alias("ord", "text"))
     return split.select(
