@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, mix64, modest_batches, shuffle_width, text_buffers, text_of, word_hashes, word_spans
+from . import sketches
+from .shared import Scratch, mix64, modest_batches, shuffle_width, text_buffers, text_of, word_spans
 
 BITS = 64
 SEED = 42
@@ -63,25 +64,6 @@ def _shingle_hashes(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np
     return np.fromiter((digest(data[i:j], SEED) for i, j in zip(a, b, strict=True)), np.uint64, len(a)), counts
 
 
-def _word_set_hashes(raw: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct words of `least` bytes or more of each document; all its words where it has none such."""
-    starts, ends, first = word_spans(raw, offsets)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    h = word_hashes(_LOWER[raw], starts, ends)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    long = ends - starts >= least
-    some = np.zeros(len(first) - 1, bool)
-    some[doc[long]] = True
-    take = long | ~some[doc]
-    h, doc = h[take], doc[take]
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[new], np.bincount(doc[new], minlength=len(first) - 1)
-
-
 def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A fingerprint for each document: the bits set in over half of its hashes; zero without any."""
     out = np.zeros(len(counts), np.uint64)
@@ -107,7 +89,7 @@ def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint_column(text, shingle: int = 3, long_words: int | None = None):
+def fingerprint_column(text, shingle: int = 3):
     """A long whose bits are the fingerprint of the text column."""
 
     def run(col: pa.Array) -> pa.Array:
@@ -116,7 +98,7 @@ def fingerprint_column(text, shingle: int = 3, long_words: int | None = None):
         while a < n:
             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (4 << 20), "right")) - 1)
             part, off = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            h, counts = _shingle_hashes(part, off, shingle) if long_words is None else _word_set_hashes(part, off, long_words)
+            h, counts = _shingle_hashes(part, off, shingle)
             out.append(majority(h, counts))
             a = b
         return pa.array(np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64))
@@ -368,50 +350,59 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
         seen = mark
 
 
-def _grouped(docs: DataFrame, payload, radius: int, shingle: int, long_words: int | None) -> tuple[DataFrame, DataFrame]:
-    """(own, payload, fp) of every row, own being (absent, doc_id, row); and (fp, least), the least own of its component."""
-    spark = docs.sparkSession
-    modest_batches(spark)
-    scratch, n = Scratch(spark, "simhash"), max(shuffle_width(spark), 2)
-    absent = docs["doc_id"].isNull()  # a null id only stands for a group without any other
-    own = F.struct(absent.alias("absent"), docs["doc_id"].alias("doc_id"), F.monotonically_increasing_id().alias("row"))
-    printed = scratch.write(docs.select(own.alias("own"), *payload, fingerprint_column(text_of(docs), shingle, long_words).alias("fp")))
-    classes = scratch.write(printed.groupBy("fp").agg(F.min("own").alias("least")))
-    counts = classes.select("fp").mapInArrow(_bit_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    both = np.zeros((BITS, BITS))
-    for r in counts:
-        i, j = divmod(r["at"], BITS)
-        both[i, j] = both[j, i] = r["n"]
-    parts = plan_partitions(classes.count(), np.diag(both).copy(), both, radius)
-    links = scratch.write(classes.select("fp").repartition(n).mapInArrow(_deal(parts, n), _CHUNK).repartitionById(n, F.col("bucket")).mapInArrow(_meet(radius), "a long, b long"))
+def _own(docs: DataFrame):
+    """(absent, doc_id, row): a null id only stands for a group without any other."""
+    return F.struct(docs["doc_id"].isNull().alias("absent"), docs["doc_id"].alias("doc_id"), F.monotonically_increasing_id().alias("row"))
+
+
+def _named(classes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, least) of classes (fp, least): the least row of all that links (a, b) reach."""
     roots = connected(links, scratch)
     # every linked fingerprint with its root; the root itself included
     member = roots.unionByName(roots.select(F.col("root").alias("a"), "root").distinct())
     first = member.join(classes, F.col("a") == F.col("fp")).groupBy("root").agg(F.min("least").alias("first"))
     linked = member.join(first, "root").select("a", "first")
-    named = scratch.write(classes.join(linked, F.col("a") == F.col("fp"), "left").select("fp", F.coalesce("first", "least").alias("least")))
-    return printed, named
+    return scratch.write(classes.join(linked, F.col("a") == F.col("fp"), "left").select("fp", F.coalesce("first", "least").alias("least")))
 
 
-def one_of_each_group(docs: DataFrame, radius: int = 8, long_words: int | None = 5, shingle: int = 3) -> DataFrame:
+def one_of_each_group(docs: DataFrame, least: float = 0.65) -> DataFrame:
     """docs without near duplicates: of each component the row of the least doc_id stays, one row even where rows repeat.
 
-    By default fingerprints are of a text's distinct words of five bytes or more, which copies with one word in thirty
-    changed (a similarity of 0.8 on shingles of five words) keep within eight bits, while unrelated texts differ in about half.
+    Texts are compared as sets of five-word shingles (module sketches). Links need a similarity that sketches estimate
+    at `least` or more; the estimate errs by 0.035 (one standard deviation), so that 0.65 keeps practically every pair of 0.8.
     """
-    printed, named = _grouped(docs, [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")], radius, shingle, long_words)
-    stays = named.select("least.row").distinct()
+    spark = docs.sparkSession
+    modest_batches(spark)
+    scratch, n = Scratch(spark, "near"), max(shuffle_width(spark), 2)
+    doc = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")
+    printed = scratch.write(docs.select(_own(docs).alias("own"), doc, sketches.sketch_column(text_of(docs)).alias("s")))
+    # a class is a set of shingles: its rows have equal sketches
+    classes = scratch.write(printed.groupBy(F.col("s.fp").alias("fp")).agg(F.min("own").alias("least"), F.first("s.bands").alias("bands"), F.first("s.sketch").alias("sketch")))
+    links = scratch.write(sketches.linked(classes.repartition(n), n, least))
+    stays = _named(classes.select("fp", "least"), links, scratch).select("least.row").distinct()
     return printed.join(stays.hint("shuffle_hash"), F.col("own.row") == F.col("row"), "left_semi").select("doc.*")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, long_words: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """Rows of docs (doc_id, text; other columns are ignored) as doc_id, fp (long) and component_id.
 
     component_id is the least doc_id that links reach (nulls are no candidates for it while any other id is there). A null
     or empty text has fingerprint zero and links like any other. Repeated rows share a fingerprint, hence a component.
     Tables without rows give none. Fingerprints are made distinct before the search, so copies cost nothing there.
     """
-    printed, named = _grouped(docs, [], radius, shingle, long_words)
+    spark = docs.sparkSession
+    modest_batches(spark)
+    scratch, n = Scratch(spark, "simhash"), max(shuffle_width(spark), 2)
+    printed = scratch.write(docs.select(_own(docs).alias("own"), fingerprint_column(text_of(docs), shingle).alias("fp")))
+    classes = scratch.write(printed.groupBy("fp").agg(F.min("own").alias("least")))
+    counts = classes.select("fp").mapInArrow(_bit_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    both = np.zeros((BITS, BITS))
+    for r in counts:
+        i, j = divmod(r["at"], BITS)
+        both[i, j] = both[j, i] = r["n"]
+    parts = plan_partitions(classes.count(), np.diag(both).copy(), both, radius)
+    links = scratch.write(classes.select("fp").repartition(n).mapInArrow(_deal(parts, n), _CHUNK).repartitionById(n, F.col("bucket")).mapInArrow(_meet(radius), "a long, b long"))
+    named = _named(classes, links, scratch)
     named = named.select(F.col("fp").alias("__fp"), F.col("least.doc_id").alias("component_id"))
     return printed.join(named, F.col("fp") == F.col("__fp")).select("own.doc_id", "fp", "component_id")
 
