@@ -37,3 +37,13 @@ def test_copies_of_similarity_0_8_go(spark, kind):
     kept = left(spark, texts)
     assert {i for i in range(300) if i % 2 == 0} <= kept
     assert len(kept) <= 152
+
+
+def test_texts_that_only_share_long_words_stay(spark):
+    """Another order, other short words, one long word in common, half of a text in common: none is a near copy."""
+    rng = random.Random(4)
+    text = made(rng, 200)
+    shuffled = rng.sample(text, len(text))
+    short = [["".join(rng.choice("abc") for _ in range(4)) for _ in range(60)] for _ in range(2)]
+    half = text[:100] + made(rng, 100)
+    assert left(spark, [text, shuffled, ["incomprehensible", *short[0]], ["incomprehensible", *short[1]], half]) == {0, 1, 2, 3, 4}
