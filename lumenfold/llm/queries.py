@@ -17,5 +17,6 @@ QUERIES = {
     "op10_url_trees": urls.query,
 }
 ORACLES = {
+    "op2_pfair_mix": mixing.SQL,
     "op4_quality_rules": rules.SQL,
 }

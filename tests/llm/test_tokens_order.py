@@ -1,8 +1,10 @@
 """Operators 1, 2, 3, 5 and 7."""
 
 import collections
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -112,38 +114,100 @@ def test_ids_of_empty_table(spark, none, tmp_path):
     assert grammar.read_ids(spark, path).count() == 0 and packing.pack(none, BYTES).count() == 0
 
 
-@pytest.mark.parametrize("weights", [{"a": 500, "b": 300, "c": 200}, {"a": 1, "b": 998, "c": 1}, {"a": 333, "b": 333, "c": 334}])
-def test_deviation_is_under_one_block(weights):
-    slots = mixing.period_slots(weights)
-    total = sum(weights.values())
-    assert sorted(t for s in slots.values() for t in s) == list(range(total))
-    for k, w in weights.items():
-        given = np.zeros(total + 1)
-        given[np.array(slots[k]) + 1] = 1
-        assert (abs(np.cumsum(given) - np.arange(total + 1) * w / total) < 1).all()
-
-
-def test_phases_place_every_block_once():
-    blocks, weights = {"a": 50, "b": 7, None: 0, "c": 1}, {"a": 1, "b": 1, None: 1, "c": 5}
-    rows = mixing.phases(blocks, weights, 10)
-    slots = [r["slot_from"] + (k - r["k_from"]) // r["weight"] * r["period"] + r["slots"][(k - r["k_from"]) % r["weight"]] for r in rows for k in range(r["k_from"], r["k_to"])]
-    assert sorted(slots) == list(range(58))
-    assert {k: sum(r["k_to"] - r["k_from"] for r in rows if r["source"] == k) for k in ("a", "b", "c")} == {"a": 50, "b": 7, "c": 1}
+def earliest_deadline_first(blocks, weights):
+    """Every slot looks at every source: the released block of earliest deadline, by exact fractions."""
+    left, slots, starts, slot = dict(blocks), {k: [] for k in blocks}, [], 0
+    while any(left.values()):
+        begun, total, done = slot, sum(weights[k] for k in left if left[k]), dict.fromkeys(left, 0)
+        starts.append(begun)
+        while True:
+            share = {k: Fraction(weights[k], total) for k in left if left[k]}
+            ready = [k for k in share if math.floor(done[k] / share[k]) <= slot - begun]
+            k = min(ready, key=lambda k: (math.ceil((done[k] + 1) / share[k]), -weights[k], k is not None, k or ""))
+            slots[k].append(slot)
+            done[k], left[k], slot = done[k] + 1, left[k] - 1, slot + 1
+            if not left[k]:
+                break
+    return slots, starts
+
+
+TINY = {"big": "0.9995", **{f"tiny{i}": "0.0001" for i in range(5)}}
+WEIGHTS = [{"a": 5, "b": 3, "c": 2}, {"a": "0.998", "b": "0.001", "c": "0.001"}, {"a": 1, "b": 1, "c": 1, None: 2}, TINY, {"a": 0.7, "b": "0.30000001"}, {f"s{i}": i * i + 1 for i in range(30)}]
+
+
+@pytest.mark.parametrize("weights", WEIGHTS)
+def test_schedule_is_earliest_deadline_first(weights):
+    whole, rng = mixing.whole_weights(weights), random.Random(7)
+    for most in (1, 9, 60):
+        blocks = {k: rng.randint(1, most) for k in whole}
+        slots, starts = mixing.schedule(blocks, whole)
+        assert (slots, starts) == earliest_deadline_first(blocks, whole)
+        assert sorted(t for s in slots.values() for t in s) == list(range(sum(blocks.values()))) and {k: len(s) for k, s in slots.items()} == blocks
+
+
+@pytest.mark.parametrize("weights", WEIGHTS)
+def test_deviation_from_target_weights_is_under_one_block(weights):
+    """20,000 slots of the first phase, against the weights as given."""
+    total = sum(Fraction(str(w)) for w in weights.values())
+    share = {k: Fraction(str(w)) / total for k, w in weights.items()}
+    slots, starts = mixing.schedule({k: int(20_000 * w) + 3 for k, w in share.items()}, mixing.whole_weights(weights))
+    end = starts[1] if len(starts) > 1 else sum(map(len, slots.values()))
+    assert end >= 20_000
+    for k, w in share.items():
+        for c, t in enumerate(x for x in slots[k] if x < end):
+            assert abs(c - w * t) < 1 and abs(c + 1 - w * (t + 1)) < 1
+
+
+def test_default_weights_of_many_tiny_sources():
+    counts = {"big": 10**9, **{f"tiny{i}": 1 for i in range(20)}}
+    weights = mixing.tempered(counts)
+    assert weights["big"] == math.isqrt(10**21) and weights["tiny3"] == 10**6
+    slots, _ = mixing.schedule({"big": 700_000, **{f"tiny{i}": 1 for i in range(20)}}, weights)
+    assert sum(map(len, slots.values())) == 700_020
+    with pytest.raises(ValueError):
+        mixing.whole_weights({"a": 1, "b": 0})
 
 
-def test_mixed_rows(messy, none):
+def test_mixed_rows(spark, messy, none):
     out = mixing.mixed(messy, block_rows=2).collect()
     assert len(out) == messy.count() and len({r.place for r in out}) == len(out)
-    blocks = collections.defaultdict(set)
+    blocks, sizes = collections.defaultdict(set), collections.Counter()
     for r in out:
         blocks[r.slot].add((r.doc.source, r.block))
-    assert all(len(b) == 1 for b in blocks.values()) and sorted(blocks) == list(range(len(blocks)))
+        sizes[r.doc.source, r.block] += 1
+    assert all(len(b) == 1 for b in blocks.values()) and sorted(blocks) == list(range(len(blocks))) and max(sizes.values()) == 2
+    counts = collections.Counter(r.doc.source for r in out)
+    want, _ = earliest_deadline_first({k: -(-n // 2) for k, n in counts.items()}, mixing.tempered(counts))
+    assert {(k, b): t for k, s in want.items() for b, t in enumerate(s)} == {(r.doc.source, r.block): r.slot for r in out}
+    given = mixing.mixed(messy, {"src0": "0.9", "src1": 0.05}, block_rows=3, most_blocks=10).collect()
+    assert len(given) == len(out) and max(collections.Counter((r.doc.source, r.block) for r in given).values()) == -(-len(out) // 10)
     ordered = mixing.in_mixed_order(messy)
     key = lambda r: (r.doc_id is None, r.doc_id or 0)
     assert ordered.columns == messy.columns and sorted(ordered.collect(), key=key) == sorted(messy.collect(), key=key)
     assert mixing.mixed(none).count() == 0 and mixing.in_mixed_order(none).count() == 0
 
 
+def test_rows_of_one_id_have_a_settled_order(spark):
+    """Rows of equal doc_id that differ are placed alike whatever the table's partitions; nulls in any column and one source for all."""
+    rows = [(1 if i % 3 else None, f"text {i}" if i % 5 else None, "s" if i % 2 else None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    places = [{(r.doc.doc_id, r.doc.text, r.doc.source, r.place) for r in mixing.mixed(docs.repartition(k, "text")).where("doc.text IS NOT NULL").collect()} for k in (1, 5)]
+    assert places[0] == places[1] and len(places[0]) == 240
+
+
+@pytest.mark.parametrize("rows", [1, 16, 40])
+def test_mix_equals_its_sql(spark, data, rows):
+    """As registered, and with other block sizes."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data}/documents.parquet')")
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "source")
+    df = mixing.mixed(docs, block_rows=rows).select("doc.doc_id", "doc.source", "block", "slot", "place")
+    want = c.sql(mixing.SQL.replace(f"greatest({mixing.BLOCK_ROWS},", f"greatest({rows},"))
+    assert df.columns == want.columns and sorted(map(tuple, df.collect())) == sorted(want.fetchall())
+
+
 def test_lookup_table_is_even_and_stable():
     names = [f"s{i}" for i in range(20)]
     full, less = shards.lookup_table(names, 1009), shards.lookup_table(names[:-1], 1009)
