@@ -1,7 +1,8 @@
 """Document fingerprints: a quartile bucket digest of hashed byte triplets, and a bounded difference score (operator 9).
 
 The digest of a text: 256 buckets count hashed triplets of the bytes in each window of five; each bucket is coded by the
-quartile its count falls in (two bits), beside a checksum-free header of the text's length and the quartile ratios.
+quartile its count falls in (two bits), beside a checksum-free header of the text's length and the quartile ratios. A text of one to
+four bytes is followed by zero bytes, so that its windows hold all of it; the empty text has no triplets.
 A digest is 2 + 2 + 128 hexadecimal digits. Equal texts have equal digests.
 """
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, mix64, modest_batches, shuffle_width, text_of
+from .shared import Scratch, in_id_order, mix64, modest_batches, text_of
 
 BUCKETS = 256
 #: Offsets of the triplets taken in a window of five bytes: the window's last byte with two before it.
@@ -35,8 +36,10 @@ _TABLE = _tables()
 
 
 def bucket_counts(raw: np.ndarray) -> np.ndarray:
-    """Counts of the 256 buckets over all windows of one text; texts under five bytes have none."""
+    """Counts of the 256 buckets over all windows of one text."""
     counts = np.zeros(BUCKETS, np.int64)
+    if 0 < len(raw) < 5:
+        raw = np.concatenate((raw, np.zeros(4, np.uint8)))
     for a in range(0, max(len(raw) - 4, 0), 1 << 18):
         part = raw[a : a + (1 << 18) + 4]
         n = len(part) - 4
@@ -145,8 +148,9 @@ def _seams(batches):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text; other columns are ignored), with the digests of its text and its edited text.
 
-    Order is ascending doc_id (null first), equal doc_ids by text. A null text is empty. A single document is its own next.
-    Documents are dealt by ranges of doc_id and sorted; neighbours meet within a partition, and the two end documents of
+    Order is ascending doc_id (null first; cast to long: a value that is none is an error), equal doc_ids by text. A null text is empty.
+    Repeated rows are documents each, and each other's next. A single document is its own next. Very long texts are digested a
+    quarter of a million bytes at a time. A table without rows gives none. Documents are dealt by ranges of doc_id and sorted; neighbours meet within a partition, and the two end documents of
     each partition (two rows a partition, no more) are paired across partitions.
     """
     from pyspark.sql import Window
@@ -155,8 +159,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     modest_batches(spark)
     scratch = Scratch(spark, "digest")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    dealt = base.repartitionByRange(max(shuffle_width(spark), 2), "doc_id", F.length("text"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.length("text"), F.xxhash64("text"))
-    made = scratch.write(dealt.mapInArrow(_partition, _PART_SCHEMA))
+    made = scratch.write(in_id_order(base).mapInArrow(_partition, _PART_SCHEMA))
     inner = made.where("kind = 0").select(*[x.split(" ")[0] for x in _PAIR_SCHEMA.split(", ")])
     ends = made.where("kind > 0")
     around = Window.orderBy("part")

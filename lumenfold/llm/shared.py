@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranges import range_place
 from ..sources.scratch import Scratch, shared_dir
 
 __all__ = ["Scratch", "shared_dir"]
@@ -38,6 +39,33 @@ def ascii_lower(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def in_id_order(base: DataFrame, n: int | None = None) -> DataFrame:
+    """base (doc_id long, text string) dealt into about n ranges and sorted: ascending doc_id (null first), equal ids by length and hash of the text.
+
+    Ranges are cut by the ids alone, so that texts are read once. An id (or null) that fills ranges by itself is cut again, by its
+    texts; identical rows share a range.
+    """
+    n = n or max(shuffle_width(base.sparkSession), 2)
+    steps, near = [i / n for i in range(1, n)], 100 * n
+    by_text = F.shiftleft(F.length("text").cast("long"), 32) + F.shiftrightunsigned(F.xxhash64("text"), 32)
+    got = base.agg(F.percentile_approx("doc_id", steps, near).alias("cuts"), F.count("*").alias("rows"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    cuts = sorted(got["cuts"] or [])
+    wide = {v: cuts.count(v) for v in set(cuts) if cuts.count(v) > 1}
+    if got["rows"] and got["none"] * n // got["rows"] > 1:
+        wide[None] = got["none"] * n // got["rows"]
+    part, parts = range_place(F.col("doc_id"), sorted(set(cuts))), len(set(cuts)) + 1
+    if wide:
+        within = base.where(F.col("doc_id").isin([v for v in wide if v is not None]) | F.col("doc_id").isNull())
+        for r in within.groupBy("doc_id").agg(F.percentile_approx(by_text, steps, near).alias("cuts")).where(F.size("cuts") > 0).collect():
+            if (m := wide.get(r["doc_id"], 0)) < 2:
+                continue
+            inner = sorted({r["cuts"][j * n // m - 1] for j in range(1, m)})
+            here, later = (F.col("doc_id").isNull(), F.col("doc_id").isNotNull()) if r["doc_id"] is None else (F.col("doc_id") == r["doc_id"], F.coalesce(F.col("doc_id") > r["doc_id"], F.lit(False)))
+            part = part + F.when(here, range_place(by_text, inner)).when(later, len(inner)).otherwise(0)
+            parts += len(inner)
+    return base.repartitionById(max(parts, n), part.cast("int")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), by_text, F.xxhash64("text"))
+
+
 # ---------------------------------------------------------------- bytes and words of Arrow text columns
 
 _GAP = np.zeros(256, bool)

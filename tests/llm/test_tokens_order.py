@@ -81,18 +81,52 @@ def test_equal_lengths_are_cut_to_fill():
     assert sum(total.values()) == 50_000 and sum(n == 1024 for n in total.values()) == 50_000 // 1024
 
 
+def expanded(base, rules, seq):
+    out = []
+    for x in seq.tolist():
+        stack = [x]
+        while stack:
+            y = stack.pop()
+            if y < len(base):
+                out.append(int(base[y]))
+            else:
+                stack += reversed(rules[y - len(base)].tolist())
+    return out
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(1)
     phrase = rng.integers(0, 49_408, 30)
-    for ids in (np.zeros(0, np.uint32), np.array([5], np.uint32), np.full(1000, 7, np.uint32), np.concatenate([phrase, rng.integers(0, 500, 2000), phrase, phrase] * 20).astype(np.uint32)):
+    for ids in (np.zeros(0, np.uint32), np.array([5], np.uint32), np.full(1000, 7, np.uint32), np.concatenate([phrase, rng.integers(0, 500, 2000), phrase, phrase] * 20).astype(np.uint32), rng.integers(0, 300_000, 90_000).astype(np.uint32)):
         cut = np.array([0, len(ids) // 3, len(ids)])
         s = grammar.Shard(grammar.write_shard(ids, [4, None], cut, 11))
-        assert (s.ids(0, len(ids)) == ids).all() and s.first == 11 and s.doc_ids == [4, None]
+        assert (s.ids(0, len(ids)) == ids).all() and s.first == 11 and s.doc_ids == [4, None] and (s.all_ids() == ids).all()
         for _ in range(30):
             a = int(rng.integers(0, len(ids) + 1))
             n = int(rng.integers(0, len(ids) - a + 1))
             assert (s.ids(a, n) == ids[a : a + n]).all()
-    assert len(s.seq) < len(ids) / 4 and len(s.rules)
+        if len(ids) == 41_800:
+            assert len(s.seq) < len(ids) / 4 and len(s.rules)
+
+
+@pytest.mark.parametrize("least", [2, 8])
+def test_grammar_leaves_no_frequent_pair(least):
+    """A phrase of 64 ids found 4096 times, runs of one id, and noise: every rule expands to what it stood for, no pair is left."""
+    rng = np.random.default_rng(2)
+    phrase = rng.permutation(64)
+    for ids in (np.tile(phrase, 4096), np.full(5000, 3), np.concatenate([np.concatenate((phrase, rng.integers(0, 200, 20))) for _ in range(300)])):
+        base, rules, seq = grammar.compress(ids.astype(np.uint32), least)
+        assert expanded(base, rules, seq) == ids.tolist()
+        pairs = collections.Counter()
+        last = None
+        for x in zip(seq.tolist(), seq.tolist()[1:]):  # occurrences that do not overlap
+            if x == last:
+                last = None
+                continue
+            pairs[x] += 1
+            last = x if x[0] == x[1] else None
+        assert max(pairs.values(), default=0) < least
+    assert len(grammar.compress(np.tile(phrase, 4096).astype(np.uint32), 8)[2]) <= 8
 
 
 def test_written_ids_come_back(spark, messy, tmp_path):
@@ -108,6 +142,26 @@ def test_written_ids_come_back(spark, messy, tmp_path):
         start += len(ids)
 
 
+def test_ids_of_one_shared_doc_id(spark, tmp_path):
+    """Most rows have one id or none: their ranges are cut again by their texts, the order stays settled."""
+    from lumenfold.llm.shared import in_id_order
+
+    rng = random.Random(1)
+    rows = [(7 if i % 2 else None if i % 4 else i, " ".join(rng.choice("abcdefg") * rng.randint(1, 9) for _ in range(rng.randint(0, 30)))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = in_id_order(docs, 20).rdd.glom().map(len).collect()
+    assert sum(parts) == 2000 and max(parts) < 300 and len(parts) >= 20
+    flat = [r.doc_id for r in in_id_order(docs, 20).collect()]
+    assert flat == sorted(flat, key=lambda x: (x is not None, x or 0))
+    path = str(tmp_path / "ids")
+    grammar.write_ids(docs, WORDS, path)
+    got = sorted(grammar.read_ids(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == flat and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    lib = Tokenizer.from_file(WORDS)
+    sums = lambda ids: zlib.crc32(np.array([*ids, 2], "<u4").tobytes())
+    assert collections.Counter((r.doc_id, r.ids_crc32) for r in got) == collections.Counter((i, sums(lib.encode(t, add_special_tokens=False).ids)) for i, t in rows)
+
+
 def test_ids_of_empty_table(spark, none, tmp_path):
     path = str(tmp_path / "ids")
     grammar.write_ids(none, WORDS, path)
