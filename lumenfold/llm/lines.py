@@ -4,8 +4,9 @@ Every line is good or bad. A line's potential is linear in its own features and
 transition weights join neighbours. Forward-backward gives each line's marginal; a document's score is their mean weighted
 by line length. Document labels teach: all lines of a labelled document carry its label.
 
-The fit takes a bounded sample, FIT_DOCS labelled rows (smallest hashes of their ids first) and of each at most FIT_LINES
-lines; nothing else is bounded, and every whole text is scored.
+The fit takes a bounded sample, FIT_DOCS labelled ids (smallest hashes first), and of each all lines of the whole text; chains of
+over CHAIN lines are taught in pieces of that many, whose end lines still see their neighbours' features. Nothing else is bounded, and every
+whole text is scored as one chain.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from .shared import mix64, modest_batches, text_buffers, text_of, word_hashes, word_spans
 
 FIT_DOCS = 4000
-FIT_LINES = 200
+CHAIN = 64
+#: Box of the transition weights: labels never change within a taught document, so likelihood alone would raise them without end.
+STAY = 1.5
 SLICE = 2 << 20
 #: Byte classes that are counted in a line.
 CLASSES = {
@@ -78,6 +81,7 @@ def line_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     words = b - a
     echo = np.zeros(len(wh), np.int64)
     echo[1:] = wh[1:] == wh[:-1]
+    echo[a[words > 0]] = 0  # a line's first word
     k = len(_TABLES)
     x[k] = np.log1p(size)
     x[k + 1] = np.log1p(words)
@@ -86,7 +90,9 @@ def line_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     last = raw[np.maximum(ends - 1, 0)] if len(raw) else np.zeros(len(ends), np.uint8)
     x[k + 4] = (size > 0) & np.isin(last, list(b".!?:\"'"))
     with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(wh * np.uint64(3)), dtype=np.uint64)))
+        # a line is its words in their places
+        place = (np.arange(len(wh)) - np.repeat(a, words)).astype(np.uint64)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(wh * (place * np.uint64(2) + np.uint64(3))), dtype=np.uint64)))
     key = (sums[b] - sums[a]) + words.astype(np.uint64)
     doc = np.repeat(np.arange(n_docs), counts)
     order = np.lexsort((key, doc))
@@ -113,16 +119,17 @@ def with_neighbours(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def marginals(odds: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chance of good for each line, and expected counts of label pairs over all chains, by scaled forward-backward.
+def marginals(odds: np.ndarray, counts: np.ndarray, trans: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of good for each line, and expected counts of label pairs over all chains (times the chain's weight), by scaled forward-backward.
 
-    odds: log potentials of good over bad. Documents go longest first, so that each step is one slice of those still going.
+    odds: log potentials of good over bad. Chains go longest first, so that each step is one slice of those still going.
     """
     order = np.argsort(-counts, kind="stable")
     at = (np.cumsum(counts) - counts)[order]
     c = counts[order]
+    each = np.ones(len(counts)) if weight is None else weight[order]
     steps = int(c[0]) if len(c) else 0
-    live = np.searchsorted(-c, -np.arange(steps), "left")  # documents with more than t lines
+    live = np.searchsorted(-c, -np.arange(steps), "left")  # chains with more than t lines
     t = np.exp(trans)
     odds = np.clip(odds, -40, 40)
     e1, e0 = np.exp(np.minimum(odds, 0)), np.exp(np.minimum(-odds, 0))
@@ -147,7 +154,7 @@ def marginals(odds: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> tuple[
         if s:
             e = np.stack((e0[i], e1[i]), 1) * b[: live[s]]
             joint = f[i - 1][:, :, None] * t[None] * e[:, None, :]
-            pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+            pairs += (joint * (each[: live[s]] / joint.sum((1, 2)))[:, None, None]).sum(0)
             nb = e @ t.T
             b[: live[s]] = nb / nb.sum(1, keepdims=True)
     return good, pairs
@@ -175,49 +182,80 @@ class LineModel:
         return np.clip(np.add.reduceat(good * weight, heads) / np.add.reduceat(weight, heads), 0.0, 1.0)
 
 
-def fit(own: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 120, ridge: float = 1e-2) -> LineModel:
-    """Maximum conditional likelihood by Adam, classes weighted alike. Without both classes the model says the one label, or 0.5."""
+def pieces(counts: np.ndarray, size: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, document) of chains cut into runs of at most `size` lines."""
+    n = -(-counts // size)
+    doc = np.repeat(np.arange(len(counts)), n)
+    last = np.cumsum(n) - 1
+    out = np.full(int(n.sum()), size, np.int64)
+    out[last] = counts - (n - 1) * size
+    return out, doc
+
+
+def loss(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, weight: np.ndarray, ridge: float, w: np.ndarray, trans: np.ndarray) -> float:
+    """What the fit makes least: the negative log likelihood of chains whose lines all carry the chain's label, each times its weight, and a ridge."""
+    odds = np.clip(x @ w, -40, 40)
+    own = np.add.reduceat(odds * np.repeat(labels, counts), np.cumsum(counts) - counts) + (counts - 1) * np.where(labels == 1, trans[1, 1], trans[0, 0])
+    return float((weight * (partition(odds, counts, trans) - own)).sum() + 0.5 * ridge * ((w**2).sum() + (trans**2).sum()))
+
+
+def gradient(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, weight: np.ndarray, ridge: float, w: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Of the loss, by w and then trans: expected less observed features and label pairs."""
+    good, pairs = marginals(x @ w, counts, trans, weight)
+    steps = weight * (counts - 1)
+    seen = np.diag([steps[labels == 0].sum(), steps[labels == 1].sum()])
+    return np.concatenate((x.T @ (np.repeat(weight, counts) * (good - np.repeat(labels, counts))) + ridge * w, (pairs - seen + ridge * trans).ravel()))
+
+
+def partition(odds: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The log of the sum over all labellings of each chain."""
+    order = np.argsort(-counts, kind="stable")
+    at, c = (np.cumsum(counts) - counts)[order], counts[order]
+    live = np.searchsorted(-c, -np.arange(int(c[0]) if len(c) else 0), "left")
+    a = np.zeros((len(c), 2))
+    for s, n in enumerate(live):
+        i = at[:n] + s
+        if s:
+            a[:n] = np.logaddexp(a[:n, :1] + trans[None, 0], a[:n, 1:] + trans[None, 1])
+        a[:n, 1] += odds[i]
+    out = np.empty(len(c))
+    out[order] = np.logaddexp(a[:, 0], a[:, 1])
+    return out
+
+
+def fit(own: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 120, ridge: float = 1e-3) -> LineModel:
+    """Maximum conditional likelihood by Adam within the transitions' box; each document counts once whatever its lines, both classes alike.
+
+    Without both classes the model says the one label, or 0.5.
+    """
     width = 3 * len(OWN) + 1
     if not len(labels) or labels.min() == labels.max():
         w = np.zeros(width)
         w[-1] = 0.0 if not len(labels) else (4.0 if labels[0] else -4.0)
         return LineModel(np.zeros(len(OWN), np.float32), np.ones(len(OWN), np.float32), w, np.zeros((2, 2)))
     mean, scale = own.mean(0), np.maximum(own.std(0), 1e-3)
-    model = LineModel(mean, scale, np.zeros(width), np.array([[0.5, 0.0], [0.0, 0.5]]))
     x = with_neighbours((own - mean) / scale, counts).astype(np.float64)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    share = np.where(labels == 1, 0.5 / max((labels == 1).mean(), 1e-6), 0.5 / max((labels == 0).mean(), 1e-6))
-    y = labels[doc].astype(np.float64)
-    weight = (share / counts)[doc] / len(counts)  # each document counts once
-    groups = [(labels == v) for v in (0, 1)]
+    chains, doc = pieces(counts)
+    share = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels == 0).mean()) / len(labels)
+    weight = (share / counts)[doc]
+    at = np.concatenate((np.zeros(width), [0.5, 0.0, 0.0, 0.5]))
     m1, m2 = np.zeros(width + 4), np.zeros(width + 4)
     for r in range(1, rounds + 1):
-        good, _ = marginals(x @ model.weights, counts, model.trans)
-        grad = x.T @ (weight * (good - y)) + ridge * model.weights * 0.1
-        grad_t = ridge * model.trans
-        for v, g in enumerate(groups):
-            own_lines = g[doc]
-            _, pairs = marginals((x @ model.weights)[own_lines], counts[g], model.trans)
-            total = max(int((counts[g] - 1).sum()), 1)
-            seen = np.zeros((2, 2))
-            seen[v, v] = 1.0
-            grad_t = grad_t + 0.5 * (pairs / total - seen * (pairs.sum() > 0))
-        step = np.concatenate((grad, grad_t.ravel()))
+        step = gradient(x, chains, labels[doc], weight, ridge, at[:width], at[width:].reshape(2, 2))
         m1, m2 = 0.9 * m1 + 0.1 * step, 0.99 * m2 + 0.01 * step**2
-        move = 0.1 * (m1 / (1 - 0.9**r)) / (np.sqrt(m2 / (1 - 0.99**r)) + 1e-8)
-        model.weights = model.weights - move[:width]
-        model.trans = np.clip(model.trans - move[width:].reshape(2, 2), -1.5, 1.5)
-    return model
+        at = at - 0.1 * (m1 / (1 - 0.9**r)) / (np.sqrt(m2 / (1 - 0.99**r)) + 1e-8)
+        at[width:] = np.clip(at[width:], -STAY, STAY)
+    return LineModel(mean, scale, at[:width], at[width:].reshape(2, 2))
 
 
 def _sampled(batches):
-    """The first FIT_LINES lines' features of each sampled text, packed."""
+    """All lines' features of each sampled text, packed as half floats."""
     for b in batches:
         raw, offsets = text_buffers(b.column("text"))
         rows = []
         for d, y in enumerate(b.column("y").to_pylist()):
-            own, _, counts = line_features(raw[offsets[d] : offsets[d + 1]], np.array([0, offsets[d + 1] - offsets[d]]))
-            rows.append((y, np.ascontiguousarray(own[:FIT_LINES], np.float32).tobytes()))
+            own, _, _ = line_features(raw[offsets[d] : offsets[d + 1]], np.array([0, offsets[d + 1] - offsets[d]]))
+            rows.append((y, np.ascontiguousarray(own, np.float16).tobytes()))
         if rows:
             y, x = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, pa.binary())], ["y", "x"])
@@ -235,10 +273,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> LineM
     ids = known.groupBy("doc_id").agg(F.avg("quality").alias("q")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
     ids = ids.select(F.col("doc_id").alias("__id"), F.col("q"))
     text = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
-    # repeated rows of one id are one example
-    rows = text.select("doc_id", (F.col("q") >= 0.5).cast("int").alias("y"), "text").dropDuplicates(["doc_id"]).select("y", "text").mapInArrow(_sampled, "y int, x binary").collect()
+    # rows of one id are one example: the longest text, of equally long ones the last by its characters
+    rows = text.groupBy("doc_id").agg(F.first("q").alias("q"), F.max(F.struct(F.length("text").alias("n"), "text")).alias("t"))
+    rows = rows.select((F.col("q") >= 0.5).cast("int").alias("y"), F.col("t.text").alias("text")).mapInArrow(_sampled, "y int, x binary").collect()
     rows = sorted(((r["y"], bytes(r["x"])) for r in rows), key=lambda r: (r[1], r[0]))
-    own = [np.frombuffer(x, np.float32).reshape(-1, len(OWN)) for _, x in rows]
+    own = [np.frombuffer(x, np.float16).astype(np.float32).reshape(-1, len(OWN)) for _, x in rows]
     return fit(np.concatenate(own) if own else np.zeros((0, len(OWN)), np.float32), np.array([len(x) for x in own], np.int64), np.array([y for y, _ in rows], np.int64))
 
 
@@ -256,11 +295,32 @@ def score_column(model: LineModel, text):
     return F.arrow_udf(run, "double")(text)
 
 
+def line_marginals(docs: DataFrame, model: LineModel) -> DataFrame:
+    """One row a line of docs (doc_id, text): doc_id, line (from 0), start and size (bytes in the text), good (its marginal). Null texts are one empty line."""
+
+    def run(batches):
+        for b in batches:
+            raw, offsets = text_buffers(b.column("text"))
+            a, n = 0, b.num_rows
+            while a < n:
+                z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, "right")) - 1)
+                own, size, counts = line_features(raw[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
+                good, _ = marginals(model.odds(own, counts), counts, model.trans)
+                first = np.repeat(np.cumsum(counts) - counts, counts)
+                begin = np.cumsum(size + 1) - size - 1
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(np.repeat(np.arange(a, z), counts))), pa.array(np.arange(len(good)) - first), pa.array(begin - begin[first]), pa.array(size), pa.array(good)], ["doc_id", "line", "start", "size", "good"])
+                a = z
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, f"doc_id {kind}, line long, start long, size long, good double")
+
+
 def line_quality(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     """One row per row of docs (doc_id, text; other columns are ignored): doc_id, held_out, score, predicted.
 
-    A null text is empty; an empty text is one empty line and scored like any other. Equal texts score alike. Without
-    labels every score is 0.5. Tables without rows give none.
+    A null text is empty; an empty text is one empty line and scored like any other. Equal texts score alike, repeated rows each by
+    itself. A very long text is one chain, scored whole. A null doc_id is in no held-out fold and teaches nothing. Without labels every score
+    is 0.5. Tables without rows give none.
     """
     model = train(docs, labels, fit_docs)
     out = docs.select("doc_id", in_held_out(docs["doc_id"]).alias("held_out"), score_column(model, text_of(docs)).alias("score"))

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 from fractions import Fraction
 
@@ -315,6 +316,90 @@ def test_marginals_equal_enumeration():
     assert pairs == pytest.approx(want_pairs)
 
 
+def test_gradient_is_of_the_loss():
+    rng = np.random.default_rng(0)
+    x, counts, labels, weight = rng.normal(size=(12, 5)), np.array([4, 5, 3]), np.array([1, 0, 1]), rng.uniform(0.1, 1, 3)
+    at = rng.normal(size=9)
+    f = lambda v: lines.loss(x, counts, labels, weight, 0.1, v[:5], v[5:].reshape(2, 2))
+    step = 1e-6 * np.eye(9)
+    assert [(f(at + e) - f(at - e)) / 2e-6 for e in step] == pytest.approx(lines.gradient(x, counts, labels, weight, 0.1, at[:5], at[5:].reshape(2, 2)), abs=1e-6)
+
+
+def test_partition_equals_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    odds, trans, counts = rng.normal(size=8), rng.normal(size=(2, 2)), np.array([1, 4, 3])
+    at = 0
+    for n, got in zip(counts, lines.partition(odds, counts, trans)):
+        z = sum(math.exp(sum(o * v for o, v in zip(odds[at : at + n], y)) + sum(trans[a, b] for a, b in zip(y, y[1:]))) for y in itertools.product((0, 1), repeat=int(n)))
+        assert got == pytest.approx(math.log(z))
+        at += n
+
+
+def plain_features(text):
+    """Line by line, from the definitions."""
+    out, seen = [], set()
+    for line in text.split("\n"):
+        raw, w = line.encode(), [x for x in re.split(r"[\x20\x09-\x0D]+", line) if x]
+        n, k = max(len(raw), 1), max(len(w), 1)
+        share = [sum(b in v for b in raw) / n for v in lines.CLASSES.values()] + [sum(b > 127 for b in raw) / n]
+        echo = sum(a == b for a, b in zip(w, w[1:]))
+        out.append([*share, math.log1p(len(raw)), math.log1p(len(w)), sum(len(x.encode()) for x in w) / k / 8, echo / k, float(bool(raw) and raw[-1:] in (b".", b"!", b"?", b":", b'"', b"'")), float(bool(w) and tuple(w) in seen), float(not w)])
+        seen.add(tuple(w))
+    return out
+
+
+def test_scores_equal_plain_ones(messy):
+    """Features from the definitions, marginals by enumeration, mean weighted by length; texts of up to ten lines."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    width = len(lines.OWN)
+    model = lines.LineModel(rng.normal(size=width).astype(np.float32) * 0.1, np.ones(width, np.float32), rng.normal(size=3 * width + 1) * 0.4, rng.normal(size=(2, 2)))
+    texts = ["", "a b\nb a\na b\n\n a b \n", "x", *(r.text for r in messy.collect() if r.text and r.text.count("\n") < 9), "Short line.\n### !!! ###\nword word word\n" * 3]
+    from lumenfold.llm.shared import text_buffers
+
+    raw, offsets = text_buffers(pa.array(texts))
+    own, _, counts = lines.line_features(raw, offsets)
+    assert own == pytest.approx(np.array([f for t in texts for f in plain_features(t)]), abs=1e-5) and counts.tolist() == [t.count("\n") + 1 for t in texts]
+    for t, got in zip(texts, model.scores(raw, offsets)):
+        f = (np.array(plain_features(t)) - model.mean) / model.scale
+        near = lambda i: f[i] if 0 <= i < len(f) else np.zeros(width)
+        odds = [float(np.concatenate((near(i), near(i - 1), near(i + 1), [1])) @ model.weights) for i in range(len(f))]
+        z, good = 0.0, np.zeros(len(f))
+        for y in itertools.product((0, 1), repeat=len(f)):
+            w = math.exp(sum(o for o, v in zip(odds, y) if v) + sum(model.trans[a, b] for a, b in zip(y, y[1:])))
+            z, good = z + w, good + w * np.array(y)
+        size = np.maximum([len(x.encode()) for x in t.split("\n")], 1)
+        assert got == pytest.approx((good / z * size).sum() / size.sum(), abs=1e-4)
+
+
+def test_all_lines_teach(spark):
+    """Documents that differ after their two-hundredth line only: the fit tells them apart."""
+    rng = random.Random(8)
+    good = lambda n: [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(9)) + "." for _ in range(n)]
+    rows = [(i, "\n".join(good(210) + (good(200) if i % 2 else ["#### $$$$ %%%% !!!!"] * 200)), i % 2) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    out = lines.line_quality(docs, labels).collect()
+    assert max(r.score for r in out if r.doc_id % 2 == 0) < min(r.score for r in out if r.doc_id % 2)
+    marks = lines.line_marginals(docs, lines.train(docs, labels)).where("doc_id < 2").collect()
+    texts = dict(r[:2] for r in rows)
+    assert len(marks) == 820 and all(texts[r.doc_id].encode()[r.start : r.start + r.size].decode() == texts[r.doc_id].split("\n")[r.line] for r in marks)
+    junk = [r.good for r in marks if r.doc_id == 0 and r.line > 230]
+    assert max(junk) < 0.5
+
+
+def test_model_is_the_same_whatever_the_partitions(spark):
+    """Rows of one id that differ: the longest text teaches."""
+    rows = [(i, f"{'good words here.' if i % 2 else '### %%% !!!'} {i} {j}" * (j + 1)) for i in range(30) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    a, b = (lines.train(docs.repartition(k, "text"), labels) for k in (1, 7))
+    assert (a.weights == b.weights).all() and (a.trans == b.trans).all()
+
+
 def test_quality_on_held_out_rows(spark, data):
     out = lines.query(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").collect()
     for r in out:
