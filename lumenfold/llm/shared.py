@@ -82,12 +82,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_values() -> np.ndarray:
+def _byte_values(family: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _ODD)
+        return mix64((np.arange(256, dtype=np.uint64) + np.uint64(1 + 256 * family)) * _ODD)
 
 
-_BYTE = _byte_values()
+_BYTE = [_byte_values(k) for k in range(2)]
 
 
 def text_buffers(col) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +127,8 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: sum of scrambled byte and place values, scrambled again."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: sum of scrambled byte and place values, scrambled again. There are two families."""
     with np.errstate(over="ignore"):
         if not len(starts):
             return np.zeros(0, np.uint64)
@@ -138,7 +138,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
             s, e = starts[a : a + step], ends[a : a + step]
             lo, hi = int(s[0]), int(e[-1])
             place = np.arange(hi - lo, dtype=np.int64) - np.repeat(np.append(s, hi)[:-1] - lo, np.diff(np.append(s, hi)))
-            part = _BYTE[raw[lo:hi]] * (place.astype(np.uint64) * np.uint64(2) * _ODD + np.uint64(0xD6E8FEB86659FD93))
+            part = _BYTE[family][raw[lo:hi]] * (place.astype(np.uint64) * np.uint64(2) * _ODD + np.uint64(0xD6E8FEB86659FD93))
             part ^= part >> np.uint64(29)
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)))
             out[a : a + step] = mix64(sums[e - lo] - sums[s - lo] + (e - s).astype(np.uint64) * _ODD)

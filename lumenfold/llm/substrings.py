@@ -6,8 +6,9 @@ stood for by the least-hashed short window within it (equal windows choose the s
 widest exchange about fourteenfold without losing a repeat.
 
 Exchange: each block of texts deals its hashes into buckets as packed arrays. A hash that a block itself holds twice is
-settled there and sent once, so a passage shared by a third of all documents costs one entry a block. Hashes have 64 bits
-and every level must agree.
+settled there and sent once, so a passage shared by a third of all documents costs one entry a block. Lower levels only
+propose, by 64 bits; what is removed rests on 128 bits of two independent families at the full length: of 10^13 windows
+a pair is expected to agree by chance in one run of 10^12.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ WINDOW = 35
 #: Halving stops at this many words or fewer.
 SHORTEST = 12
 BLOCK_BYTES = 4 << 20
-_CHUNK = "bucket int, hash binary, flag binary, rows binary, pos binary"
+_CHUNK = "bucket int, hash binary, more binary, flag binary, rows binary, pos binary"
 _GAPS = re.compile(rb"[\x20\x09-\x0D]+")
 
 
@@ -60,6 +61,9 @@ class _Words:
         self.hashes = word_hashes(self.raw, self.starts, self.ends)
         self.doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def windows(self, length: int, family: int) -> np.ndarray:
+        return window_hashes(self.hashes if not family else word_hashes(self.raw, self.starts, self.ends, family), length)
+
     def valid(self, length: int) -> np.ndarray:
         """Positions where a window of `length` words lies within one document."""
         n = max(len(self.hashes) - length + 1, 0)
@@ -83,27 +87,30 @@ class _Words:
         return h, at[:n]
 
 
-def _deal(words: _Words, rows: np.ndarray, at: np.ndarray, hashes: np.ndarray, buckets: int):
-    """A record batch: a packed row for each bucket, and what repeats within the block already, passed through."""
-    order = np.argsort(hashes, kind="stable")
-    h, at = hashes[order], at[order]
+def _deal(words: _Words, rows: np.ndarray, at: np.ndarray, hashes: np.ndarray, buckets: int, more: np.ndarray | None = None):
+    """A record batch: a packed row for each bucket, and what repeats within the block already, passed through. more: the second family's hashes."""
+    more = np.zeros(0, np.uint64) if more is None else more
+    order = np.argsort(hashes, kind="stable") if not len(more) else np.lexsort((more, hashes))
+    h, at, m = hashes[order], at[order], more[order] if len(more) else more
     same = np.zeros(len(h) + 1, bool)
     same[1:-1] = h[1:] == h[:-1]
+    if len(m):
+        same[1:-1] &= m[1:] == m[:-1]
     twice = same[1:] | same[:-1]
     lead = ~same[:-1]
     known_at = at[twice]
-    h, at, flag = h[lead], at[lead], twice[lead]
+    h, at, flag, m = h[lead], at[lead], twice[lead], m[lead] if len(m) else m
     bucket = (h % np.uint64(buckets)).astype(np.int32)
     by = np.argsort(bucket, kind="stable")
-    h, at, flag, bucket = h[by], at[by], flag[by], bucket[by]
+    h, at, flag, bucket, m = h[by], at[by], flag[by], bucket[by], m[by] if len(m) else m
     cut = np.searchsorted(bucket, np.arange(buckets + 1))
     doc = words.doc[at]
     row, pos = rows[doc], (at - words.first[doc]).astype(np.int32)
-    out = [(b, h[i:j].tobytes(), flag[i:j].tobytes(), row[i:j].tobytes(), pos[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+    out = [(b, h[i:j].tobytes(), m[i:j].tobytes(), flag[i:j].tobytes(), row[i:j].tobytes(), pos[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
     if len(known_at):
         doc = words.doc[known_at]
-        out.append((int(rows[0]) % buckets, b"", b"", rows[doc].tobytes(), (known_at - words.first[doc]).astype(np.int32).tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "hash", "flag", "rows", "pos"])
+        out.append((int(rows[0]) % buckets, b"", b"", b"", rows[doc].tobytes(), (known_at - words.first[doc]).astype(np.int32).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], ["bucket", "hash", "more", "flag", "rows", "pos"])
 
 
 def _listed(col) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +131,7 @@ def _first_level(lengths: list[int], buckets: int):
                 h, anchor = w.anchors(base, window)
                 chosen = np.unique(anchor[w.valid(window)])
                 if len(chosen):
-                    yield _deal(w, b.column("__row").to_numpy(), chosen, h[chosen], buckets)
+                    yield _deal(w, b.column("__row").to_numpy(), chosen, h[chosen], buckets, w.windows(base, 1)[chosen] if base == window else None)
 
     return run
 
@@ -148,7 +155,8 @@ def _next_level(lengths: list[int], k: int, buckets: int):
                     ok = w.valid(length)
                     wanted = np.flatnonzero(ok & found[: len(ok)] & found[length - shorter : length - shorter + len(ok)])
                 if len(wanted):
-                    yield _deal(w, b.column("__row").to_numpy(), wanted, window_hashes(w.hashes, length)[wanted], buckets)
+                    sure = w.windows(length, 1)[wanted] if length == window else None
+                    yield _deal(w, b.column("__row").to_numpy(), wanted, w.windows(length, 0)[wanted], buckets, sure)
 
     return run
 
@@ -165,16 +173,18 @@ def _meet(parts: int):
     """Of the packed rows of this partition, the positions whose hash is there twice or known to repeat, packed by where their documents' lists are gathered."""
 
     def run(batches):
-        kept, through = {"hash": [], "flag": [], "rows": [], "pos": []}, {"rows": [], "pos": []}
+        kept, through = {"hash": [], "more": [], "flag": [], "rows": [], "pos": []}, {"rows": [], "pos": []}
         for b in batches:
             for r in b.to_pylist():
                 into = kept if r["hash"] else through
                 for name, values in into.items():
                     values.append(r[name])
-        h, flag = (np.frombuffer(b"".join(kept[k]), t) for k, t in (("hash", np.uint64), ("flag", bool)))
-        order = np.argsort(h)
+        h, more, flag = (np.frombuffer(b"".join(kept[k]), t) for k, t in (("hash", np.uint64), ("more", np.uint64), ("flag", bool)))
+        order = np.argsort(h) if not len(more) else np.lexsort((more, h))
         same = np.zeros(len(h) + 1, bool)
         same[1:-1] = h[order][1:] == h[order][:-1]
+        if len(more):
+            same[1:-1] &= more[order][1:] == more[order][:-1]
         mask = np.empty(len(h), bool)
         mask[order] = same[1:] | same[:-1]
         mask &= ~flag  # what a block knows to repeat was passed through there
@@ -259,7 +269,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
     kept is the sha256 of the kept words joined by one space or, with texts, the text without the removed words (what is
     left of a changed text between two removals stays as it was; pieces are joined by a newline). Each word in a window of
     `window` words that also starts anywhere else, in the same document or another, is removed. A null or empty text has no
-    words. Rows are told apart by place, not by doc_id: repeated rows are copies of each other and lose their windows.
+    words. Rows are told apart by place, not by doc_id: repeated rows are copies of each other and lose their windows. A very long text is a
+    block of its own.
     Tables without rows give none. The texts are written once, bucketed by row number, so that later levels join without
     moving them again.
     """

@@ -1,7 +1,8 @@
 """URL filters: longest-match rules, and gradient-boosted trees on lexical features for the rest (operator 10).
 
 Features, fitting data, binning and scoring are native expressions. The trees are grown on the driver from a bounded
-sample of labelled rows (FIT_ROWS feature rows, smallest hashes first) and become one CASE expression.
+sample of labelled rows (FIT_ROWS feature rows, smallest hashes first) and become one CASE expression. One half of the labelled urls, by
+hash, gives the suffix statistics and the other half teaches the trees, so that no row's own label is in its features.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ RULES = (
     ("block", "net/fr/"),
 )
 FIT_ROWS = 20_000
+#: Suffix rates are broadcast up to so many rows (their number is counted first); more are joined by salted suffixes.
+BROADCAST_ROWS, SALTS = 100_000, 16
 FEATURES = ("n_chars", "host_chars", "depth", "digit_ratio", "entropy", "n_params", "n_labels", "n_hyphens", "n_host_digits", "path_chars", "suffix_rate")
 
 
@@ -152,32 +155,57 @@ def fit_trees(rows: list[dict], labels: list[int], rounds: int = 24, depth: int
     return out
 
 
-def url_filter(pages: DataFrame, rules=RULES, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """One row per row of pages (page_id, url; other columns are ignored): page_id, host, path, rule, verdict, score.
+def with_rates(rows: DataFrame, rates: DataFrame, n_rates: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows (suffix, ...) with the columns of rates (__suffix, ...), null where there is none; a suffix that most rows have is spread over salts."""
+    if n_rates <= most:
+        return rows.join(F.broadcast(rates), F.col("suffix") == F.col("__suffix"), "left").drop("__suffix")
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)))
+    each = rates.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(each, (F.col("suffix") == F.col("__suffix")) & (F.col("__salt") == F.col("__s")), "left").drop("__suffix", "__s", "__salt")
 
-    A url that a rule fits is labelled with the rule's verdict; these labels train the trees, which judge the rest
-    (block if the score, the probability of block, is at least 0.5). A null url or one without :// has an empty host and
-    path and no rule, and is judged by the trees. Repeated rows are judged alike. Without any labelled url the score is 0.5
-    and the verdict allow. Suffix statistics (share of blocked urls by last host label, smoothed; 0.5 for a suffix without labels) count all labelled rows;
-    the join with them leaves it to the engine to broadcast below its size threshold.
-    """
+
+def judged(pages: DataFrame, rules=RULES) -> DataFrame:
+    """page_id, url, host, path and rule of every row. rules: pairs (verdict, rule), or a DataFrame (verdict, rule) of any size whose rules end in '/'."""
     host, path = url_parts(F.col("url"))
-    verdicts = {r: v for v, r in rules}
     u = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
-    u = u.withColumn("rule", rule_column(F.col("host"), F.col("path"), rules))
-    known = F.lit(None).cast("string")
-    for r, v in verdicts.items():
-        known = F.when(F.col("rule") == r, v).otherwise(known)
-    wide = _features(u).withColumn("known", known)
+    if not isinstance(rules, DataFrame):
+        return u.withColumn("rule", rule_column(F.col("host"), F.col("path"), rules))
+    keyed = u.withColumn("__row", F.struct("host", "path"))
+    found = rule_join(keyed.select("__row", "host", "path").distinct(), rules)
+    return keyed.join(found, "__row", "left").select("page_id", "url", "host", "path", "rule")
+
+
+def url_filter(pages: DataFrame, rules=RULES, fit_rows: int = FIT_ROWS, taught_by=None) -> DataFrame:
+    """One row per row of pages (page_id, url; other columns are ignored): page_id, host, path, rule, verdict, score.
+
+    A url that a rule fits is labelled with the rule's verdict; these labels train the trees (only where the column taught_by of url holds, if given),
+    which judge the rest (block if the score, the probability of block, is at least 0.5). A null url or one without :// has an empty host and
+    path and no rule, and is judged by the trees. Repeated rows are judged alike; a very long url is one string. Without any labelled url the
+    score is 0.5 and the verdict allow. A table without rows gives none. Suffix statistics (share of blocked urls by last host label, smoothed; 0.5 for a
+    suffix without labels) count all rows of their half of the labelled ones.
+    """
+    u = judged(pages, rules)
+    if isinstance(rules, DataFrame):
+        u = u.join(rules.select("rule", F.col("verdict").alias("known")).dropDuplicates(["rule"]), "rule", "left")
+    else:
+        known = F.lit(None).cast("string")
+        for r, v in {r: v for v, r in rules}.items():
+            known = F.when(F.col("rule") == r, v).otherwise(known)
+        u = u.withColumn("known", known)
+    wide = _features(u)
     labelled = wide.where(F.col("known").isNotNull())
-    counts = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.count_if(F.col("known") == "block").alias("b"))
-    totals = counts.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
+    if taught_by is not None:
+        labelled = labelled.where(taught_by)
+    half = F.pmod(F.xxhash64("url", F.lit("half")), F.lit(2)) == 0
+    counts = labelled.where(half).groupBy("suffix").agg(F.count("*").alias("n"), F.count_if(F.col("known") == "block").alias("b"))
+    totals = counts.agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("suffixes")).first()
     prior = ((totals["b"] or 0) + 1) / ((totals["n"] or 0) + 2)
     rates = counts.select(F.col("suffix").alias("__suffix"), ((F.col("b") + 10 * prior) / (F.col("n") + 10)).alias("rate"))
-    full = lambda df: df.join(rates, F.col("suffix") == F.col("__suffix"), "left").withColumn("suffix_rate", F.coalesce("rate", F.lit(0.5)))
-    sample = full(labelled.orderBy(F.xxhash64("url"), "url", "page_id").limit(fit_rows)).orderBy(F.xxhash64("url"), "url", "page_id").select("known", *FEATURES).collect()
+    rated = lambda df: with_rates(df, rates, totals["suffixes"]).withColumn("suffix_rate", F.coalesce("rate", F.lit(0.5)))
+    order = (F.xxhash64("url"), F.col("url"), F.col("page_id"))
+    sample = rated(labelled.where(~half).orderBy(*order).limit(fit_rows)).orderBy(*order).select("known", *FEATURES).collect()
     model = fit_trees([r.asDict() for r in sample], [int(r["known"] == "block") for r in sample])
-    scored = full(wide).withColumn("margin", model.column())
+    scored = rated(wide).withColumn("margin", model.column())
     return scored.select(
         "page_id",
         "host",

@@ -1,8 +1,12 @@
 """Operators 4 and 10 against plain Python."""
 
+import collections
+import math
+import random
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lumenfold.llm import rules, urls
@@ -78,6 +82,64 @@ def test_rule_join_equals_case(spark):
     assert got == {i: expected(u)[2] for i, u in enumerate(URLS) if expected(u)[2]}
 
 
+def lexical(url, host, path):
+    """The features of one url from their definitions, without the suffix rate."""
+    n = max(len(url), 1)
+    share = [url.count(c) / n for c in set(url)]
+    return {"n_chars": len(url), "host_chars": len(host), "depth": path.count("/"), "digit_ratio": sum(c in "0123456789" for c in url) / n,
+            "entropy": -sum(p * math.log2(p) for p in share), "n_params": ("?" in url) + url.count("&"), "n_labels": host.count(".") + 1,
+            "n_hyphens": host.count("-"), "n_host_digits": sum(c in "0123456789" for c in host), "path_chars": len(path), "suffix": host.split(".")[-1]}
+
+
+def test_scores_equal_plain_ones(spark, data):
+    """Features, suffix rates without a row's own label, trees and verdicts of all pages and the odd urls, in plain Python."""
+    found = [r.url for r in spark.read.parquet(f"{data}/pages.parquet").collect()] + URLS
+    rows = []
+    for i, u in enumerate(found):
+        host, path, rule = expected(u)
+        rows.append({**lexical(u or "", host, path), "i": i, "url": u or "", "known": dict((r, v) for v, r in urls.RULES).get(rule)})
+    h64 = lambda s, seed: xxhash.xxh64_intdigest(s.encode(), seed)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    known = [r for r in rows if r["known"]]
+    gives = [r for r in known if signed(h64("half", h64(r["url"], 42))) % 2 == 0]
+    n, b = collections.Counter(r["suffix"] for r in gives), collections.Counter(r["suffix"] for r in gives if r["known"] == "block")
+    prior = (sum(b.values()) + 1) / (len(gives) + 2)
+    for r in rows:
+        s = r["suffix"]
+        r["suffix_rate"] = (b[s] + 10 * prior) / (n[s] + 10) if s in n else 0.5
+    taught = sorted((r for r in known if r not in gives), key=lambda r: (signed(h64(r["url"], 42)), r["url"], r["i"]))
+    model = urls.fit_trees(taught, [int(r["known"] == "block") for r in taught])
+    got = {r.page_id: r for r in urls.url_filter(spark.createDataFrame(list(enumerate(found)), "page_id int, url string")).collect()}
+    for r in rows:
+        score = 1 / (1 + math.exp(-model.score(r)))
+        assert got[r["i"]].score == pytest.approx(score, abs=1e-6), r
+        assert got[r["i"]].verdict == (r["known"] or ("block" if score > 0.5 else "allow"))
+
+
+def test_salted_rates_equal_broadcast_ones(spark):
+    rows = spark.createDataFrame([(i, f"http://{'a.net' if i % 3 else 'b.com'}/{i}", "net" if i % 3 else "com" if i % 5 else "xyz") for i in range(300)], "page_id int, url string, suffix string")
+    rates = spark.createDataFrame([("net", 4, 3), ("com", 2, 0)], "__suffix string, n int, b int")
+    assert sorted(urls.with_rates(rows, rates, 2).collect()) == sorted(urls.with_rates(rows, rates, 2, most=1).collect())
+
+
+def test_rules_as_a_table(spark):
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id int, url string")
+    table = spark.createDataFrame(list(urls.RULES), "verdict string, rule string")
+    assert sorted(urls.url_filter(pages, table).collect()) == sorted(urls.url_filter(pages).collect())
+
+
+def test_trees_judge_unseen_hosts(spark):
+    """Urls in the manner of blocked ones (long, digits, parameters) on hosts and suffixes without rules are blocked, plain ones are not."""
+    rng = random.Random(6)
+    plain = lambda host: f"http://{host}/{rng.choice(['news', 'about', 'wiki'])}/{rng.choice(['river', 'boat', 'house'])}"
+    spam = lambda host: f"http://{host}/{rng.randrange(10**9)}/{rng.randrange(10**9)}?a={rng.randrange(10**6)}&b=1&c=2"
+    rows = [(i, (spam if i % 2 else plain)(f"h{i}.{'bad' if i % 2 else 'good'}.{rng.choice(['net', 'com'])}")) for i in range(600)]
+    rows += [(1000 + i, (spam if i % 2 else plain)(f"h{i}.other.{rng.choice(['net', 'com', 'xyz'])}")) for i in range(200)]
+    table = tuple((v, f"{h}.{s}/") for v, h in (("block", "bad"), ("allow", "good")) for s in ("net", "com"))
+    out = urls.url_filter(spark.createDataFrame(rows, "page_id int, url string"), table).where("page_id >= 1000").collect()
+    assert all(r.rule is None for r in out) and sum((r.verdict == "block") == (r.page_id % 2 == 1) for r in out) >= 180
+
+
 def test_trees_learn_and_compile(spark):
     rows = [{f: float((i * 7919 + k * 31) % 97) for k, f in enumerate(urls.FEATURES)} for i in range(400)]
     labels = [int(r["depth"] > 40 and r["entropy"] < 60) for r in rows]

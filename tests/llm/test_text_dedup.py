@@ -53,6 +53,22 @@ def test_window_hash_is_of_its_words_only():
         assert ha[20] == hb[10] and ha[0] != hb[0]
 
 
+def test_equal_hashes_of_one_family_remove_nothing(spark, monkeypatch):
+    """With a first family of hashes that is the same for all words, the second one alone still tells windows apart."""
+    real = substrings.word_hashes
+    monkeypatch.setattr(substrings, "word_hashes", lambda raw, starts, ends, family=0: real(raw, starts, ends, family) if family else np.full(len(starts), 7, np.uint64))
+    run = substrings._next_level([9, 18, 35], 2, 3)
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    text = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(60)) for _ in range(3)]
+    text.append(text[0])
+    batch = pa.RecordBatch.from_pydict({"__row": pa.array([0, 1, 2, 3], pa.int64()), "text": text, "found": pa.array([list(range(60))] * 4, pa.list_(pa.int32()))})
+    met = [(r["rows"], r["pos"]) for b in substrings._meet(2)(run([batch])) for r in b.to_pylist()]
+    rows = {int(x) for r, _ in met for x in np.frombuffer(r, np.int64)}
+    assert rows == {0, 3}
+
+
 def test_text_form_keeps_columns_and_layout(messy):
     out = substrings.without_repeats(messy)
     assert out.columns == messy.columns and out.count() == messy.count()
