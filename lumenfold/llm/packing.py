@@ -1,17 +1,18 @@
 """Packing token ids into fixed windows by minimum bin slack (operator 5).
 
-A document longer than the window is cut into full windows; what is over joins a pool of tails. Each window takes the
-multiset of remaining lengths that fills it closest: a subset-sum programme over bitsets, longest lengths first, with the
-counts found by walking its layers back. Where even the best leaves slack, a further tail is cut to fill it. The last tokens of a
-partition, fewer than a window, are laid into sequences whose lengths are powers of two, which need no padding.
+A document longer than the window is cut into full windows; what is over joins a pool of tails. Each window takes the tail that has waited
+longest and, of the pool's lengths, the multiset that fills the rest closest: a subset-sum programme over bitsets, longest lengths first, with the
+counts found by walking its layers back; of one length the tails that have waited longest go. Where even the best leaves slack, a further tail is cut to fill it.
+The last tokens of a partition, fewer than a window, are laid into sequences whose lengths are powers of two, which need no padding.
 
-A pool holds at most POOL tails, so memory is bounded for any input; partitions are packed independently.
+A pool holds at most POOL tails, so memory is bounded for any input, "closest" is of the pool, and sequences come in the order of
+the documents up to a pool; partitions are packed independently.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from .tokens import CACHE, encoder, gathered, text_slices
 
 WINDOW = 1024
 END = 0
-POOL, LOW = 4096, 1024
+POOL, LOW = 1024, 512
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -52,11 +53,14 @@ def fill(counts: dict[int, int], room: int) -> dict[int, int]:
 
 
 class Packer:
-    """Takes documents' ids and gives pieces with their place. A tail is [doc_id, start, ids, doc_tokens]."""
+    """Takes documents' ids and gives pieces with their place. A tail is (doc_id, start, ids, doc_tokens), known in the pool by its number."""
 
     def __init__(self, window: int, part: int):
         self.window, self.next = window, part << 33
-        self.pool: dict[int, list] = defaultdict(list)
+        self.pool: dict[int, deque] = defaultdict(deque)
+        self.tails: dict[int, tuple] = {}
+        self.waiting: deque[int] = deque()
+        self.number = 0
         self.counts: dict[int, int] = {}
         self.size = self.total = 0
         self.out: list[tuple] = []
@@ -96,32 +100,48 @@ class Packer:
         doc_id, start, ids, tokens = piece
         return (doc_id, start, ids[:n], tokens), (doc_id, start + n, ids[n:], tokens)
 
-    def _put(self, piece) -> None:
+    def _put(self, piece, again: bool = False) -> None:
+        """A tail joins; what is over of one that was cut goes first again."""
         n = len(piece[2])
-        self.pool[n].append(piece)
+        self.number += 1
+        self.tails[self.number] = piece
+        (self.pool[n].appendleft if again else self.pool[n].append)(self.number)
+        (self.waiting.appendleft if again else self.waiting.append)(self.number)
         self.counts[n] = self.counts.get(n, 0) + 1
         self.size += 1
         self.total += n
 
-    def _take(self, n: int):
+    def _out_of_pool(self, number: int):
+        piece = self.tails.pop(number)
+        n = len(piece[2])
         self.counts[n] -= 1
         self.size -= 1
         self.total -= n
-        return self.pool[n].pop()
+        return piece
+
+    def _take(self, n: int):
+        """The tail of n ids that has waited longest."""
+        while (number := self.pool[n].popleft()) not in self.tails:
+            pass
+        return self._out_of_pool(number)
+
+    def _oldest(self):
+        while (number := self.waiting.popleft()) not in self.tails:
+            pass
+        return self._out_of_pool(number)
 
     def _windows(self, low: int) -> None:
         """Full windows until the pool holds `low` tails or fewer ids than a window."""
         while self.size > low and self.total >= self.window:
             self.counts = {k: c for k, c in self.counts.items() if c}
-            first = max(self.counts)  # the longest tail is in every window, as it is hardest to place
-            row = [self._take(first)]
-            chosen = fill(self.counts, self.window - first)
+            row = [self._oldest()]
+            chosen = fill(self.counts, self.window - len(row[0][2]))
             for length, k in chosen.items():
                 row += [self._take(length) for _ in range(k)]
             if slack := self.window - self.total_of(row):
                 piece, over = self._cut(self._take(max(k for k, c in self.counts.items() if c)), slack)
                 row.append(piece)
-                self._put(over)
+                self._put(over, again=True)
             self._emit(row)
 
     def _emit(self, row: list) -> None:
@@ -151,7 +171,8 @@ def ended(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END, spaced: bool = True, cache: int = CACHE) -> DataFrame:
     """Pieces of all rows of docs (doc_id, text; other columns are ignored): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null text is empty: its one id is the end id. Rows of equal doc_id are documents of their own. A null doc_id stays null.
+    A null text is empty: its one id is the end id. Rows of equal doc_id are documents of their own. A null doc_id stays null; doc_id is cast
+    to long, a value that is none is an error. A very long text is encoded by itself and cut into windows.
     Tables without rows give no pieces. sequence_id holds the partition in its upper bits; a rerun of a lost task makes the
     same pieces, for a partition's rows and order are those of its input split. cache bounds the pieces whose ids a worker remembers.
     """

@@ -24,8 +24,6 @@ from .shared import Scratch, mix64, modest_batches, shuffle_width, text_buffers,
 
 BITS = 64
 SEED = 42
-#: A bucket of more fingerprints than this is split once more by exact pigeonhole over all bits.
-WIDE = 20_000
 #: Costs by which the programme weighs one emitted key against one candidate pair.
 KEY_COST, PAIR_COST = 60.0, 5.0
 _CHUNK = "bucket int, keys binary, fps binary"
@@ -129,23 +127,27 @@ def _agreement(p: np.ndarray, t: int) -> float:
 
 
 def plan_partitions(n: int, ones: np.ndarray, both: np.ndarray, radius: int) -> list[Part]:
-    """Partitions and thresholds of least estimated cost for n fingerprints, given counts of set bits and of pairs of them."""
+    """Partitions and thresholds of least estimated cost for n fingerprints, given counts of set bits and of pairs of them.
+
+    From one partition to radius + 1 of them are tried, each with every threshold up to its size.
+    """
+    if not 0 <= radius <= BITS:
+        raise ValueError(f"radius must be from 0 to {BITS}")
     n = max(n, 1)
     p = ones / n
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     corr = np.abs((both / n - np.outer(p, p)) / np.outer(sd, sd))
     best = (float("inf"), [])
-    for m in range(1, min(radius + 2, 9)):
-        left, groups = set(range(BITS)), []
+    for m in range(1, min(radius + 1, BITS) + 1):
+        free, groups = np.ones(BITS, bool), []
         for k in range(m):
             size = (BITS - sum(map(len, groups))) // (m - k)
-            start = max(left, key=lambda b: (sum(corr[b][c] for c in left if c != b), -b))
-            group = [start]
-            left.discard(start)
-            while len(group) < size:
-                nxt = max(left, key=lambda b: (sum(corr[b][c] for c in group), -b))
-                group.append(nxt)
-                left.discard(nxt)
+            pull, group = corr @ free - np.diag(corr), []
+            while len(group) < size:  # the most correlated bit joins, the first of equals
+                bit = int(np.argmax(np.where(free, pull, -1.0)))
+                pull = corr[bit].copy() if not group else pull + corr[bit]
+                group.append(bit)
+                free[bit] = False
             groups.append(tuple(sorted(group)))
 
         def cost(g, t):
@@ -160,7 +162,7 @@ def plan_partitions(n: int, ones: np.ndarray, both: np.ndarray, radius: int) ->
         for g in groups:
             nxt: dict = {}
             for s, (c, ts) in table.items():
-                for t in range(-1, min(total + m, 5)):
+                for t in range(-1, len(g) + 1):
                     if (s2 := s + t + 1) <= total + m and ((v := c + cost(g, t)) < nxt.get(s2, (float("inf"),))[0]):
                         nxt[s2] = (v, [*ts, t])
             table = nxt
@@ -173,9 +175,9 @@ def _masks(bits: tuple[int, ...], up_to: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(up_to + 1) for c in combinations(bits, k)], np.uint64)
 
 
-def keys_of(fps: np.ndarray, parts: list[Part]):
-    """(key, fingerprint) arrays under which fingerprints meet; a key is 32 bits, for candidates are verified anyway."""
-    keys, who = [], []
+def keys_of(fps: np.ndarray, parts: list[Part]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, index of the fingerprint) arrays under which fingerprints meet; a key is 32 bits, for candidates are verified anyway."""
+    keys, n = [], 0
     with np.errstate(over="ignore"):
         for k, part in enumerate(parts):
             if part.threshold < 0:
@@ -183,8 +185,8 @@ def keys_of(fps: np.ndarray, parts: list[Part]):
             mask = np.uint64(sum(1 << b for b in part.bits))
             for flip in _masks(part.bits, (part.threshold + 1) // 2):
                 keys.append((mix64(((fps ^ flip) & mask) + np.uint64(k + 1) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.uint32))
-                who.append(fps)
-    return (np.concatenate(keys), np.concatenate(who)) if keys else (np.zeros(0, np.uint32), np.zeros(0, np.uint64))
+                n += 1
+    return np.concatenate(keys) if keys else np.zeros(0, np.uint32), np.tile(np.arange(len(fps)), n)
 
 
 # ------------------------------------------------------------------------------------------------ links within buckets
@@ -209,8 +211,8 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _spread(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components among distinct fingerprints of one bucket: each visit takes all it reaches out of the rest."""
+def _visit(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components among distinct fingerprints: each visit takes all it reaches out of the rest."""
     left, src, dst = np.arange(len(fps)), [], []
     queue: list[int] = []
     while len(left):
@@ -228,8 +230,8 @@ def _spread(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(src), np.concatenate(dst)) if src else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _split_spread(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """As _spread for a wide bucket: fingerprints within radius agree on one of radius + 1 slices exactly, so slices' buckets do."""
+def _spread(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of one bucket: fingerprints within radius agree on one of radius + 1 slices exactly, so those of equal slices are visited."""
     src, dst = [], []
     for slice_bits in np.array_split(np.arange(BITS), radius + 1):
         mask = np.uint64(sum(1 << int(b) for b in slice_bits))
@@ -239,14 +241,14 @@ def _split_spread(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             if j - i > 1:
                 at = order[i:j]
-                s, d = _spread(fps[at], radius)
+                s, d = _visit(fps[at], radius)
                 src.append(at[s])
                 dst.append(at[d])
     return (np.concatenate(src), np.concatenate(dst)) if src else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as (fingerprint, lesser fingerprint), of the links among fingerprints that share a key."""
+    """A spanning forest, as (fingerprint, lesser fingerprint), of the links among fingerprints that share a key; few under a key are compared pair by pair."""
     nodes, at = np.unique(fps, return_inverse=True)
     order = np.lexsort((at, keys))
     keys, at = keys[order], at[order]
@@ -268,7 +270,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nda
             dst.append(y[near])
     for k in np.flatnonzero(sizes > 64):
         who = at[cut[k] : cut[k + 1]]
-        s, d = (_spread if len(who) <= WIDE else _split_spread)(nodes[who], radius)
+        s, d = _spread(nodes[who], radius)
         src.append(who[s])
         dst.append(who[d])
     if not src:
@@ -283,10 +285,10 @@ def _deal(parts: list[Part], buckets: int):
         for b in batches:
             fps = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for a in range(0, len(fps), 20_000):
-                keys, who = keys_of(fps[a : a + 20_000], parts)
+                keys, at = keys_of(fps[a : a + 20_000], parts)
                 bucket = keys % np.uint32(buckets)
                 order = np.argsort(bucket, kind="stable")
-                keys, who, bucket = keys[order], who[order], bucket[order]
+                keys, who, bucket = keys[order], fps[a + at[order]], bucket[order]
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
                 rows = [(k, keys[i:j].tobytes(), who[i:j].tobytes()) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
                 if rows:
@@ -360,16 +362,20 @@ def _named(classes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     roots = connected(links, scratch)
     # every linked fingerprint with its root; the root itself included
     member = roots.unionByName(roots.select(F.col("root").alias("a"), "root").distinct())
-    first = member.join(classes, F.col("a") == F.col("fp")).groupBy("root").agg(F.min("least").alias("first"))
+    # written before it is joined: a component of a third of all rows is then split by the engine
+    first = scratch.write(member.join(classes, F.col("a") == F.col("fp")).groupBy("root").agg(F.min("least").alias("first")))
     linked = member.join(first, "root").select("a", "first")
     return scratch.write(classes.join(linked, F.col("a") == F.col("fp"), "left").select("fp", F.coalesce("first", "least").alias("least")))
 
 
-def one_of_each_group(docs: DataFrame, least: float = 0.65) -> DataFrame:
+def one_of_each_group(docs: DataFrame, least: float = 2 / 3, radius: int = 3) -> DataFrame:
     """docs without near duplicates: of each component the row of the least doc_id stays, one row even where rows repeat.
 
-    Texts are compared as sets of five-word shingles (module sketches). Links need a similarity that sketches estimate
-    at `least` or more; the estimate errs by 0.035 (one standard deviation), so that 0.65 keeps practically every pair of 0.8.
+    Texts are compared as sets of five-word shingles (module sketches). They meet by their SimHash fingerprints of these shingles (within `radius` bits,
+    by the search of this module) or by bands of least hashes, as fingerprints alone lose pairs of similarity 0.8; every pair
+    that meets is checked. It is linked if the sketches put the sets' Jaccard similarity at `least` or more: two thirds
+    mean a cosine, which is what fingerprints stand for, of at least 0.8. The estimate's standard deviation is 0.04. Texts without words are
+    copies of each other. A null doc_id stays where its group has no other. Very long texts are one set each. A table without rows gives none.
     """
     spark = docs.sparkSession
     modest_batches(spark)
@@ -377,30 +383,37 @@ def one_of_each_group(docs: DataFrame, least: float = 0.65) -> DataFrame:
     doc = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")
     printed = scratch.write(docs.select(_own(docs).alias("own"), doc, sketches.sketch_column(text_of(docs)).alias("s")))
     # a class is a set of shingles: its rows have equal sketches
-    classes = scratch.write(printed.groupBy(F.col("s.fp").alias("fp")).agg(F.min("own").alias("least"), F.first("s.bands").alias("bands"), F.first("s.sketch").alias("sketch")))
-    links = scratch.write(sketches.linked(classes.repartition(n), n, least))
+    firsts = [F.first(f"s.{c}").alias(c) for c in ("print", "bands", "sketch")]
+    classes = scratch.write(printed.groupBy(F.col("s.fp").alias("fp")).agg(F.min("own").alias("least"), *firsts))
+    parts = _planned(classes.select(F.col("print").alias("fp")), radius)
+    links = scratch.write(sketches.linked(classes.repartition(n), n, parts, radius, least))
     stays = _named(classes.select("fp", "least"), links, scratch).select("least.row").distinct()
     return printed.join(stays.hint("shuffle_hash"), F.col("own.row") == F.col("row"), "left_semi").select("doc.*")
 
 
+def _planned(prints: DataFrame, radius: int) -> list[Part]:
+    """Partitions and thresholds for fingerprints (fp), from counts over all of them."""
+    counts = prints.mapInArrow(_bit_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    both = np.zeros((BITS, BITS))
+    for r in counts:
+        i, j = divmod(r["at"], BITS)
+        both[i, j] = both[j, i] = r["n"]
+    return plan_partitions(prints.count(), np.diag(both).copy(), both, radius)
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """Rows of docs (doc_id, text; other columns are ignored) as doc_id, fp (long) and component_id.
 
     component_id is the least doc_id that links reach (nulls are no candidates for it while any other id is there). A null
-    or empty text has fingerprint zero and links like any other. Repeated rows share a fingerprint, hence a component.
-    Tables without rows give none. Fingerprints are made distinct before the search, so copies cost nothing there.
+    or empty text has fingerprint zero and links like any other. Repeated rows share a fingerprint, hence a component. Very long
+    texts are summed in pieces. Tables without rows give none. Fingerprints are made distinct before the search, so copies cost nothing there.
     """
     spark = docs.sparkSession
     modest_batches(spark)
     scratch, n = Scratch(spark, "simhash"), max(shuffle_width(spark), 2)
     printed = scratch.write(docs.select(_own(docs).alias("own"), fingerprint_column(text_of(docs), shingle).alias("fp")))
     classes = scratch.write(printed.groupBy("fp").agg(F.min("own").alias("least")))
-    counts = classes.select("fp").mapInArrow(_bit_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    both = np.zeros((BITS, BITS))
-    for r in counts:
-        i, j = divmod(r["at"], BITS)
-        both[i, j] = both[j, i] = r["n"]
-    parts = plan_partitions(classes.count(), np.diag(both).copy(), both, radius)
+    parts = _planned(classes.select("fp"), radius)
     links = scratch.write(classes.select("fp").repartition(n).mapInArrow(_deal(parts, n), _CHUNK).repartitionById(n, F.col("bucket")).mapInArrow(_meet(radius), "a long, b long"))
     named = _named(classes, links, scratch)
     named = named.select(F.col("fp").alias("__fp"), F.col("least.doc_id").alias("component_id"))

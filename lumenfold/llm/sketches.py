@@ -1,9 +1,11 @@
-"""Sketches of five-word shingle sets: candidates by bands, each checked by the similarity that whole sketches give.
-
-A text's set of shingles (runs of five lower-cased words; all its words where it has fewer) is sketched by the least
-hash under each of KEPT permutations, eight bits of each. Texts meet where all ROWS least hashes of one of BANDS bands
-agree: by the method's odds pairs of similarity (Jaccard) 0.8 do so in 998 of 1000 cases, whatever the place of their
-edits. Two that meet are linked only if their sketches agree on enough places. Equal sets share a mark, so copies cost nothing in the search.
+"""Sketches of five-word shingle sets: candidates by fingerprints and by bands, each checked by the similarity that whole sketches give.
+
+A text's set of shingles (runs of five lower-cased words; all its words where it has fewer) has a SimHash fingerprint and is
+sketched by the least hash under each of KEPT permutations, eight bits of each. Texts meet where the generalised
+pigeonhole of module simhash brings their fingerprints together, or where all ROWS least hashes of one of BANDS bands
+agree: by the method's odds pairs of similarity (Jaccard) 0.8 do the latter in 998 of 1000 cases, whatever the place of their edits, where
+64-bit fingerprints differ in ten bits on average. Two that meet are linked only if their sketches agree on enough places. Equal sets share a mark, so copies cost
+nothing in the search.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from .shared import mix64, text_buffers, window_hashes, word_hashes, word_spans
 
 SHINGLE, KEPT, BANDS, ROWS = 5, 128, 12, 4
-_CHUNK = "bucket int, keys binary, fps binary, sketches binary"
+_CHUNK = "bucket int, keys binary, fps binary, prints binary, sketches binary"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 with np.errstate(over="ignore"):
@@ -75,22 +77,25 @@ def sketched(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def sketch_column(text):
-    """A struct of the mark (fp, long), the bands and the sketch (binaries) of the text column."""
+    """A struct of the mark (fp, long), the fingerprint (print, long), the bands and the sketch (binaries) of the text column."""
+    from .simhash import majority
 
     def run(col: pa.Array) -> pa.Array:
         raw, offsets = text_buffers(col)
         out, a, n = [], 0, len(offsets) - 1
         while a < n:
             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (4 << 20), "right")) - 1)
-            out.append(sketched(*shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])))
+            h, counts = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            out.append((*sketched(h, counts), majority(h, counts)))
             a = b
-        fields = [("fp", pa.int64()), ("bands", pa.binary()), ("sketch", pa.binary())]
-        marks, bands, sketch = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), [], [])
-        columns = [pa.array(marks.view(np.int64)), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (bands, sketch))]
+        fields = [("fp", pa.int64()), ("print", pa.int64()), ("bands", pa.binary()), ("sketch", pa.binary())]
+        none = np.zeros(0, np.uint64)
+        marks, bands, sketch, prints = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, [], [], none)
+        columns = [pa.array(marks.view(np.int64)), pa.array(prints.view(np.int64)), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (bands, sketch))]
         return pa.StructArray.from_arrays(columns, fields=[pa.field(*f) for f in fields])
 
     run.__annotations__ = {"col": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "fp long, bands binary, sketch binary")(text)
+    return F.arrow_udf(run, "fp long, print long, bands binary, sketch binary")(text)
 
 
 def least_agreement(least: float) -> int:
@@ -98,48 +103,50 @@ def least_agreement(least: float) -> int:
     return int(np.ceil(KEPT * (least + (1 - least) / 256)))
 
 
-def _spread(sketches: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of one band's bucket: each visit takes all it is similar to out of the rest."""
-    left, src, dst, queue = np.arange(len(sketches)), [], [], []
-    while len(left):
-        if not queue:
-            queue.append(int(left[0]))
-            left = left[1:]
-        x = queue.pop()
-        near = np.count_nonzero(sketches[left] == sketches[x], axis=1) >= places
-        if near.any():
-            got = left[near]
-            src.append(np.full(len(got), x))
-            dst.append(got)
-            queue.extend(got.tolist())
-            left = left[~near]
-    return (np.concatenate(src), np.concatenate(dst)) if src else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+def _alike(x: np.ndarray, y: np.ndarray, by_print: np.ndarray | bool, prints: np.ndarray, sketches: np.ndarray, radius: int, places: int) -> np.ndarray:
+    """Of pairs that share a key, which are links: fingerprints that met by a partition must be within radius, sketches must agree on enough places."""
+    out = ~np.broadcast_to(by_print, x.shape) | (np.bitwise_count(prints[x] ^ prints[y]) <= radius)
+    at = np.flatnonzero(out)
+    for a in range(0, len(at), 1 << 15):
+        some = at[a : a + (1 << 15)]
+        out[some] = np.count_nonzero(sketches[x[some]] == sketches[y[some]], axis=1) >= places
+    return out
 
 
-def links(keys: np.ndarray, fps: np.ndarray, sketches: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as (mark, lesser mark), of those pairs under one key whose sketches agree on `places` or more."""
+def links(keys: np.ndarray, fps: np.ndarray, prints: np.ndarray, sketches: np.ndarray, radius: int, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as (mark, lesser mark), of the links among sets that share a key; odd keys are of fingerprints, even ones of bands."""
     from .simhash import components
 
     nodes, one, at = np.unique(fps, return_index=True, return_inverse=True)
+    prints, sketches = prints[one], sketches[one]
     order = np.lexsort((at, keys))
     keys, at = keys[order], at[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (at[1:] != at[:-1])
+    keys, at = keys[fresh], at[fresh]
     cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-    sizes = np.diff(cut)
+    sizes, odd = np.diff(cut), (keys[cut[:-1]] & np.uint32(1)).astype(bool)
     src, dst = [], []
     for size in np.unique(sizes[(sizes > 1) & (sizes <= 64)]):
         i, j = np.triu_indices(size, 1)
-        groups, step = cut[:-1][sizes == size], max(1, (1 << 15) // len(i))
-        for g in range(0, len(groups), step):
-            base = groups[g : g + step][:, None]
+        who, step = np.flatnonzero(sizes == size), max(1, (1 << 18) // len(i))
+        for g in range(0, len(who), step):
+            base = cut[who[g : g + step]][:, None]
             x, y = at[base + i].ravel(), at[base + j].ravel()
-            near = np.count_nonzero(sketches[one[x]] == sketches[one[y]], axis=1) >= places
+            near = _alike(x, y, np.repeat(odd[who[g : g + step]], len(i)), prints, sketches, radius, places)
             src.append(x[near])
             dst.append(y[near])
-    for k in np.flatnonzero(sizes > 64):
-        who = at[cut[k] : cut[k + 1]]
-        s, d = _spread(sketches[one[who]], places)
-        src.append(who[s])
-        dst.append(who[d])
+    for k in np.flatnonzero(sizes > 64):  # each visit takes all it is similar to out of the rest
+        left, queue = at[cut[k] : cut[k + 1]], []
+        while len(left):
+            if not queue:
+                queue, left = [int(left[0])], left[1:]
+            x = np.full(len(left), queue.pop())
+            near = _alike(x, left, bool(odd[k]), prints, sketches, radius, places)
+            src.append(x[near])
+            dst.append(left[near])
+            queue.extend(left[near].tolist())
+            left = left[~near]
     if not src:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     label = components(len(nodes), np.concatenate(src), np.concatenate(dst))
@@ -147,41 +154,45 @@ def links(keys: np.ndarray, fps: np.ndarray, sketches: np.ndarray, places: int)
     return nodes[moved], nodes[label[moved]]
 
 
-def _deal(buckets: int):
+def _deal(buckets: int, parts: list):
+    from .simhash import keys_of
+
     def run(batches):
         for b in batches:
-            fps = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            fps, prints = (b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "print"))
             bands = np.frombuffer(b"".join(b.column("bands").to_pylist()), np.uint32)
             sketches = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, KEPT)
-            who = np.repeat(np.arange(len(fps)), BANDS)
-            bucket = bands % np.uint32(buckets)
+            met, of = keys_of(prints, parts)
+            keys = np.concatenate((bands & np.uint32(0xFFFFFFFE), met | np.uint32(1)))
+            who = np.concatenate((np.repeat(np.arange(len(fps)), BANDS), of))
+            bucket = (keys >> np.uint32(1)) % np.uint32(buckets)
             order = np.argsort(bucket, kind="stable")
-            keys, who = bands[order], who[order]
+            keys, who = keys[order], who[order]
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [(k, keys[i:j].tobytes(), fps[who[i:j]].tobytes(), sketches[who[i:j]].tobytes()) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+            rows = [(k, keys[i:j].tobytes(), *(c[who[i:j]].tobytes() for c in (fps, prints, sketches))) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "fps", "sketches"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "keys", "fps", "prints", "sketches"])
 
     return run
 
 
-def _meet(places: int):
+def _meet(radius: int, places: int):
     def run(batches):
-        keys, fps, sketches = [], [], []
+        got: dict = {"keys": [], "fps": [], "prints": [], "sketches": []}
         for b in batches:
             for r in b.to_pylist():
-                keys.append(np.frombuffer(r["keys"], np.uint32))
-                fps.append(np.frombuffer(r["fps"], np.uint64))
-                sketches.append(np.frombuffer(r["sketches"], np.uint8).reshape(-1, KEPT))
-        if keys:
-            x, y = links(np.concatenate(keys), np.concatenate(fps), np.concatenate(sketches), places)
+                for name, values in got.items():
+                    values.append(r[name])
+        if got["keys"]:
+            keys, fps, prints, sketches = (np.frombuffer(b"".join(v), t) for v, t in zip(got.values(), (np.uint32, np.uint64, np.uint64, np.uint8), strict=True))
+            x, y = links(keys, fps, prints, sketches.reshape(-1, KEPT), radius, places)
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
 
     return run
 
 
-def linked(classes, buckets: int, least: float):
-    """(a, b): a forest of the links among classes (fp, bands, sketch), by mark."""
-    dealt = classes.select("fp", "bands", "sketch").mapInArrow(_deal(buckets), _CHUNK)
-    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(least_agreement(least)), "a long, b long")
+def linked(classes, buckets: int, parts: list, radius: int, least: float):
+    """(a, b): a forest of the links among classes (fp, print, bands, sketch), by mark."""
+    dealt = classes.select("fp", "print", "bands", "sketch").mapInArrow(_deal(buckets, parts), _CHUNK)
+    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(radius, least_agreement(least)), "a long, b long")

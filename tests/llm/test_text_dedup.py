@@ -109,7 +109,7 @@ def test_fingerprints_and_components(messy):
         assert r.component_id == min(ids, default=None)
 
 
-@pytest.mark.parametrize("radius", [0, 1, 2, 3, 6, 8])
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 6, 8, 12])
 def test_search_finds_all_links(radius):
     """Clusters, chains and noise: the forest's components are those of all links; wide buckets take the second split."""
     rng = random.Random(radius)
@@ -124,13 +124,26 @@ def test_search_finds_all_links(radius):
     both = bits.T @ bits
     parts = simhash.plan_partitions(len(f), np.diag(both).copy(), both, radius)
     assert sum(p.threshold for p in parts) == radius - len(parts) + 1 and sorted(b for p in parts for b in p.bits) == list(range(64))
-    a, b = simhash.bucket_links(*simhash.keys_of(f, parts), radius)
+    keys, who = simhash.keys_of(f, parts)
+    a, b = simhash.bucket_links(keys, f[who], radius)
     at = {int(x): i for i, x in enumerate(f)}
     got = simhash.components(len(f), np.array([at[int(x)] for x in a], int), np.array([at[int(x)] for x in b], int))
     i, j = np.nonzero(np.triu(np.bitwise_count(f[:, None] ^ f[None]) <= radius, 1))
     assert (got == simhash.components(len(f), i, j)).all()
-    s, d = simhash._split_spread(f, radius)
-    assert (simhash.components(len(f), s, d) == simhash.components(len(f), i, j)).all()
+    for spread in (simhash._spread, simhash._visit):
+        s, d = spread(f, radius)
+        assert (simhash.components(len(f), s, d) == simhash.components(len(f), i, j)).all()
+
+
+def test_every_radius_has_a_plan():
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 2, (500, 64)).astype(float)
+    both = bits.T @ bits
+    for radius in (0, 5, 40, 64):
+        parts = simhash.plan_partitions(500, np.diag(both).copy(), both, radius)
+        assert parts and sum(p.threshold for p in parts) == radius - len(parts) + 1 and sorted(b for p in parts for b in p.bits) == list(range(64))
+    with pytest.raises(ValueError):
+        simhash.plan_partitions(500, np.diag(both).copy(), both, 65)
 
 
 def test_connected_chain(spark):

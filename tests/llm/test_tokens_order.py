@@ -95,6 +95,31 @@ def expanded(base, rules, seq):
     return out
 
 
+def test_sequences_keep_the_order_of_documents_up_to_a_pool():
+    """Documents of two kinds, dealt one to three; the kinds' shares of tokens hold in every stretch of sequences, and none waits for long."""
+    rng = random.Random(2)
+    p = packing.Packer(1024, 0)
+    for i in range(40_000):
+        p.add(i, np.full(rng.choice([700, 900, 1000]) if i % 4 == 0 else rng.randint(5, 400), i % 4 == 0, np.uint32))
+    p.finish()
+    rows = p.out
+    by_seq = collections.defaultdict(collections.Counter)
+    for doc_id, _, n, _, _, seq, _ in rows:
+        by_seq[seq][doc_id % 4 == 0] += n
+    seqs = sorted(by_seq)
+    total = sum((by_seq[s] for s in seqs), collections.Counter())
+    share = total[True] / total.total()
+    for a in range(0, len(seqs) - 1000, 1000):
+        part = sum((by_seq[s] for s in seqs[a : a + 1000]), collections.Counter())
+        assert abs(part[True] / part.total() - share) < 0.08
+    assert all(c.total() == 1024 for s, c in by_seq.items() if s < seqs[-12])
+    first = {}
+    for doc_id, *_, seq, _ in rows:
+        first.setdefault(doc_id, seq)
+    late = [first[i] / len(seqs) - i / 40_000 for i in first]
+    assert max(map(abs, late)) < 0.25
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(1)
     phrase = rng.integers(0, 49_408, 30)
