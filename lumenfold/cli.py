@@ -36,7 +36,7 @@ def inspect_graph(spark, a) -> None:
 
 
 def list_figures(spark, a) -> None:
-    _tables(spark, a.graph)[0].where("node_type = 'Figure'").select("node_id", "paper_id", "page", "image_path").write.json(a.out)
+    build.listed_figures(_tables(spark, a.graph)[0]).write.json(a.out)
 
 
 def merge_graphs(spark, a) -> None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import re
 import unicodedata
 from difflib import SequenceMatcher
@@ -43,6 +41,23 @@ def sequence_ratio(a, b):
     return _over("double", sequence_ratio_of, a, b)
 
 
+def bounded_ratio(a, b, floor):
+    """The sequence ratio of each row whose letters allow one of `floor` or more, else 0. The floor rises to the best ratio found for equal `a` in a batch."""
+
+    def run(x: pd.Series, y: pd.Series, least: pd.Series) -> pd.Series:
+        out, best = [0.0] * len(x), {}
+        found = [(SequenceMatcher(None, p, q, autojunk=False), p) for p, q in zip(x, y, strict=True)]
+        bounds = [m.quick_ratio() for m, _ in found]
+        for i in sorted(range(len(found)), key=lambda i: -bounds[i]):
+            m, p = found[i]
+            if bounds[i] >= max(least.iloc[i], best.get(p, 0.0)):
+                out[i] = m.ratio()
+                best[p] = max(best.get(p, 0.0), out[i])
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "double")(a, b, floor)
+
+
 def common_length(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, by bit-parallel rows: one machine word operation covers a row."""
     where: dict[str, int] = {}
@@ -89,12 +104,31 @@ def html_table_text(c):
     return _over("string", html_rows, c)
 
 
+#: A cell and the mark behind it, for each mark that may part cells: quoted (doubled quotes stand for one), else up to the mark.
+_CELL = {m: re.compile(rf'\s*"((?:[^"]|"")*)"[^{re.escape(m)}]*(?:{re.escape(m)}|$)|([^{re.escape(m)}]*)(?:{re.escape(m)}|$)') for m in ("\t", "|", ",")}
+_RULE = re.compile(r"[-:\s]*")
+
+
+def _cells_of(line: str, mark: str) -> list[str]:
+    out, at = [], 0
+    while at <= len(line):
+        found = _CELL[mark].match(line, at)
+        quoted, plain = found.groups()
+        out.append((plain if quoted is None else quoted.replace('""', '"')).strip())
+        closed = found.end() > at and line[found.end() - 1 : found.end()] == mark
+        at = found.end() if closed else len(line) + 1
+    return out
+
+
 def table_cells(text: str | None) -> list[list[str]]:
-    """Cells of a linearised table: tabs, else bars, else commas part them; rules of dashes go."""
-    lines = [x.strip().strip("|") for x in (text or "").splitlines() if x.strip()]
-    mark = next((m for m in "\t|" if any(m in x for x in lines)), ",")
-    rows = ([c.strip() for c in row] for row in csv.reader(io.StringIO("\n".join(lines)), delimiter=mark))
-    return [row for row in rows if any(set(c) - set("-: ") for c in row)]
+    """Cells of a linearised table, line by line: bars, the outer ones aside, part them where no line has a tab, commas where none has either.
+
+    A line of nothing but dashes and colons is a rule and goes, as does an empty one.
+    """
+    body = re.sub(r"^[^\S\n]*\|*|\|*[^\S\n]*$", "", text or "", flags=re.MULTILINE)
+    mark = "\t" if "\t" in body else "|" if "|" in body else ","
+    split = (_cells_of(line, mark) for line in body.splitlines())
+    return [cells for cells in split if not all(_RULE.fullmatch(c) for c in cells)]
 
 
 def parsed_cells(c):

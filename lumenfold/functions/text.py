@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Patterns of tokens, of units of cost, of sentence ends and of labels.
 TOKEN = r"[A-Za-z0-9_]+|[\p{L}\p{N}_]"
 COST_TOKEN = r"[A-Za-z0-9_]+|[^\x00-\x7F]"
-#: Abbreviations whose dot ends no sentence.
-ABBREVIATION = r"(Figs?|Eqs?|Refs?|et al|i\.e|e\.g)\."
 BOUNDARY = r"(?<=[.!?。！？])\s+(?=[A-Z0-9一-鿿])"
 FIGURE_LABEL = r"(?i)\bfig(?:ure)?\.?\s*(\d+[a-z]?)"
 TABLE_LABEL = r"(?i)(?:\btab(?:le)?\.?\s*|表\s*)(\d+[a-z]?)"
+#: Abbreviations whose dot ends no sentence.
+ABBREVIATIONS = ("Fig", "Figs", "Eq", "Eqs", "Ref", "Refs", "et al", "i.e", "e.g")
+ABBREVIATION = "(" + "|".join(x.replace(".", r"\.") for x in sorted(ABBREVIATIONS, reverse=True)) + r")\."
 _HELD = "\x01"
 
 
@@ -105,7 +107,7 @@ def uuid5_of(name: Column, namespace: str = "6ba7b811-9dad-11d1-80b4-00c04fd430c
 
 def numeric(c: Column) -> Column:
     """A number without thousands commas and trailing percent signs, else null."""
-    return F.expr("try_cast(rtrim('%', replace(__x, ',', '')) AS double)") if isinstance(c, str) else F.rtrim(F.replace(c, F.lit(","), F.lit("")), F.lit("%")).try_cast("double")
+    return F.rtrim(F.replace(c, F.lit(","), F.lit("")), F.lit("%")).try_cast("double")
 
 
 def fences_stripped(c: Column) -> Column:

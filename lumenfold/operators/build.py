@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.kernels import html_table_text
+from ..sources.scratch import Scratch
 
 NODE = ("node_id", "paper_id", "node_type", "text", "image_path", "page", "bbox", "parser_block_id", "source_index", "caption_target")
 #: Block types by what they become.
@@ -163,9 +164,10 @@ def nearest_captions(nodes: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def blocks_to_graph(blocks: DataFrame, base: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, warnings) of layout blocks."""
-    r = routed(blocks, base)
-    nodes = blocks_to_nodes(r)
+    """(nodes, edges, warnings) of layout blocks; what blocks become is written once, as edges of all kinds start from it."""
+    scratch = Scratch(blocks.sparkSession, "blocks")
+    r = scratch.write(routed(blocks, base))
+    nodes = scratch.write(blocks_to_nodes(r))
     inner = nodes.where("node_type = 'Caption' AND node_id LIKE '%:embedded' OR node_type = 'Caption' AND node_id LIKE '%:table'")
     owner = F.concat("paper_id", F.when(F.col("node_id").endswith(":embedded"), ":figure:").otherwise(":table:"), F.col("source_index").cast("string"))
     own = _edge(inner.withColumn("dst", owner), "node_id", "dst", "caption_of")
@@ -195,6 +197,12 @@ def figure_text_views(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return figures.join(lines, "node_id", "left").select("node_id", F.array_join(F.coalesce("lines", F.array().cast("array<string>")), "\n").alias("text_view"))
 
 
+def listed_figures(nodes: DataFrame) -> DataFrame:
+    """Figures with their paper, page (null where nodes have none) and image."""
+    page = F.col("page") if "page" in nodes.columns else F.lit(None).cast("int")
+    return nodes.where("node_type = 'Figure'").select("node_id", "paper_id", page.alias("page"), "image_path")
+
+
 def serialized(trees: DataFrame, nodes: DataFrame) -> DataFrame:
     """trees (query_id, tree, paper_id, node_ids) -> query_id, context, image_paths: nodes by page (unknown last), type and id under a heading for each tree."""
     page = F.col("page") if "page" in nodes.columns else F.lit(None).cast("int")

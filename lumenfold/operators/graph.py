@@ -5,6 +5,8 @@ Seeds are rows of key columns (a query id, or more) and node_id; every operator
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +26,13 @@ def neighbors(seeds: DataFrame, edges: DataFrame, relations: list[str] | None =
 
 
 def expand(seeds: DataFrame, edges: DataFrame, hops: int, least_confidence: float = 0.8) -> DataFrame:
-    """Seeds and all nodes within `hops` edges of at least that confidence; papers are crossed."""
-    sym, keys = undirected(edges, least_confidence), [c for c in seeds.columns if c != "node_id"]
-    reached = seeds.distinct()
-    frontier = reached
+    """Seeds and all nodes within `hops` edges of at least that confidence; papers are crossed. Each hop's new nodes are written, so none is computed twice."""
+    keys, scratch = [c for c in seeds.columns if c != "node_id"], Scratch(edges.sparkSession, "expand")
+    sym = undirected(edges, least_confidence)
+    reached = frontier = scratch.write(seeds.distinct())
     for _ in range(hops):
         step = frontier.join(sym, F.col("node_id") == F.col("a")).select(*keys, F.col("b").alias("node_id")).distinct()
-        frontier = step.join(reached, [*keys, "node_id"], "left_anti")
+        frontier = scratch.write(step.join(reached, [*keys, "node_id"], "left_anti"))
         reached = reached.unionByName(frontier)
     return reached
 
@@ -44,48 +46,61 @@ def paper_subgraph(nodes: DataFrame, edges: DataFrame, chosen: DataFrame) -> tup
     return own, edges.join(a, "src").join(b, [*keys, "dst"]).select(*keys, "src", "dst", "relation", "confidence")
 
 
-def requirements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, needed): a figure or table needs its captions, chart data what it derives from, a sentence what it refers to."""
-    t = nodes.select("node_id", "node_type")
-    captions = edges.where("relation = 'caption_of'").select(F.col("dst").alias("node_id"), F.col("src").alias("needed"), F.lit("shown").alias("kind"))
-    derived = edges.where("relation = 'derived_from'").select(F.col("src").alias("node_id"), F.col("dst").alias("needed"), F.lit("ChartData").alias("kind"))
-    refers = edges.where("relation = 'refers_to'").select(F.col("src").alias("node_id"), F.col("dst").alias("needed"), F.lit("Sentence").alias("kind"))
-    kind = F.when(F.col("node_type").isin("Figure", "Table"), "shown").otherwise(F.col("node_type"))
-    return captions.unionByName(derived).unionByName(refers).join(t, "node_id").where(F.col("kind") == kind).select("node_id", "needed").distinct()
-
-
-def closure(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, typed: bool = True) -> DataFrame:
-    """Least set that holds the seeds and whatever its members require.
-
-    With typed edges (references and derivations lead to figures or tables, captions nowhere) two steps reach it;
-    otherwise steps go on, each written, until nothing new comes. A seed outside the graph is an error.
+@dataclass(frozen=True)
+class Policy:
+    """Which requirements count."""
+
+    figure_needs_caption: bool = True
+    table_needs_caption: bool = True
+    chart_needs_source: bool = True
+    sentence_needs_target: bool = True
+
+
+def requirements(nodes: DataFrame, edges: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """(node_id, needed): a figure or table needs its captions, chart data what it derives from, a sentence what it refers to, as far as the policy says."""
+    ruled = [
+        ("Figure", "caption_of", "dst", "src", policy.figure_needs_caption),
+        ("Table", "caption_of", "dst", "src", policy.table_needs_caption),
+        ("ChartData", "derived_from", "src", "dst", policy.chart_needs_source),
+        ("Sentence", "refers_to", "src", "dst", policy.sentence_needs_target),
+    ]
+    kinds = nodes.select(F.col("node_id").alias("__id"), "node_type")
+    # an edge gives what its relation's rules say of the end that needs; the types of that end decide
+    by_end = {}
+    for kind, relation, own, other, on in ruled:
+        if on:
+            by_end.setdefault((relation, own, other), []).append(kind)
+    out = None
+    for (relation, own, other), names in by_end.items():
+        found = edges.where(F.col("relation") == relation).select(F.col(own).alias("node_id"), F.col(other).alias("needed"))
+        found = found.join(kinds.where(F.col("node_type").isin(names)), F.col("node_id") == F.col("__id"), "left_semi")
+        out = found if out is None else out.unionByName(found)
+    return edges.select(F.col("src").alias("node_id"), F.col("dst").alias("needed")).limit(0) if out is None else out.distinct()
+
+
+def closure(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """Least set that holds the seeds and whatever its members require, whatever the length of the chains.
+
+    Steps go on, each written, until nothing new comes. A seed outside the graph is an error.
     """
-    keys = [c for c in seeds.columns if c != "node_id"]
-    need = requirements(nodes, edges).withColumnRenamed("node_id", "__n")
-
-    def step(frontier: DataFrame) -> DataFrame:
-        return frontier.join(need, F.col("node_id") == F.col("__n")).select(*keys, F.col("needed").alias("node_id")).distinct()
-
+    keys, scratch = [c for c in seeds.columns if c != "node_id"], Scratch(nodes.sparkSession, "closure")
+    need = scratch.write(requirements(nodes, edges, policy)).withColumnRenamed("node_id", "__n")
     known = nodes.select(F.col("node_id").alias("__k"))
     checked = seeds.distinct().join(known, F.col("node_id") == F.col("__k"), "left")
-    reached = checked.where(F.when(F.col("__k").isNull(), F.raise_error(F.concat(F.lit("unknown node "), F.coalesce("node_id", F.lit("null"))))).otherwise(F.lit(True))).drop("__k")
-    if typed:
-        first = step(reached)
-        return reached.unionByName(first).unionByName(step(first)).distinct()
-    scratch = Scratch(nodes.sparkSession, "closure")
-    reached = scratch.write(reached)
-    frontier = reached
+    unknown = F.raise_error(F.concat(F.lit("unknown node "), F.coalesce("node_id", F.lit("null"))))
+    reached = frontier = scratch.write(checked.where(F.when(F.col("__k").isNull(), unknown).otherwise(F.lit(True))).drop("__k"))
     while True:
-        frontier = scratch.write(step(frontier).join(reached, [*keys, "node_id"], "left_anti"))
+        step = frontier.join(need, F.col("node_id") == F.col("__n")).select(*keys, F.col("needed").alias("node_id")).distinct()
+        frontier = scratch.write(step.join(reached, [*keys, "node_id"], "left_anti"))
         if frontier.isEmpty():
             return reached
         reached = reached.unionByName(frontier)
 
 
-def closure_validity(selected: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def closure_validity(selected: DataFrame, nodes: DataFrame, edges: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """By key: 1.0 if the selected nodes require nothing outside themselves."""
     keys = [c for c in selected.columns if c != "node_id"]
-    extra = closure(selected, nodes, edges).join(selected, [*keys, "node_id"], "left_anti").groupBy(*keys).agg(F.count("*").alias("__extra"))
+    extra = closure(selected, nodes, edges, policy).join(selected, [*keys, "node_id"], "left_anti").groupBy(*keys).agg(F.count("*").alias("__extra"))
     return selected.select(*keys).distinct().join(extra, keys, "left").select(*keys, F.when(F.col("__extra") > 0, 0.0).otherwise(1.0).alias("closure_validity"))
 
 
@@ -100,10 +115,10 @@ def dependency_completeness(selected: DataFrame, nodes: DataFrame, edges: DataFr
 
 
 def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with an end outside the graph."""
+    """Edges with an end outside the graph, repeated ones as often as they are there."""
     ids = nodes.select(F.col("node_id").alias("__n"))
-    known = edges.join(ids, F.col("src") == F.col("__n"), "left_semi").join(ids, F.col("dst") == F.col("__n"), "left_semi")
-    return edges.exceptAll(known)
+    begins = lambda how: edges.join(ids, F.col("src") == F.col("__n"), how)
+    return begins("left_anti").unionByName(begins("left_semi").join(ids, F.col("dst") == F.col("__n"), "left_anti"))
 
 
 def merged_nodes(parts: list[DataFrame]) -> DataFrame:

@@ -5,37 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import normalized_evidence, sequence_ratio
+from ..functions.kernels import bounded_ratio, normalized_evidence
+from ..sources.scratch import Scratch
 from .recall import searchable
 
 #: Node types that evidence may be mapped to.
 MAPPED = ("Sentence", "Table", "Caption", "ChartData")
 
 
+def jaccard(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """asked (evidence_id, words) and nodes (node_id, words), words distinct -> evidence_id, node_id, jaccard of all pairs that share a word.
+
+    Words meet by equality, so no pair without one in common is ever made; the shared ones are counted before the pairs move on.
+    """
+    left = asked.select("evidence_id", F.size("words").alias("a"), F.explode("words").alias("word"))
+    right = nodes.select("node_id", F.size("words").alias("b"), F.explode("words").alias("word"))
+    both = right.join(left, "word").groupBy("evidence_id", "node_id", "a", "b").agg(F.count("*").alias("n"))
+    return both.select("evidence_id", "node_id", (F.col("n") / (F.col("a") + F.col("b") - F.col("n"))).alias("jaccard"))
+
+
 def map_evidence(evidence: DataFrame, nodes: DataFrame, least: float = 0.85) -> DataFrame:
     """evidence (evidence_id, paper_id, evidence) -> evidence_id, node_id, score, method (exact, fuzzy, empty).
 
     An equal text of the paper scores 1 and the first such node (by `ord` if nodes have it, then id) is meant. Otherwise the
     score is the greatest of word-set Jaccard and sequence ratio over the paper's nodes, first node at ties; node_id is null below `least`.
-    Words and lengths bound the ratio from above, so a pair goes to the costly comparison only where it may beat the
-    paper's best Jaccard.
+    Lengths and letters bound the ratio from above: only pairs that may beat the paper's best Jaccard go to Python, and there the
+    costly comparison is made for those whose letters allow it.
     """
+    scratch = Scratch(nodes.sparkSession, "mapping")
     order = F.col("ord") if "ord" in nodes.columns else F.lit(0)
-    n = searchable(nodes).where(F.col("node_type").isin(list(MAPPED))).select("paper_id", "node_id", order.alias("o"), normalized_evidence("searchable_text").alias("t")).where("t <> ''")
-    e = evidence.select("evidence_id", "paper_id", normalized_evidence(F.coalesce("evidence", F.lit(""))).alias("q"))
+    n = searchable(nodes).where(F.col("node_type").isin(list(MAPPED))).select("paper_id", "node_id", order.alias("o"), normalized_evidence("searchable_text").alias("t"))
+    # texts are normalised once, for all that follows
+    n, e = scratch.write(n).where("t <> ''"), scratch.write(evidence.select("evidence_id", "paper_id", normalized_evidence(F.coalesce("evidence", F.lit(""))).alias("q")))
     first = n.groupBy("paper_id", F.col("t").alias("q")).agg(F.min(F.struct("o", "node_id"))["node_id"].alias("exact_id"))
     seen = e.join(first, ["paper_id", "q"], "left")
     exact = seen.where("exact_id IS NOT NULL").select("evidence_id", F.col("exact_id").alias("node_id"), F.lit(1.0).alias("score"), F.lit("exact").alias("method"))
     empty = seen.where("q = ''").select("evidence_id", F.lit(None).cast("string").alias("node_id"), F.lit(0.0).alias("score"), F.lit("empty").alias("method"))
-    rest = seen.where("q <> '' AND exact_id IS NULL").select("evidence_id", "paper_id", "q")
+    rest = scratch.write(seen.where("q <> '' AND exact_id IS NULL").select("evidence_id", "paper_id", "q"))
     words = lambda c: F.array_distinct(F.split(F.col(c), " "))
     pairs = rest.join(n, "paper_id").withColumns({"a": words("q"), "b": words("t")})
     both = F.size(F.array_intersect("a", "b"))
-    pairs = pairs.withColumn("jaccard", both / (F.size("a") + F.size("b") - both))
+    pairs = scratch.write(pairs.withColumn("jaccard", both / (F.size("a") + F.size("b") - both)).drop("a", "b"))
+    best = pairs.groupBy("evidence_id").agg(F.max("jaccard").alias("floor"))
     bound = 2.0 * F.least(F.length("q"), F.length("t")) / (F.length("q") + F.length("t"))
-    best = F.max("jaccard").over(Window.partitionBy("evidence_id"))
-    scored = pairs.withColumn("floor", best).withColumn("score", F.when(bound < F.col("floor"), F.col("jaccard")).otherwise(F.greatest("jaccard", sequence_ratio("q", "t"))))
-    top = scored.groupBy("evidence_id").agg(F.max_by(F.struct("node_id", "score"), F.struct("score", (-F.col("o")).alias("o"))).alias("m"))
+    judged = pairs.join(best, "evidence_id")
+    # two frames, for a Python function under a condition would be run on every row
+    cheap = judged.where(bound < F.col("floor")).select("evidence_id", "node_id", "o", F.col("jaccard").alias("score"))
+    costly = judged.where(bound >= F.col("floor")).select("evidence_id", "node_id", "o", F.greatest("jaccard", bounded_ratio("q", "t", "floor")).alias("score"))
+    top = cheap.unionByName(costly).groupBy("evidence_id").agg(F.max_by(F.struct("node_id", "score"), F.struct("score", (-F.col("o")).alias("o"))).alias("m"))
     fuzzy = rest.select("evidence_id").join(top, "evidence_id", "left").select(
         "evidence_id", F.when(F.col("m.score") >= least, F.col("m.node_id")).alias("node_id"), F.coalesce("m.score", F.lit(0.0)).alias("score"), F.lit("fuzzy").alias("method")
     )

@@ -27,6 +27,18 @@ def costed(nodes: DataFrame, image_unit: int = IMAGE_UNIT) -> DataFrame:
     return n.withColumn("cost", node_cost(F.col("node_type"), F.col("searchable_text"), F.col("image_path"), image_unit))
 
 
+def union_cost(selected: DataFrame, nodes: DataFrame, image_unit: int = IMAGE_UNIT) -> DataFrame:
+    """selected (query_id, node_id) -> query_id, n_nodes, total_cost: each node of a query counts once."""
+    priced = selected.select("query_id", "node_id").distinct().join(costed(nodes, image_unit).select("node_id", "cost"), "node_id")
+    return priced.groupBy("query_id").agg(F.count("*").alias("n_nodes"), F.sum("cost").cast("long").alias("total_cost"))
+
+
+def entities_of(selected: DataFrame, nodes: DataFrame) -> DataFrame:
+    """selected (query_id, node_id) -> query_id, entities: the distinct ones of its nodes (entities, an array), sorted."""
+    each = selected.join(nodes.select("node_id", F.explode("entities").alias("e")), "node_id").select("query_id", "e").distinct()
+    return each.groupBy("query_id").agg(F.array_sort(F.collect_list("e")).alias("entities"))
+
+
 def _fresh(df: DataFrame) -> DataFrame:
     """df under new column identities, so that it can be co-grouped with what it derives from."""
     return df.select([F.col(c).alias(c) for c in df.columns])

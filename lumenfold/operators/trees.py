@@ -140,30 +140,38 @@ def prize_tree(nodes: Iterable[str], prizes: dict[str, float], pairs: dict[tuple
     return {names[i] for i in kept} if kept else {max(names, key=lambda x: (max(prizes.get(x, 0.0), 0.0), x))}
 
 
+def _incidence(sets: list, names: list) -> np.ndarray:
+    """Which of the names each set holds."""
+    at = {x: i for i, x in enumerate(names)}
+    out = np.zeros((len(sets), len(names)))
+    for k, members in enumerate(sets):
+        out[k, [at[x] for x in members]] = 1
+    return out
+
+
 def greedy_forest(trees: list[dict], budget: int, costs: dict[str, int], required: int, slot_weight: float = 0.4, entity_weight: float = 0.3, redundancy: float = 0.2) -> list[int]:
-    """Indexes of trees (nodes, relevance, slots, entities), picked by gain over marginal cost until nothing fits or gains."""
-    picked, left = [], list(range(len(trees)))
-    nodes: set[str] = set()
-    slots: set[str] = set()
-    entities: set[str] = set()
-    total = 0
+    """Indexes of trees (nodes, relevance, slots, entities), picked by gain over marginal cost until nothing fits or gains.
+
+    All trees' marginal costs and gains come from three incidence matrices and what is covered so far; the first of equals is picked.
+    """
+    if not trees:
+        return []
+    names, parts = {}, {}
+    for field in ("nodes", "slots", "entities"):
+        names[field] = sorted({x for t in trees for x in t[field]})
+        parts[field] = _incidence([set(t[field]) for t in trees], names[field])
+    price, size = np.array([costs[n] for n in names["nodes"]], float), parts["nodes"].sum(1)
+    fresh = {field: np.ones(len(x)) for field, x in names.items()}
+    relevance, picked, spent = np.array([t["relevance"] for t in trees], float), [], 0.0
     while True:
-        best, best_value = None, 0.0
-        for i in left:
-            t = trees[i]
-            more = sum(costs[n] for n in t["nodes"] if n not in nodes)
-            if more <= 0 or total + more > budget:
-                continue
-            overlap = sum(n in nodes for n in t["nodes"]) / len(t["nodes"])
-            gain = t["relevance"] + slot_weight * len(set(t["slots"]) - slots) / max(required, 1) + entity_weight * len(set(t["entities"]) - entities) - redundancy * overlap
-            if gain > 0 and gain / more > best_value:
-                best, best_value, best_cost = i, gain / more, more
-        if best is None:
+        marginal = parts["nodes"] @ (price * fresh["nodes"])
+        shared = 1 - (parts["nodes"] @ fresh["nodes"]) / np.maximum(size, 1)
+        gain = relevance + slot_weight * (parts["slots"] @ fresh["slots"]) / max(required, 1) + entity_weight * (parts["entities"] @ fresh["entities"]) - redundancy * shared
+        fits = (marginal > 0) & (spent + marginal <= budget) & (gain > 0)
+        if not fits.any():
             return picked
-        t = trees[best]
+        best = int(np.argmax(np.where(fits, gain / np.where(fits, marginal, 1), -1)))
         picked.append(best)
-        left.remove(best)
-        total += best_cost
-        nodes |= set(t["nodes"])
-        slots |= set(t["slots"])
-        entities |= set(t["entities"])
+        spent += marginal[best]
+        for field, x in parts.items():
+            fresh[field] = np.where(x[best] > 0, 0, fresh[field])

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import build, charts, graph, mapping, mining, select
+from ..operators import build, charts, graph, mapping, mining, reports, select
 from ..sources.scratch import Scratch
 from . import projections as P
-from .oracle import GRAPH, SELECTED, SENTENCES, cte, literal
+from .oracle import GRAPH, SELECTED, SENTENCES, cte
 
 Q: dict = {}
 SQL: dict = {}
@@ -42,7 +40,7 @@ def node_cost(spark, sf):
 
 @query("list_figures", cte(GRAPH) + "SELECT node_id, paper_id, image_path FROM nodes WHERE node_type = 'Figure'")
 def list_figures(spark, sf):
-    return P.graph(spark, sf)[0].where("node_type = 'Figure'").select("node_id", "paper_id", "image_path")
+    return build.listed_figures(P.graph(spark, sf)[0]).select("node_id", "paper_id", "image_path")
 
 
 @query("edge_integrity", cte(GRAPH) + "SELECT src, dst, relation FROM edges WHERE src NOT IN (SELECT node_id FROM nodes WHERE node_type <> 'ChartData') OR dst NOT IN (SELECT node_id FROM nodes WHERE node_type <> 'ChartData')")
@@ -92,6 +90,33 @@ def evidence_closure(spark, sf):
     return graph.closure(_seeds(spark, sf), *P.graph(spark, sf))
 
 
+@query(
+    "closure_chain",
+    cte(GRAPH, "more AS (SELECT 'l' || ok || ':' || ln AS node_id, 'l' || ok || ':' || prev AS needed FROM (SELECT ok, ln, lag(ln) OVER (PARTITION BY ok ORDER BY ln) AS prev FROM line) WHERE prev IS NOT NULL)",
+        "wants AS (SELECT * FROM need UNION SELECT * FROM more)", "seed AS (SELECT query_id, node_id FROM hits WHERE pos <= 10)",
+        "chain AS (SELECT query_id, node_id FROM seed UNION SELECT c.query_id, needed FROM chain c JOIN wants USING (node_id))")
+    + "SELECT query_id, node_id FROM chain",
+)
+def closure_chain(spark, sf):
+    """Lines also refer to the line before, so chains are as long as orders."""
+    nodes, edges = P.graph(spark, sf)
+    before = F.lag("ln").over(Window.partitionBy("ok").orderBy("ln"))
+    lines = P.order_lines(spark, sf).withColumn("prev", before).where("prev IS NOT NULL")
+    more = lines.select(F.concat(F.lit("l"), "ok", F.lit(":"), "ln").alias("src"), F.concat(F.lit("l"), "ok", F.lit(":"), "prev").alias("dst"), F.lit("refers_to").alias("relation"), F.lit(1.0).alias("confidence"))
+    return graph.closure(_seeds(spark, sf), nodes, edges.unionByName(more))
+
+
+@query("closure_policy", cte(GRAPH, "wants AS (SELECT need.* FROM need JOIN nodes USING (node_id) WHERE node_type = 'Sentence')", "seed AS (SELECT query_id, node_id FROM hits WHERE pos <= 10)", "part AS (SELECT query_id, node_id FROM seed UNION SELECT c.query_id, needed FROM part c JOIN wants USING (node_id))") + "SELECT query_id, node_id FROM part")
+def closure_policy(spark, sf):
+    """Only what sentences refer to is required."""
+    return graph.closure(_seeds(spark, sf), *P.graph(spark, sf), graph.Policy(figure_needs_caption=False, table_needs_caption=False, chart_needs_source=False))
+
+
+@query("relation_neighbors", cte(GRAPH) + "SELECT DISTINCT query_id, h.node_id, CASE WHEN src = h.node_id THEN dst ELSE src END AS neighbor FROM hits h JOIN edges ON relation IN ('refers_to', 'caption_of') AND (src = h.node_id OR dst = h.node_id) WHERE pos <= 10")
+def relation_neighbors(spark, sf):
+    return graph.neighbors(_seeds(spark, sf), P.graph(spark, sf)[1], ["refers_to", "caption_of"])
+
+
 @query(
     "closure_validity",
     cte(GRAPH, SELECTED, "sel AS (SELECT query_id, 'seed' AS what, node_id FROM seed UNION ALL SELECT query_id, 'closed', node_id FROM closed)")
@@ -148,25 +173,31 @@ def select_one_hop(spark, sf):
     return _shown(select.retrieve("one_hop", *_setting(spark, sf)))
 
 
-@query(
-    "ppr_rank",
-    cte(GRAPH,
+_PPR = cte(GRAPH,
         "v AS (SELECT query_id, node_id, pos, score, score / sum(score) OVER (PARTITION BY query_id) AS p FROM hits)",
         "e AS (SELECT DISTINCT x.query_id, x.node_id AS a, y.node_id AS b FROM v x JOIN sym ON sym.a = x.node_id JOIN v y ON y.query_id = x.query_id AND y.node_id = sym.b WHERE sym.a <> sym.b)",
         "d AS (SELECT query_id, a, count(*) AS n FROM e GROUP BY 1, 2)",
         """it AS (SELECT query_id, map(list(node_id ORDER BY pos), list(p ORDER BY pos)) AS x, 0 AS i FROM v GROUP BY 1
           UNION ALL SELECT it.query_id, (SELECT map(list(v.node_id ORDER BY v.pos), list((0.15 + 0.85 * coalesce((SELECT sum(it.x[w.node_id]) FROM v w WHERE w.query_id = it.query_id AND NOT EXISTS (SELECT 1 FROM d WHERE d.query_id = w.query_id AND d.a = w.node_id)), 0)) * v.p
              + 0.85 * coalesce((SELECT sum(it.x[e.a] / d.n) FROM e JOIN d ON d.query_id = e.query_id AND d.a = e.a WHERE e.query_id = v.query_id AND e.b = v.node_id), 0) ORDER BY v.pos)) FROM v WHERE v.query_id = it.query_id), i + 1 FROM it WHERE i < 50)""")
-    + "SELECT v.query_id, v.node_id, round(it.x[v.node_id], 6) AS score FROM v JOIN it ON it.query_id = v.query_id AND it.i = 50",
+
+
+@query(
+    "ppr_rank",
+    _PPR + "SELECT v.query_id, v.node_id, round(it.x[v.node_id], 6) AS score FROM v JOIN it ON it.query_id = v.query_id AND it.i = 50",
 )
 def ppr_rank(spark, sf):
     out = select.ppr_ranked(P.graph_hits(spark, sf), P.graph(spark, sf)[1])
     return out.select("query_id", "node_id", F.round("score", 6).alias("score"))
 
 
-@query("select_ppr")
+@query(
+    "select_ppr",
+    _PPR + ", top AS (SELECT query_id, node_id, s FROM (SELECT v.query_id, v.node_id, it.x[v.node_id] AS s, row_number() OVER (PARTITION BY v.query_id ORDER BY round(it.x[v.node_id], 9) DESC, v.pos) AS k FROM v JOIN it ON it.query_id = v.query_id AND it.i = 50) WHERE k <= 10) "
+    "SELECT query_id, paper_id, list_sort(list(node_id)) AS node_ids, round(sum(s), 6) AS relevance, sum(cost)::BIGINT AS cost FROM top JOIN cost USING (node_id) GROUP BY 1, 2",
+)
 def select_ppr(spark, sf):
-    return _shown(select.retrieve("ppr", *_setting(spark, sf)))
+    return _shown(select.retrieve("ppr", *_setting(spark, sf))).withColumn("relevance", F.round("relevance", 6))
 
 
 @query(
@@ -211,7 +242,7 @@ def ec_bfr_forest(spark, sf):
 def forest_union_cost(spark, sf):
     nodes, edges = P.graph(spark, sf)
     closed = graph.closure(_seeds(spark, sf), nodes, edges)
-    return closed.join(select.costed(nodes).select("node_id", "cost"), "node_id").groupBy("query_id").agg(F.count("*").alias("n_nodes"), F.sum("cost").cast("long").alias("total_cost"))
+    return select.union_cost(closed, nodes)
 
 
 _SLOTS = """
@@ -232,8 +263,7 @@ def covered_slots(spark, sf):
 def entities_union(spark, sf):
     nodes, edges = P.graph(spark, sf)
     tagged = nodes.withColumn("entities", F.array(F.concat(F.lit("customer "), F.col("paper_id")), F.lower("node_type")))
-    rows = graph.closure(_seeds(spark, sf), nodes, edges).join(tagged, "node_id")
-    return rows.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("entities")))).alias("entities"))
+    return select.entities_of(graph.closure(_seeds(spark, sf), nodes, edges), tagged)
 
 
 # ------------------------------------------------------------------------------------------------ building
@@ -255,65 +285,57 @@ def figure_text_views(spark, sf):
     return build.figure_text_views(*P.graph(spark, sf))
 
 
-#: Layout blocks of two small papers: all kinds, labels in text, tables of both shapes, captions without labels.
-_BLOCKS = [
-    ("p1", 0, {"type": "title", "text": "On alloys", "page_idx": 0}),
-    ("p1", 1, {"type": "text", "text": "As shown in Fig. 1, strength grows.  It grows fast. Ok.", "page_idx": 0}),
-    ("p1", 2, {"type": "image", "img_path": "f1.png", "img_caption": ["Figure 1. Strength", "curves."], "page_idx": 0}),
-    ("p1", 3, {"type": "table", "table_caption": ["Table 2. Results"], "table_body": "<table><tr><td>Model</td><td>F1</td></tr><tr><td>Ours</td><td>91.2</td></tr></table>", "page_idx": 1}),
-    ("p1", 4, {"type": "text", "content": "Table 2 reports the best result. See Figure 9.", "page_idx": 1}),
-    ("p1", 5, {"type": "image", "text": "no path", "page_idx": 1}),
-    ("p2", 0, {"category": "image", "path": "a.png", "page": 3}),
-    ("p2", 1, {"category": "image", "path": "b.png", "page": 3}),
-    ("p2", 2, {"category": "caption", "text": "Left: annealed.", "page": 3}),
-    ("p2", 3, {"category": "figure_caption", "text": "Right: cast.", "page": 3}),
-    ("p2", 4, {"category": "table", "content": {"markdown": "a|b", "table_caption": "表1 消融实验", "image_source": {"path": "images/t1.jpg"}}, "page": 4}),
-    ("p2", 5, {"category": "para", "text": "如表 1 所示 the effect is clear.", "page": 4}),
-]
-
-
-def _blocks(spark):
-    return spark.createDataFrame([(p, i, json.dumps(b, ensure_ascii=False)) for p, i, b in _BLOCKS], "paper_id string, index int, block string")
-
-
-_CAPTIONS = [("p1:caption:2:embedded", "p1:figure:2", 1.0), ("p1:caption:3:table", "p1:table:3", 1.0), ("p2:caption:4:table", "p2:table:4", 1.0)]
+#: What the layout blocks of every order become (projections.layout_blocks).
+_PAPERS = "o AS (SELECT o_orderkey AS k, 'o' || o_orderkey AS p, o_orderpriority AS prio, o_orderstatus AS st FROM orders)"
+_UNION = " UNION ALL SELECT "
 
 
-@query("caption_label_join", "SELECT * FROM " + literal([("c1", "f1", "caption_of"), ("c3", "t1", "caption_of")], "src, dst, relation"))
+@query("caption_label_join", cte(
+    "c AS (SELECT o_custkey AS p, o_orderkey AS k, (o_orderkey % 3)::VARCHAR AS label, o_orderkey % 2 = 0 AS tab FROM orders)",
+    "f AS (SELECT p, label, tab, max(k) AS k FROM c GROUP BY 1, 2, 3)", "s AS (SELECT p, label, tab, max(k) AS k FROM c WHERE k % 5 <> 0 GROUP BY 1, 2, 3)",
+) + "SELECT 'c' || s.k AS src, 't' || f.k AS dst, 'caption_of' AS relation FROM s JOIN f USING (p, label, tab)")
 def caption_label_join(spark, sf):
-    """The later of two captions of one label has it; a label without target gives no edge."""
-    rows = [("f1", "p", "Figure", 0, None, "1"), ("f2", "p", "Figure", 1, None, None), ("c0", "p", "Caption", 2, "figure", "1"), ("c1", "p", "Caption", 3, "figure", "1"), ("c2", "p", "Caption", 4, "figure", "7"), ("t1", "p", "Table", 5, None, "1"), ("c3", "p", "Caption", 6, "table", "1"), ("c4", "q", "Caption", 7, "table", "1")]
-    nodes = spark.createDataFrame(rows, "node_id string, paper_id string, node_type string, source_index int, caption_target string, label string")
-    return build.labelled_captions(nodes).select("src", "dst", "relation")
+    """A customer is a paper, an order a figure or table and (four of five) its caption; labels recur, and the later block has one."""
+    o = P.table(spark, sf, "orders").withColumn("k", F.col("o_orderkey").cast("string"))
+    kind = F.when(F.col("o_orderkey") % 2 == 0, "Table").otherwise("Figure")
+    common = (F.col("o_custkey").cast("string").alias("paper_id"), F.col("o_orderkey").alias("source_index"), (F.col("o_orderkey") % 3).cast("string").alias("label"))
+    targets = o.select(F.concat(F.lit("t"), "k").alias("node_id"), kind.alias("node_type"), F.lit(None).cast("string").alias("caption_target"), *common)
+    captions = o.where("o_orderkey % 5 <> 0").select(F.concat(F.lit("c"), "k").alias("node_id"), F.lit("Caption").alias("node_type"), F.lower(kind).alias("caption_target"), *common)
+    return build.labelled_captions(targets.unionByName(captions)).select("src", "dst", "relation")
 
 
-@query("refers_to_join", "SELECT * FROM " + literal([("p1:sentence:1:0", "p1:figure:2", "refers_to"), ("p1:sentence:4:0", "p1:table:3", "refers_to"), ("p2:sentence:5:0", "p2:table:4", "refers_to")], "src, dst, relation"))
+@query("refers_to_join", cte(_PAPERS) + "SELECT p || ':sentence:2:0' AS src, p || ':figure:1' AS dst, 'refers_to' AS relation FROM o WHERE k % 4 <> 0" + _UNION + "p || ':sentence:4:0', p || ':table:3', 'refers_to' FROM o")
 def refers_to_join(spark, sf):
-    return build.references(build.blocks_to_nodes(build.routed(_blocks(spark)))).select("src", "dst", "relation")
+    return build.references(build.blocks_to_nodes(build.routed(P.layout_blocks(spark, sf)))).select("src", "dst", "relation")
 
 
-@query("nearest_caption", "SELECT src, dst, confidence::DOUBLE AS confidence FROM " + literal([*_CAPTIONS, ("p2:caption:2", "p2:figure:1", 0.9), ("p2:caption:3", "p2:figure:0", 0.9)], "src, dst, confidence"))
+@query("nearest_caption", cte(_PAPERS) + "SELECT p || ':caption:1:embedded' AS src, p || ':figure:1' AS dst, 1.0::DOUBLE AS confidence FROM o WHERE k % 4 <> 0" + _UNION + "p || ':caption:3:table', p || ':table:3', 1.0 FROM o" + _UNION + "p || ':caption:6', p || ':figure:5', 0.9 FROM o WHERE k % 5 = 0")
 def nearest_caption(spark, sf):
     """All caption edges of the blocks: embedded, of tables, and those paired by reading order."""
-    _, edges, _ = build.blocks_to_graph(_blocks(spark))
+    _, edges, _ = build.blocks_to_graph(P.layout_blocks(spark, sf))
     return edges.where("relation = 'caption_of'").select("src", "dst", "confidence")
 
 
-@query("blocks_to_nodes", "SELECT node_id, node_type, text, image_path, page::INTEGER AS page FROM " + literal([
-    ("p1:sentence:0:0", "Sentence", "On alloys", None, 1), ("p1:sentence:1:0", "Sentence", "As shown in Fig. 1, strength grows.", None, 1), ("p1:sentence:1:1", "Sentence", "It grows fast. Ok.", None, 1),
-    ("p1:figure:2", "Figure", None, "base/f1.png", 1), ("p1:caption:2:embedded", "Caption", "Figure 1. Strength curves.", None, 1),
-    ("p1:table:3", "Table", "Table 2. Results\nModel\tF1\nOurs\t91.2", None, 2), ("p1:caption:3:table", "Caption", "Table 2. Results", None, 2), ("p1:sentence:4:0", "Sentence", "Table 2 reports the best result.", None, 2), ("p1:sentence:4:1", "Sentence", "See Figure 9.", None, 2),
-    ("p2:figure:0", "Figure", None, "base/a.png", 3), ("p2:figure:1", "Figure", None, "base/b.png", 3), ("p2:caption:2", "Caption", "Left: annealed.", None, 3), ("p2:caption:3", "Caption", "Right: cast.", None, 3),
-    ("p2:table:4", "Table", "表1 消融实验\na|b", "base/images/t1.jpg", 4), ("p2:caption:4:table", "Caption", "表1 消融实验", None, 4), ("p2:sentence:5:0", "Sentence", "如表 1 所示 the effect is clear.", None, 4),
-], "node_id, node_type, text, image_path, page"))
+@query("blocks_to_nodes", cte(_PAPERS) + _UNION.join([
+    "SELECT p || ':sentence:0:0' AS node_id, 'Sentence' AS node_type, 'Order ' || k AS text, NULL::VARCHAR AS image_path, 1 AS page FROM o",
+    "p || ':figure:1', 'Figure', NULL, 'base/f' || k || '.png', 1 FROM o WHERE k % 4 <> 0",
+    "p || ':caption:1:embedded', 'Caption', 'Figure 1. Priority ' || prio || '.', NULL, 1 FROM o WHERE k % 4 <> 0",
+    "p || ':sentence:2:0', 'Sentence', 'As shown in Fig. 1, sales grow.', NULL, 1 FROM o",
+    "p || ':sentence:2:1', 'Sentence', 'They grow fast in order ' || k || '.', NULL, 1 FROM o",
+    "p || ':table:3', 'Table', 'Table 2. Lines' || chr(10) || 'Key' || chr(9) || 'Status' || chr(10) || k || chr(9) || st, NULL, 2 FROM o",
+    "p || ':caption:3:table', 'Caption', 'Table 2. Lines', NULL, 2 FROM o",
+    "p || ':sentence:4:0', 'Sentence', 'Table 2 reports status ' || st || '.', NULL, 2 FROM o",
+    "p || ':figure:5', 'Figure', NULL, 'base/a.png', 3 FROM o WHERE k % 5 = 0",
+    "p || ':caption:6', 'Caption', 'Left: ' || prio || '.', NULL, 3 FROM o WHERE k % 5 = 0",
+]))
 def blocks_to_nodes(spark, sf):
-    nodes, _, _ = build.blocks_to_graph(_blocks(spark), "base")
+    nodes, _, _ = build.blocks_to_graph(P.layout_blocks(spark, sf), "base")
     return nodes.select("node_id", "node_type", "text", "image_path", "page")
 
 
-@query("layout_warnings", "SELECT * FROM " + literal([("p1", "5", "figure without image")], "paper_id, parser_block_id, warning"))
+@query("layout_warnings", cte(_PAPERS) + "SELECT p AS paper_id, '1' AS parser_block_id, 'figure without image' AS warning FROM o WHERE k % 4 = 0")
 def layout_warnings(spark, sf):
-    return build.blocks_to_graph(_blocks(spark))[2]
+    return build.blocks_to_graph(P.layout_blocks(spark, sf))[2]
 
 
 _HTML = r"regexp_extract_all(html, '(?s)<(h1|p)>(.*?)</(h1|p)>', 2)"
@@ -353,47 +375,52 @@ def serialize_forest(spark, sf):
 
 @query("evidence_mapping_fuzzy")
 def evidence_mapping_fuzzy(spark, sf):
-    """Benchmark passages as evidence in one source's sentences."""
-    nodes = P.sentences(P.table(spark, sf, "documents")).where("doc_id % 20 = 1").withColumn("paper_id", F.lit("src1"))
-    e = P.table(spark, sf, "benchmark").where("item_id < 5").select(F.col("item_id").alias("evidence_id"), F.lit("src1").alias("paper_id"), F.col("text").alias("evidence"))
+    """Every fiftieth benchmark passage as evidence in the sentences of all documents."""
+    nodes = P.sentences(P.table(spark, sf, "documents")).withColumn("paper_id", F.lit("all")).withColumn("ord", F.col("doc_id") * 1000000 + F.col("ord"))
+    e = P.table(spark, sf, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("evidence_id"), F.lit("all").alias("paper_id"), F.col("text").alias("evidence"))
     return mapping.map_evidence(e, nodes).withColumn("score", F.round("score", 9))
 
 
-_READINGS = [("f1", 0, "x,y\n1,10\n2,20"), ("f1", 1, "x,y\n1,12\n2,20"), ("f1", 2, "x,y\n1,11\n2,20"), ("f2", 0, "a\tb\n1,000\t5%"), ("f2", 1, "a\tc\n1000\t5%"), ("f3", 0, ""), ("f3", 1, ""), ("f4", 0, "|k|v|\n|--|--|\n|q|2.5|"), ("f4", 1, "|k|v|\n|q|3.5|"), ("f4", 2, "|k|")]
-
-
-@query("chart_self_ensemble", "SELECT figure_id, linearized_table, uncertainty::DOUBLE AS uncertainty, confidence::DOUBLE AS confidence, parse_status FROM " + literal([("f1", "x,y\r\n1,11\r\n2,20", 0.25, 0.75, "ok"), ("f2", "a,b\r\n1000,5", 0.0, 1.0, "ok"), ("f3", "", 1.0, 0.0, "suspect"), ("f4", "k,v\r\nq,3", 1.0, 0.0, "suspect")], "figure_id, linearized_table, uncertainty, confidence, parse_status"))
+@query("chart_self_ensemble", """SELECT 'o' || o_orderkey AS figure_id, 'x,y' || chr(13) || chr(10) || '1,' || (o_custkey % 1000 + 1) || chr(13) || chr(10) || 'total,' || (o_orderkey % 1000) AS linearized_table,
+    CASE WHEN o_orderkey % 2 = 0 THEN 0.0 ELSE 1.0 / 3 END::DOUBLE AS uncertainty, CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE 1 - 1.0::DOUBLE / 3 END::DOUBLE AS confidence, CASE WHEN o_orderkey % 2 = 0 THEN 'ok' ELSE 'suspect' END AS parse_status FROM orders""")
 def chart_self_ensemble(spark, sf):
-    return charts.self_ensemble(spark.createDataFrame(_READINGS, "figure_id string, sample int, linearized_table string"))
+    """Three readings of a chart for every order, alike or with one cell apart, whose marks and rules differ."""
+    o = P.table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("sample"))
+    value = (F.col("o_custkey") % 1000 + F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(F.col("sample"))).cast("string")
+    total = (F.col("o_orderkey") % 1000).cast("string")
+    marked = F.concat(F.lit("|x|y|\n|--|--|\n|1|"), value, F.lit("|\n|total|"), total, F.lit("|"))
+    read = F.when(F.col("sample") == 1, marked).otherwise(F.concat(F.lit("x,y\n1,"), value, F.lit("\ntotal,"), total))
+    return charts.self_ensemble(o.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("figure_id"), "sample", read.alias("linearized_table")))
 
 
 @query(
     "hard_negatives",
     """WITH v AS (SELECT vec_id, label, label % 5 AS t, embedding::DOUBLE[] AS e FROM embeddings),
-    p AS (SELECT q.vec_id AS query_id, v.* FROM v q JOIN v ON v.label = q.label WHERE q.vec_id < 4),
-    n AS (SELECT p.query_id, p.vec_id AS p, v.vec_id AS n, v.t <> p.t AS other, round(list_inner_product(p.e, v.e), 9) AS s FROM p JOIN v ON v.label <> (SELECT label FROM v z WHERE z.vec_id = p.query_id)),
+    p AS (SELECT q.vec_id AS query_id, v.* FROM v q JOIN v ON v.label = q.label WHERE q.vec_id % 50 = 0),
+    n AS (SELECT p.query_id, p.vec_id AS p, v.vec_id AS n, v.t <> p.t AS other, round(list_inner_product(p.e, v.e), 9) AS s FROM p JOIN v ON v.label <> p.label),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id, p ORDER BY other, s DESC, n::VARCHAR) AS k FROM n)
     SELECT query_id, p::VARCHAR AS positive_node_id, n::VARCHAR AS negative_node_id FROM r WHERE k = 1""",
 )
 def hard_negatives(spark, sf):
+    """Every fiftieth vector asks; its positives are those of its label, its pool is all others."""
     v = P.vectors(P.table(spark, sf, "embeddings"))
-    asked = v.where("ord < 4").select(F.col("ord").alias("query_id"), F.col("label").alias("l"))
+    asked = v.where("ord % 50 = 0").select(F.col("ord").alias("query_id"), F.col("label").alias("l"))
     positives = asked.join(v, F.col("label") == F.col("l")).select("query_id", "node_id")
-    pool = asked.join(v, F.col("label") != F.col("l")).select("query_id", "node_id")
+    labels = v.select(F.col("label").alias("other")).distinct()
+    pool = asked.join(labels, F.col("l") != F.col("other")).join(v, F.col("label") == F.col("other")).select("query_id", "node_id")
     return mining.hard_negatives(positives, pool, v)
 
 
 @query(
     "relation_triples",
-    cte(GRAPH, "tp AS (SELECT DISTINCT paper_id FROM nodes WHERE substr(paper_id, 2)::BIGINT % 50 = 0)", "n AS (SELECT * FROM nodes JOIN tp USING (paper_id))",
+    cte(GRAPH, "tp AS (SELECT DISTINCT paper_id FROM nodes)", "n AS (SELECT * FROM nodes JOIN tp USING (paper_id))",
         "k AS (SELECT DISTINCT src, dst, n.paper_id FROM edges JOIN n ON n.node_id = src)",
         "c AS (SELECT k.src, k.dst, m.node_id FROM k JOIN nodes d ON d.node_id = k.dst JOIN n m ON m.paper_id = k.paper_id AND m.node_type = d.node_type AND m.node_id <> k.src WHERE NOT EXISTS (SELECT 1 FROM k z WHERE z.src = k.src AND z.dst = m.node_id))")
     + "SELECT src, dst, min_by(node_id, sha1('42|' || src || '|' || dst || '|' || node_id)) AS negative FROM c GROUP BY 1, 2",
 )
 def relation_triples(spark, sf):
     nodes, edges = P.graph(spark, sf)
-    papers = nodes.where(F.expr("substring(paper_id, 2)").cast("long") % 50 == 0).select("paper_id")
-    return mining.relation_triples(nodes, edges, papers)
+    return mining.relation_triples(nodes, edges, nodes.select("paper_id"))
 
 
 @query("hetero_index", cte(GRAPH) + 'SELECT node_id, node_type, row_number() OVER (PARTITION BY node_type ORDER BY node_id) - 1 AS "index" FROM nodes')
@@ -406,7 +433,7 @@ def hetero_index(spark, sf):
 
 @query("system_metrics")
 def system_metrics(spark, sf):
-    """Three systems over vectors as nodes, gold by label, macro means of all metrics."""
+    """All ten systems over vectors as nodes, gold by label, macro means of all metrics; reranking and graph scores are plain functions."""
     from . import systems
 
     e = P.table(spark, sf, "embeddings")
@@ -418,8 +445,41 @@ def system_metrics(spark, sf):
     nodes, edges = written.write(nodes), written.write(edges)
     asked = P.vector_queries(e).withColumn("query", F.lit("vector"))
     gold = asked.select("query_id", "label").join(v.select("node_id", "label"), "label").select("query_id", "node_id")
-    chosen = {k: systems.SYSTEMS[k] for k in ("dense", "one_hop", "ec_bfr")}
-    return systems.benchmark(chosen, asked, gold, nodes, edges, v)
+    reranker = lambda query, document: F.pmod(F.crc32(document["text"].cast("binary")), F.lit(1000)) / 1000.0
+    scorer = lambda hits: systems.graph_scored(hits, asked.select("query_id", F.col("query_vector").alias("projected")), v.select("node_id", F.col("vector").alias("graph_vector")))
+    return systems.benchmark(systems.SYSTEMS, asked, gold, nodes, edges, v, reranker=reranker, graph_scorer=scorer)
+
+
+@query("index_report", cte(GRAPH) + "SELECT count(*) FILTER (node_type NOT IN ('Figure', 'Table')) AS text_nodes, count(*) FILTER (node_type = 'Figure') AS figure_nodes, count(*) FILTER (node_type = 'Table') AS table_nodes, 64 AS dimension FROM nodes")
+def index_report(spark, sf):
+    return reports.index_report(P.graph(spark, sf)[0], 64)
+
+
+@query("embedding_inputs", cte(GRAPH) + "SELECT node_id, CASE WHEN node_type = 'Figure' THEN 'image' ELSE 'text' END AS how, text, image_path AS image FROM nodes")
+def embedding_inputs(spark, sf):
+    return reports.embedding_inputs(P.graph(spark, sf)[0])
+
+
+_DROPPED = "CASE o_orderstatus WHEN 'F' THEN 'unanswerable' WHEN 'P' THEN 'unmapped' END"
+
+
+@query("preparation_report", cte(GRAPH) + f"""SELECT 'papers' AS name, count(DISTINCT paper_id) AS value FROM nodes UNION ALL SELECT 'nodes.' || node_type, count(*) FROM nodes GROUP BY 1 UNION ALL SELECT 'edges.' || relation, count(*) FROM edges GROUP BY 1
+    UNION ALL SELECT 'samples', count(*) FROM orders WHERE {_DROPPED} IS NULL UNION ALL SELECT 'dropped.' || d, count(*) FROM (SELECT {_DROPPED} AS d FROM orders) WHERE d IS NOT NULL GROUP BY 1""")
+def preparation_report(spark, sf):
+    """The orders' graph as a prepared set whose samples are the orders."""
+    s = F.col("o_orderstatus")
+    samples = P.table(spark, sf, "orders").select(F.when(s == "F", "unanswerable").when(s == "P", "unmapped").alias("dropped"))
+    return reports.preparation_report(*P.graph(spark, sf), samples)
+
+
+@query("run_summary", """WITH r AS (SELECT event_type AS dataset, 's' || (event_id % 2) AS split, 'r' || (event_id % 7) AS run, 'm' || (event_id % 5) AS metric, value FROM events WHERE value IS NOT NULL),
+    b AS (SELECT dataset, split, metric, max(value) AS value FROM r GROUP BY 1, 2, 3), n AS (SELECT dataset, split, max(c) AS runs FROM (SELECT dataset, split, metric, count(DISTINCT run) AS c FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2)
+    SELECT dataset, split, runs, metric, min(run) AS best_run FROM b JOIN r USING (dataset, split, metric, value) JOIN n USING (dataset, split) GROUP BY 1, 2, 3, 4""")
+def run_summary(spark, sf):
+    """Events as runs' values of metrics."""
+    e, part = P.table(spark, sf, "events").where("value IS NOT NULL"), lambda mark, n: F.concat(F.lit(mark), (F.col("event_id") % n).cast("string"))
+    made = reports.run_summary(e.select(F.col("event_type").alias("dataset"), part("s", 2).alias("split"), part("r", 7).alias("run"), part("m", 5).alias("metric"), "value"))
+    return made.select("dataset", "split", "runs", F.explode("best_runs").alias("metric", "best_run"))
 
 
 @query("point_ids", "SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][('0x' || substr(h, 17, 1))::INTEGER % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(doc_id::VARCHAR)) AS h FROM documents)")

@@ -33,7 +33,7 @@ sentence AS (SELECT doc_id, source AS paper_id, (g - 1)::INTEGER AS ord, doc_id
 VECTORS = """
 vec AS (SELECT vec_id::VARCHAR AS node_id, (vec_id % 20)::VARCHAR AS paper_id, ['Sentence', 'Figure', 'Table', 'Caption', 'ChartData'][label % 5 + 1] AS node_type, vec_id AS ord, label,
         list_transform(embedding::DOUBLE[], lambda x: x / greatest(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12)) AS unit FROM embeddings),
-sim AS (SELECT q.ord AS query_id, v.node_id, v.paper_id, v.node_type, v.ord, v.label, q.label AS asked, round(list_inner_product(q.unit, v.unit), 9) AS score FROM vec q JOIN vec v ON q.ord < 10),
+sim AS (SELECT q.ord AS query_id, v.node_id, v.paper_id, v.node_type, v.ord, v.label, q.label AS asked, round(list_inner_product(q.unit, v.unit), 9) AS score FROM vec q JOIN vec v ON q.ord % 50 = 0),
 typed AS (SELECT *, row_number() OVER (PARTITION BY query_id, node_type ORDER BY score DESC, ord) AS tr FROM sim),
 recalled AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, list_position(['Sentence', 'Figure', 'Table', 'Caption', 'ChartData'], node_type), tr))::INTEGER AS pos FROM typed WHERE tr <= 25)
 """

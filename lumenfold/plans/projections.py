@@ -36,7 +36,8 @@ def vectors(embeddings: DataFrame) -> DataFrame:
 
 
 def vector_queries(embeddings: DataFrame) -> DataFrame:
-    return embeddings.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
+    """Every fiftieth vector asks."""
+    return embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,3 +97,34 @@ def graph_hits(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
     rows = own.select(F.col("n_regionkey").alias("query_id"), _id("l", "ok", "ln").alias("node_id"), _id("c", "o_custkey").alias("paper_id"), (F.col("cents") / 1e7).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "node_id")
     return rows.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+
+
+def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a small paper of layout blocks: a title, an image with its caption or without a file, text, a table, and for some an image and a caption without labels."""
+    o = table(spark, sf_dir, "orders").withColumn("ok", F.col("o_orderkey").cast("string"))
+    lit, field = F.lit, lambda name, *parts: F.concat(*parts).alias(name)
+    page = lambda n: lit(n).alias("page_idx")
+    kind = lambda k: lit(k).alias("type")
+    body = F.concat(lit("<table><tr><td>Key</td><td>Status</td></tr><tr><td>"), "ok", lit("</td><td>"), "o_orderstatus", lit("</td></tr></table>"))
+    image = F.struct(kind("image"), field("img_path", lit("f"), "ok", lit(".png")), F.array(lit("Figure 1. Priority"), F.concat("o_orderpriority", lit("."))).alias("img_caption"), page(0))
+    rows = [
+        F.to_json(F.struct(kind("title"), field("text", lit("Order "), "ok"), page(0))),
+        F.when(F.col("o_orderkey") % 4 == 0, F.to_json(F.struct(kind("image"), lit("no path").alias("text"), page(0)))).otherwise(F.to_json(image)),
+        F.to_json(F.struct(kind("text"), field("text", lit("As shown in Fig. 1, sales grow.  They grow fast in order "), "ok", lit(".")), page(0))),
+        F.to_json(F.struct(kind("table"), F.array(lit("Table 2. Lines")).alias("table_caption"), body.alias("table_body"), page(1))),
+        F.to_json(F.struct(kind("text"), field("content", lit("Table 2 reports status "), "o_orderstatus", lit(".")), page(1))),
+    ]
+    loose = [
+        F.to_json(F.struct(lit("image").alias("category"), lit("a.png").alias("path"), lit(3).alias("page"))),
+        F.to_json(F.struct(lit("caption").alias("category"), field("text", lit("Left: "), "o_orderpriority", lit(".")), lit(3).alias("page"))),
+    ]
+    listed = F.concat(F.array(*rows), F.when(F.col("o_orderkey") % 5 == 0, F.array(*loose)).otherwise(F.array().cast("array<string>")))
+    return o.select(F.concat(lit("o"), "ok").alias("paper_id"), F.posexplode(listed).alias("index", "block"))
+
+
+def label_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text that names figures and tables in several ways for every line item."""
+    i = table(spark, sf_dir, "lineitem")
+    k, n = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")
+    t = F.concat(F.lit("As in Fig. "), k, F.lit("b and figure "), n, F.lit(", FIG."), k, F.lit("B; Figs. 3 or Table "), n, F.lit(", Tab. "), k, F.lit("A, 表 "), n, F.lit("."))
+    return i.select("l_orderkey", "l_linenumber", "l_partkey", t.alias("t"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, fusion, recall
+from ..operators import evaluate, fusion, mapping, recall, reports
 from . import projections as P
-from .oracle import SENTENCES, VECTORS, answer_words, cte, literal, token_cost, tokens
+from .oracle import SENTENCES, VECTORS, answer_words, cte, token_cost, tokens
 
 Q: dict = {}
 SQL: dict = {}
@@ -72,19 +72,19 @@ def split_sentences(spark, sf):
     return P.sentences(P.table(spark, sf, "documents")).select("node_id", "ord", "text")
 
 
-_LABELLED = ["As shown in Fig. 1 and Figure 2b, strength grows.", "Figs. 3 does not match", "FIG.12A versus fig 7", "Table 2 reports; Tab. 3b too", "表1 消融实验 与 表 12", "No label", "Table 2 and table 2", None]
+#: The texts of projections.label_texts, and the distinct labels in them.
+_LABELLED = "t AS (SELECT l_orderkey, l_linenumber, l_partkey, 'As in Fig. ' || l_orderkey || 'b and figure ' || l_linenumber || ', FIG.' || l_orderkey || 'B; Figs. 3 or Table ' || l_linenumber || ', Tab. ' || l_orderkey || 'A, 表 ' || l_linenumber || '.' AS t FROM lineitem)"
+_LABELS = "SELECT l_orderkey, l_linenumber, l_partkey, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '@', 1), lambda x: lower(x)))), ' ') AS labels FROM t"
 
 
-@query("figure_labels", "SELECT i, list_distinct(list_transform(regexp_extract_all(t, '(?i)\\bfig(?:ure)?\\.?\\s*(\\d+[a-z]?)', 1), lambda x: lower(x))).list_sort() AS labels FROM " + literal(list(enumerate(_LABELLED)), "i, t"))
+@query("figure_labels", cte(_LABELLED) + _LABELS.replace("@", r"(?i)\bfig(?:ure)?\.?\s*(\d+[a-z]?)"))
 def figure_labels(spark, sf):
-    rows = spark.createDataFrame(list(enumerate(_LABELLED)), "i int, t string")
-    return rows.select("i", F.array_sort(T.figure_labels(F.col("t"))).alias("labels"))
+    return P.label_texts(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(F.array_sort(T.figure_labels(F.col("t"))), " ").alias("labels"))
 
 
-@query("table_labels", "SELECT i, list_distinct(list_transform(regexp_extract_all(t, '(?i)(?:\\btab(?:le)?\\.?\\s*|表\\s*)(\\d+[a-z]?)', 1), lambda x: lower(x))).list_sort() AS labels FROM " + literal(list(enumerate(_LABELLED)), "i, t"))
+@query("table_labels", cte(_LABELLED) + _LABELS.replace("@", r"(?i)(?:\btab(?:le)?\.?\s*|表\s*)(\d+[a-z]?)"))
 def table_labels(spark, sf):
-    rows = spark.createDataFrame(list(enumerate(_LABELLED)), "i int, t string")
-    return rows.select("i", F.array_sort(T.table_labels(F.col("t"))).alias("labels"))
+    return P.label_texts(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(F.array_sort(T.table_labels(F.col("t"))), " ").alias("labels"))
 
 
 @query("cosine_topk_per_type", cte(VECTORS) + "SELECT query_id, node_id, paper_id, node_type, score, pos FROM recalled")
@@ -95,7 +95,7 @@ def cosine_topk(spark, sf):
 
 @query(
     "cosine_scoped",
-    cte(VECTORS.replace("JOIN vec v ON q.ord < 10", "JOIN vec v ON q.ord < 10 AND v.paper_id IN ((q.ord % 20)::VARCHAR, '3')").replace("ORDER BY score DESC, ord)", "ORDER BY score DESC, paper_id, ord)"))
+    cte(VECTORS.replace("JOIN vec v ON q.ord % 50 = 0", "JOIN vec v ON q.ord % 50 = 0 AND v.paper_id IN ((q.ord % 20)::VARCHAR, '3')").replace("ORDER BY score DESC, ord)", "ORDER BY score DESC, paper_id, ord)"))
     + "SELECT query_id, node_id, paper_id, node_type, score, pos FROM recalled",
 )
 def cosine_scoped(spark, sf):
@@ -276,7 +276,14 @@ def answer_exact_match(spark, sf):
     return a.select("conv_id", "turn", (T.normalized_answer(F.col("prediction")) == T.normalized_answer(F.col("reference"))).cast("double").alias("exact_match"))
 
 
-@query("rouge_l")
+@query(
+    "rouge_l",
+    cte(_ANSWERS,
+        # one row of the length table a word of the prediction: a match extends the row before, the running maximum goes on
+        "lcs AS (SELECT conv_id, turn, p, r, 0 AS i, list_transform(r, lambda w: 0) AS row FROM a UNION ALL SELECT conv_id, turn, p, r, i + 1, list_transform(range(1, len(r) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN r[k] = p[i + 1] THEN CASE WHEN k > 1 THEN row[k - 1] ELSE 0 END + 1 ELSE row[k] END))) FROM lcs WHERE i < len(p))",
+        "x AS (SELECT conv_id, turn, CASE WHEN len(p) > 0 THEN coalesce(row[len(r)], 0) / len(p) ELSE 0 END AS p, CASE WHEN len(r) > 0 THEN coalesce(row[len(r)], 0) / len(r) ELSE 0 END AS r FROM lcs WHERE i = len(p))")
+    + f"SELECT conv_id, turn, round({_HARMONIC}, 9) AS rouge_l_f1 FROM x",
+)
 def rouge_l(spark, sf):
     return evaluate.answer_metrics(_answers(spark, sf)).select("conv_id", "turn", F.round("rouge_l_f1", 9).alias("rouge_l_f1"))
 
@@ -305,29 +312,86 @@ def safe_name(spark, sf):
 
 @query(
     "evidence_mapping_exact",
-    cte(SENTENCES, f"n AS (SELECT paper_id, node_id, array_to_string({answer_words('text')}, ' ') AS t FROM sentence)",
-        "e AS (SELECT *, t AS evidence FROM n WHERE hash_id % 50 = 0)".replace("hash_id", "(split_part(node_id, ':', 1)::BIGINT)"),
-        "f AS (SELECT paper_id, t, min(split_part(node_id, ':', 1)::BIGINT * 1000000 + split_part(node_id, ':', 2)::BIGINT) AS first FROM n WHERE t <> '' GROUP BY 1, 2)")
-    + "SELECT e.node_id AS evidence_id, (first // 1000000) || ':' || (first % 1000000) AS node_id FROM e JOIN f USING (paper_id, t)",
+    cte(SENTENCES, f"n AS (SELECT paper_id, node_id, split_part(node_id, ':', 1)::BIGINT AS d, array_to_string({answer_words('text')}, ' ') AS t FROM sentence)",
+        "f AS (SELECT paper_id, t, min_by(node_id, d * 1000000 + split_part(node_id, ':', 2)::BIGINT) AS first FROM n WHERE t <> '' GROUP BY 1, 2)")
+    + "SELECT n.node_id AS evidence_id, first AS node_id, CASE WHEN n.t = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS score, CASE WHEN n.t = '' THEN 'empty' ELSE 'exact' END AS method FROM n LEFT JOIN f USING (paper_id, t) WHERE d % 50 = 0",
 )
 def evidence_mapping_exact(spark, sf):
     """Every fiftieth document's sentences looked up among all sentences of their source; the first equal one is meant."""
-    n = P.sentences(P.table(spark, sf, "documents")).withColumn("t", T.normalized_answer(F.col("text"))).where("t <> ''")
-    first = n.groupBy("paper_id", "t").agg(F.min(F.struct("doc_id", "ord", "node_id")).alias("f"))
-    e = n.where("doc_id % 50 = 0").select(F.col("node_id").alias("evidence_id"), "paper_id", "t")
-    return e.join(first, ["paper_id", "t"]).select("evidence_id", F.col("f.node_id").alias("node_id"))
+    n = P.sentences(P.table(spark, sf, "documents")).withColumn("ord", F.col("doc_id") * 1000000 + F.col("ord"))
+    e = n.where("doc_id % 50 = 0").select(F.col("node_id").alias("evidence_id"), "paper_id", F.col("text").alias("evidence"))
+    return mapping.map_evidence(e, n)
 
 
-_JACCARD = """
-t AS (SELECT item_id, list_distinct(@Q@) AS w FROM benchmark WHERE item_id < 20),
-n AS (SELECT doc_id, list_distinct(@D@) AS w FROM documents)
-SELECT item_id, doc_id, round(len(list_intersect(t.w, n.w)) / (len(t.w) + len(n.w) - len(list_intersect(t.w, n.w))), 9) AS jaccard FROM t JOIN n ON doc_id % 20 = item_id
-""".replace("@Q@", answer_words("text")).replace("@D@", answer_words("text"))
+@query(
+    "evidence_jaccard",
+    cte(f"t AS (SELECT item_id, list_distinct({answer_words('text')}) AS w FROM benchmark WHERE item_id % 50 = 0)", f"n AS (SELECT doc_id, list_distinct({answer_words('text')}) AS w FROM documents)")
+    + "SELECT item_id AS evidence_id, doc_id AS node_id, round(len(list_intersect(t.w, n.w)) / (len(t.w) + len(n.w) - len(list_intersect(t.w, n.w))), 9) AS jaccard FROM t, n WHERE len(list_intersect(t.w, n.w)) > 0",
+)
+def evidence_jaccard(spark, sf):
+    """Every fiftieth passage against all documents that share a word with it."""
+    words = lambda df, key, name: df.select(F.col(key).alias(name), F.array_distinct(T.words_of_answer(F.col("text"))).alias("words"))
+    asked = words(P.table(spark, sf, "benchmark").where("item_id % 50 = 0"), "item_id", "evidence_id")
+    found = mapping.jaccard(asked, words(P.spread(P.table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "node_id"))
+    return found.withColumn("jaccard", F.round("jaccard", 9))
 
 
-@query("evidence_jaccard", cte(_JACCARD.split("\nSELECT")[0]) + "SELECT" + _JACCARD.split("\nSELECT")[1])
-def evidence_jaccard(spark, sf):
-    t = P.table(spark, sf, "benchmark").where("item_id < 20").select("item_id", F.array_distinct(T.words_of_answer(F.col("text"))).alias("a"))
-    n = P.table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 20).alias("k"), F.array_distinct(T.words_of_answer(F.col("text"))).alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return n.join(t, F.col("k") == F.col("item_id")).select("item_id", "doc_id", F.round(both / (F.size("a") + F.size("b") - both), 9).alias("jaccard"))
+# ------------------------------------------------------------------------------------------------ answers, hits as output
+
+
+@query(
+    "score_components",
+    cte(VECTORS, f"two AS (SELECT query_id, node_id, score AS embedding, {_SECOND} AS graph FROM recalled)")
+    + "SELECT query_id, node_id, 'embedding' AS scorer, embedding AS value FROM two UNION ALL SELECT query_id, node_id, 'graph', graph FROM two WHERE graph IS NOT NULL",
+)
+def score_components(spark, sf):
+    """Scorers' values of every recalled vector as a map, spread again; a value from before gives way to the new one."""
+    hits = _recalled(spark, sf).withColumn("embedding", F.col("score")).withColumn("graph", F.when(F.col("ord") % 3 == 0, F.lit(None)).otherwise(((F.col("ord") * 7919) % 1000).cast("double")))
+    before = F.create_map(F.lit("embedding"), F.lit(-5.0))
+    return reports.score_components(hits, ["embedding", "graph"], before).select("query_id", "node_id", F.explode("components").alias("scorer", "value"))
+
+
+@query("hit_responses", cte(VECTORS) + "SELECT query_id, pos - 1 AS place, node_id, node_type, score FROM recalled")
+def hit_responses(spark, sf):
+    """Recalled vectors as JSON responses, read back."""
+    nodes = P.vectors(P.table(spark, sf, "embeddings")).select("node_id", F.lit("a text").alias("text"), F.lit(None).cast("string").alias("image_path"))
+    made = reports.responses(_recalled(spark, sf), nodes)
+    listed = F.from_json("response", "array<struct<node_id:string,paper_id:string,node_type:string,text:string,image_path:string,score:double>>")
+    return made.select("query_id", F.posexplode(listed).alias("place", "h")).select("query_id", "place", "h.node_id", "h.node_type", "h.score")
+
+
+@query(
+    "parsed_answers",
+    "SELECT conv_id || ':' || turn || ':' || role AS query_id, coalesce(text, '') AS answer, CASE WHEN turn % 3 = 2 THEN '' ELSE conv_id || ' t' || turn END AS cited, turn % 3 <> 2 AS valid FROM conversations",
+)
+def parsed_answers(spark, sf):
+    """Every turn as a model's output: a JSON object, one in a fence, or plain text."""
+    c = P.table(spark, sf, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    ids = F.array(F.col("conv_id").cast("string"), F.col("conv_id").cast("string"), F.concat(F.lit("t"), F.col("turn").cast("string")))
+    body = F.to_json(F.struct(F.col("text").alias("answer"), ids.alias("evidence_ids")))
+    output = F.when(F.col("turn") % 3 == 0, body).when(F.col("turn") % 3 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.col("text"))
+    raw = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role").alias("query_id"), output.alias("output"))
+    return reports.parsed_answers(raw).select("query_id", "answer", F.array_join("node_ids", " ").alias("cited"), "valid")
+
+
+_PLACE = "list_filter(range(1, len(w) - len(s) + 2), lambda i: w[i] = s[1] AND w[i:i + len(s) - 1] = s)[1]"
+
+
+@query(
+    "locate_sentences",
+    cte("d AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents)",
+        "e AS (SELECT doc_id, w, 'exact' AS how, w[3:10] AS s FROM d WHERE len(w) >= 3 UNION ALL SELECT doc_id, w, 'part', w[8:16] FROM d WHERE len(w) >= 16)",
+        f"p AS (SELECT doc_id, how, {_PLACE} - 1 AS a, len(s) AS n FROM e)",
+        "b AS (SELECT doc_id, how, list_transform(range(a, a + n), lambda i: i % 10) AS c, a, n FROM p)")
+    + "SELECT doc_id || ':' || how AS node_id, how, list_min(c) * 50.0::DOUBLE AS x0, (a // 10) * 12.0::DOUBLE AS y0, list_max(c) * 50.0::DOUBLE + 40 AS x1, ((a + n - 1) // 10) * 12.0::DOUBLE + 10 AS y1 FROM b",
+)
+def locate_sentences(spark, sf):
+    """Eight words of each document, and twelve of which only the middle ones are on the page, found again among its laid-out words."""
+    d = P.spread(P.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "").alias("w"))
+    at = lambda i, per, unit: F.floor(i / per).cast("double") * unit
+    boxed = F.transform("w", lambda x, i: F.struct(x.alias("word"), ((i % 10) * 50.0).alias("x0"), at(i, 10, 12.0).alias("y0"), ((i % 10) * 50.0 + 40).alias("x1"), (at(i, 10, 12.0) + 10).alias("y1")))
+    pages = d.select("doc_id", F.lit(1).alias("page"), boxed.alias("words"))
+    sentence = lambda how, words: d.select(F.concat(F.col("doc_id").cast("string"), F.lit(f":{how}")).alias("node_id"), "doc_id", F.lit(1).alias("page"), F.array_join(words, " ").alias("text"), F.size("w").alias("n"))
+    none = F.array(*[F.lit("\u0001")] * 3)
+    asked = sentence("exact", F.slice("w", 3, 8)).where("n >= 3").unionByName(sentence("part", F.concat(none, F.slice("w", 8, 9))).where("n >= 16")).drop("n")
+    return reports.located(asked, pages, "doc_id").select("node_id", "how", "bbox.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +16,13 @@ _SAMPLE = (
 )
 
 
-def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of graph files; another schema version is an error.
+def read_graph(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of graph files, one document a file or (lines) one a line; another schema version is an error.
 
     Defaults: confidence 1, not mandatory, directional. A text missing from anything but a figure is the empty string.
     text_view, entities and source_index are taken out of the attributes.
     """
-    raw = spark.read.option("multiLine", True).schema(f"schema_version string, nodes array<{_NODE}>, edges array<{_EDGE}>").json(path)
+    raw = spark.read.option("multiLine", not lines).schema(f"schema_version string, nodes array<{_NODE}>, edges array<{_EDGE}>").json(path)
     fits = F.when(F.col("schema_version").eqNullSafe(VERSION), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unsupported graph schema: "), F.coalesce("schema_version", F.lit("none")))))
     raw = raw.where(fits)
     n = raw.select(F.explode("nodes").alias("n")).select("n.*")
@@ -45,9 +47,24 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes and edges as JSON lines beside each other, each with its schema version; letters stay as they are."""
-    for name, df in (("nodes", nodes), ("edges", edges)):
-        df.withColumn("schema_version", F.lit(VERSION)).write.json(f"{path}/{name}")
+    """Documents of the graph format as JSON lines, one for each paper's nodes and the edges out of them; read_graph(lines=True) reads them back.
+
+    text_view, entities and source_index go into the attributes; letters stay as they are.
+    """
+    have = lambda df, c: F.col(c) if c in df.columns else F.lit(None)
+    own = F.create_map(*[x for c in ("text_view", "entities", "source_index") for x in (F.lit(c), F.to_json(F.struct(have(nodes, c).alias("v"))))])
+    given = F.from_json(F.coalesce(have(nodes, "attributes").cast("string"), F.lit("{}")), "map<string,variant>")
+    fresh = F.transform_values(F.map_filter(own, lambda k, v: v != "{}"), lambda k, v: F.variant_get(F.parse_json(v), "$.v", "variant"))
+    attributes = F.map_concat(F.map_filter(given, lambda k, v: ~F.map_contains_key(fresh, k)), fresh)
+    box = F.when(F.col("bbox").isNotNull(), F.array(*[F.col(f"bbox.{c}") for c in ("x0", "y0", "x1", "y1")])) if "bbox" in nodes.columns else F.lit(None)
+    plain = ("node_id", "paper_id", "node_type", "text", "image_path", "page", "parser_block_id", "confidence")
+    node = F.struct(*[have(nodes, c).alias(c) for c in plain], box.alias("bbox"), F.try_parse_json(have(nodes, "provenance").cast("string")).alias("provenance"), attributes.alias("attributes"))
+    by_paper = nodes.groupBy("paper_id").agg(F.collect_list(node).alias("nodes"))
+    plain = ("src", "dst", "relation", "confidence", "mandatory_for_closure", "directional")
+    edge = F.struct(*[have(edges, c).alias(c) for c in plain], F.try_parse_json(have(edges, "attributes").cast("string")).alias("attributes"))
+    placed = edges.join(nodes.select(F.col("node_id").alias("src"), F.col("paper_id").alias("__paper")), "src", "left")
+    out = by_paper.join(placed.groupBy(F.col("__paper").alias("paper_id")).agg(F.collect_list(edge).alias("edges")), "paper_id", "full")
+    out.select(F.lit(VERSION).alias("schema_version"), F.coalesce("nodes", F.array()).alias("nodes"), F.coalesce("edges", F.array()).alias("edges")).write.json(path)
 
 
 def read_samples(spark: SparkSession, path: str, nodes: DataFrame | None = None) -> DataFrame:
@@ -137,18 +154,68 @@ def valid_download(content, suffix: str) -> F.Column:
 
 
 def write_comparison(table: DataFrame, path: str) -> None:
-    """A comparison (one row a run) as CSV with a byte order mark that spreadsheets look for, and as a Markdown table."""
-    columns = table.columns
-    rows = [F.concat_ws(" | ", *[F.coalesce(F.when(F.col(c).try_cast("double").isNotNull(), F.format_string("%.4f", F.col(c).try_cast("double"))), F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value")]
-    ordered = table.orderBy(columns[0])
-    ordered.coalesce(1).write.option("header", True).option("encoding", "UTF-8").csv(f"{path}/csv")
-    head = table.sparkSession.createDataFrame([(f"| {' | '.join(columns)} |",), (f"|{'---|' * len(columns)}",)], "value string")
-    head.coalesce(1).unionByName(ordered.select(*rows).select(F.concat(F.lit("| "), "value", F.lit(" |")).alias("value"))).coalesce(1).write.text(f"{path}/markdown")
-
-
-def upsert_nodes(vectors: DataFrame, nodes: DataFrame, path: str) -> None:
-    """A vector collection: point ids from node ids, with what searches filter by, a folder a node type; written again, a type is replaced."""
+    """A comparison (one row a run, in the order of its first column) as CSV with a byte order mark that spreadsheets look for, and as a Markdown table."""
+    columns, spark = table.columns, table.sparkSession
+    quote = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    number = lambda c: F.col(f"`{c}`").try_cast("double")
+    cells = F.array_join(F.array(*[quote(text(c)) for c in columns]), ",")
+    shown = F.concat(F.lit("| "), F.array_join(F.array(*[F.when(number(c).isNotNull(), F.format_string("%.4f", number(c))).otherwise(text(c)) for c in columns]), " | "), F.lit(" |"))
+    titles = ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in '",\r\n') else c for c in columns)
+    for name, heads, body in (("csv", ["\ufeff" + titles], cells), ("markdown", [f"| {' | '.join(columns)} |", f"|{'---|' * len(columns)}"], shown)):
+        top = spark.createDataFrame([(i, "", h) for i, h in enumerate(heads)], "part int, name string, value string")
+        rows = table.select(F.lit(len(heads)).alias("part"), text(columns[0]).alias("name"), body.alias("value"))
+        top.unionByName(rows).repartition(1).sortWithinPartitions("part", "name").select("value").write.text(f"{path}/{name}")
+
+
+COLLECTION = "node_id string, vector array<float>, paper_id string, page int, point_id string, node_type string"
+
+
+def ensure_collection(spark: SparkSession, path: str, dimension: int) -> DataFrame:
+    """The points of the vector collection at path, which is made if it is not there; one of another dimension is an error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        spark.createDataFrame([], COLLECTION).write.mode("overwrite").partitionBy("node_type").parquet(f"{path}/points")
+        spark.createDataFrame([(dimension, "cosine")], "dimension int, distance string").write.json(f"{path}/meta")
+    found = spark.read.schema("dimension int, distance string").json(f"{path}/meta").first()
+    if found["dimension"] != dimension:
+        raise ValueError(f"the collection has dimension {found['dimension']}")
+    return spark.read.schema(COLLECTION).parquet(f"{path}/points")
+
+
+def upsert_nodes(vectors: DataFrame, nodes: DataFrame, path: str, dimension: int) -> None:
+    """Points of vectors (node_id, vector) into a collection: new ones join, those of known ids are replaced, all others stay.
+
+    A point's id comes from its node's; beside it is what searches filter by. Node types without new points are not touched; a type is
+    written anew from a written union, so a lost executor loses nothing.
+    """
     from ..functions.text import uuid5_of
-
-    rows = vectors.join(nodes.select("node_id", "paper_id", "node_type", "page"), "node_id").withColumn("point_id", uuid5_of(F.col("node_id")))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("node_type").parquet(path)
+    from .scratch import Scratch
+
+    spark = nodes.sparkSession
+    names = [x.split(" ")[0] for x in COLLECTION.split(", ")]
+    old, written = ensure_collection(spark, path, dimension), Scratch(spark, "points")
+    new = vectors.select("node_id", F.col("vector").cast("array<float>").alias("vector")).join(nodes.select("node_id", "paper_id", "node_type", F.col("page").cast("int").alias("page")), "node_id").withColumn("point_id", uuid5_of(F.col("node_id")))
+    sized = F.when(F.size("vector") == dimension, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("vector of another dimension: "), F.col("node_id"))))
+    new = written.write(new.where(sized).select(*names))
+    # a node whose type has changed leaves its old type, so that type is written too
+    moved = old.join(new.select("point_id", F.col("node_type").alias("__t")), "point_id").where("node_type <> __t").select("node_type")
+    touched = new.select("node_type").unionByName(moved).distinct()
+    kept = old.join(touched, "node_type", "left_semi").join(new, "point_id", "left_anti").select(*names)
+    merged = written.write(kept.unionByName(new))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("node_type").parquet(f"{path}/points")
+
+
+def export_node_vectors(vectors: DataFrame, nodes: DataFrame, path: str, **training) -> None:
+    """Graph-model vectors (node_id, graph_vector) of all nodes as Parquet, beside one row of how they were trained and their dimension."""
+    dimension = vectors.select(F.size("graph_vector").alias("d")).agg(F.max("d").alias("dimension"), F.min("d").alias("least"), F.count("*").alias("n"))
+    dimension.withColumn("training", F.lit(json.dumps(training, sort_keys=True))).write.json(f"{path}/meta")
+    vectors.join(nodes.select("node_id"), "node_id", "left_semi").select("node_id", "graph_vector").write.parquet(f"{path}/vectors")
+
+
+def read_node_vectors(spark: SparkSession, path: str, dimension: int | None = None) -> DataFrame:
+    """What export_node_vectors wrote; unequal dimensions, or others than given, are errors."""
+    meta = spark.read.schema("dimension int, least int, n long, training string").json(f"{path}/meta").first()
+    if meta["dimension"] != meta["least"] or (dimension is not None and dimension != meta["dimension"]):
+        raise ValueError(f"vectors of dimension {meta['dimension']}")
+    return spark.read.schema("node_id string, graph_vector array<float>").parquet(f"{path}/vectors")

@@ -13,10 +13,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a folder of this process where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a folder of this process on a local master (tests), and an error on a cluster."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="lumenfold-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)

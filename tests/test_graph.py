@@ -31,12 +31,30 @@ def sets(df):
     return out
 
 
-@pytest.mark.parametrize("typed", [True, False])
-def test_closure(spark, closing, typed):
-    got = graph.closure(seeds(spark, (1, "p:s1"), (2, "p:d1"), (3, "p:t1"), (4, "p:s1"), (4, "p:f1"), (4, "p:c1")), *closing, typed=typed)
+def test_closure(spark, closing):
+    got = graph.closure(seeds(spark, (1, "p:s1"), (2, "p:d1"), (3, "p:t1"), (4, "p:s1"), (4, "p:f1"), (4, "p:c1")), *closing)
     assert sets(got) == {1: {"s1", "f1", "c1"}, 2: {"d1", "f1", "c1"}, 3: {"t1", "tc1"}, 4: {"s1", "f1", "c1"}}
 
 
+def test_closure_of_chains_and_cycles(spark):
+    """A sentence refers to a sentence that refers to a figure; chart data derives from chart data; two sentences refer to each other."""
+    nodes = [("s1", "Sentence"), ("s2", "Sentence"), ("s3", "Sentence"), ("f", "Figure"), ("c", "Caption"), ("d1", "ChartData"), ("d2", "ChartData")]
+    edges = [("s1", "s2", "refers_to"), ("s2", "f", "refers_to"), ("c", "f", "caption_of"), ("d1", "d2", "derived_from"), ("d2", "f", "derived_from"), ("s3", "s1", "refers_to"), ("s1", "s3", "refers_to")]
+    args = spark.createDataFrame([(f"p:{n}", "p", k, n, "f.png") for n, k in nodes], NODES), spark.createDataFrame([(f"p:{a}", f"p:{b}", r, 1.0) for a, b, r in edges], EDGES)
+    got = graph.closure(seeds(spark, (1, "p:s2"), (2, "p:s1"), (3, "p:d1"), (4, "p:c")), *args)
+    assert sets(got) == {1: {"s2", "f", "c"}, 2: {"s1", "s2", "s3", "f", "c"}, 3: {"d1", "d2", "f", "c"}, 4: {"c"}}
+    assert [r.closure_validity for r in graph.closure_validity(got, *args).collect()] == [1.0] * 4
+
+
+@pytest.mark.parametrize("off, want", [("figure_needs_caption", {"s1": {"s1", "f1"}, "d1": {"d1", "f1"}, "t1": {"t1", "tc1"}}), ("table_needs_caption", {"s1": {"s1", "f1", "c1"}, "t1": {"t1"}}), ("chart_needs_source", {"d1": {"d1"}, "s1": {"s1", "f1", "c1"}}), ("sentence_needs_target", {"s1": {"s1"}, "d1": {"d1", "f1", "c1"}})])
+def test_closure_policy(spark, closing, off, want):
+    names = list(want)
+    got = sets(graph.closure(seeds(spark, *[(i, f"p:{n}") for i, n in enumerate(names)]), *closing, graph.Policy(**{off: False})))
+    assert got == {i: want[n] for i, n in enumerate(names)}
+    nothing = graph.Policy(False, False, False, False)
+    assert sets(graph.closure(seeds(spark, (1, "p:s1")), *closing, nothing)) == {1: {"s1"}}
+
+
 def test_closure_of_unknown_seed(spark, closing):
     with pytest.raises(Exception):
         graph.closure(seeds(spark, (1, "p:zz")), *closing).collect()
@@ -70,7 +88,7 @@ HITS = "query_id int, node_id string, paper_id string, score double, pos int"
 
 
 def test_selection_methods(spark):
-    nodes = spark.createDataFrame([("p:s", "p", "Sentence", "see figure", None), ("p:f", "p", "Figure", None, "figure.png"), ("p:c", "p", "Caption", "Figure caption", None)], NODES)
+    nodes = spark.createDataFrame([("p:s", "p", "Sentence", "as drawn", None), ("p:f", "p", "Figure", None, "figure.png"), ("p:c", "p", "Caption", "What was drawn", None)], NODES)
     edges = spark.createDataFrame([("p:s", "p:f", "refers_to", 1.0), ("p:c", "p:f", "caption_of", 1.0)], EDGES)
     hits, queries = spark.createDataFrame([(1, "p:s", "p", 1.0, 1)], HITS), spark.createDataFrame([(1,)], "query_id int")
     got = {m: set(select.retrieve(m, hits, nodes, edges, queries, top_k=1).first().node_ids) for m in select.METHODS}
@@ -84,7 +102,7 @@ def test_selection_methods(spark):
 def test_forest_keeps_the_budget(spark):
     nodes, edges, hits = [], [], []
     for i, p in enumerate(("p1", "p2")):
-        nodes += [(f"{p}:s", p, "Sentence", "alloy strength 500 MPa", None), (f"{p}:f", p, "Figure", None, "f.png"), (f"{p}:c", p, "Caption", "Figure 1. strength", None)]
+        nodes += [(f"{p}:s", p, "Sentence", "beam at 500 MPa", None), (f"{p}:f", p, "Figure", None, "f.png"), (f"{p}:c", p, "Caption", "Figure 1. bending", None)]
         edges += [(f"{p}:s", f"{p}:f", "refers_to", 1.0), (f"{p}:c", f"{p}:f", "caption_of", 1.0)]
         hits.append((1, f"{p}:s", p, 1.0 - i / 10, i + 1))
     args = spark.createDataFrame(hits, HITS), spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES), spark.createDataFrame([(1, "500", "MPa")], "query_id int, value string, unit string")
@@ -144,8 +162,8 @@ def test_fusion(spark):
 
 
 def test_scopes(spark):
-    nodes = spark.createDataFrame([("p1:s", "p1", "Sentence", "block diffusion decoding"), ("p2:s", "p2", "Sentence", "block diffusion decoding"), ("p1:c", "p1", "Caption", "unrelated caption"), ("p1:b", "p1", "Sentence", "  ")], "node_id string, paper_id string, node_type string, text string")
-    q = spark.createDataFrame([(1, "block decoding", ["p1"], ["p1:s"]), (2, "block decoding", [], []), (3, "none", ["p1"], None)], "query_id int, query string, paper_ids array<string>, candidate_node_ids array<string>")
+    nodes = spark.createDataFrame([("p1:s", "p1", "Sentence", "grey heron nesting sites"), ("p2:s", "p2", "Sentence", "grey heron nesting sites"), ("p1:c", "p1", "Caption", "a map of the coast"), ("p1:b", "p1", "Sentence", "  ")], "node_id string, paper_id string, node_type string, text string")
+    q = spark.createDataFrame([(1, "grey nesting", ["p1"], ["p1:s"]), (2, "grey nesting", [], []), (3, "none", ["p1"], None)], "query_id int, query string, paper_ids array<string>, candidate_node_ids array<string>")
     got = [(r.query_id, r.node_id) for r in recall.bm25(q, nodes).orderBy("query_id", "pos").collect()]
     assert got == [(1, "p1:s"), (2, "p2:s"), (2, "p1:s")]
     v = spark.createDataFrame([("p:a", "p", [1.0, 0.0], 0), ("p:b", "p", [0.0, 1.0], 1), ("q:c", "q", [1.0, 0.0], 2)], "node_id string, paper_id string, vector array<double>, ord int").selectExpr("*", "'Sentence' AS node_type")

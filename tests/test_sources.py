@@ -21,8 +21,11 @@ def test_graph_files(spark, tmp_path):
     assert (e.confidence, e.mandatory_for_closure, e.directional) == (1.0, False, True)
     graphs.write_graph(nodes.drop("entities"), edges, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/nodes")).count() == 2
-    graphs.export_graph(nodes, edges, str(tmp_path / "json"))
-    assert "vü" in "".join(p.read_text() for p in (tmp_path / "json/nodes").glob("*.json"))
+    graphs.export_graph(nodes.where("node_id <> 'p:s'").unionByName(nodes.where("node_id = 'p:s'")), edges, str(tmp_path / "json"))
+    assert '"text_view":"vü"' in "".join(p.read_text() for p in (tmp_path / "json").glob("*.json"))
+    again = graphs.read_graph(spark, str(tmp_path / "json"), lines=True)
+    for a, b in zip((nodes, edges), again):
+        assert sorted(map(repr, a.drop("attributes").collect())) == sorted(map(repr, b.drop("attributes").collect()))
     (tmp_path / "old.json").write_text(json.dumps({**doc, "schema_version": "0.9"}))
     with pytest.raises(Exception):
         graphs.read_graph(spark, str(tmp_path / "old.json"))[0].collect()
@@ -54,8 +57,25 @@ def test_blocks_and_vectors(spark, tmp_path):
     assert graphs.read_vectors(spark, str(tmp_path / "v"), n).count() == 1
     with pytest.raises(ValueError):
         graphs.read_vectors(spark, str(tmp_path / "v"), n.where("false"))
-    graphs.upsert_nodes(v, n, str(tmp_path / "up"))
-    assert spark.read.parquet(str(tmp_path / "up")).first().point_id.count("-") == 4
+    up = str(tmp_path / "up")
+    more = spark.createDataFrame([("a", "p", "Sentence", 1), ("b", "p", "Sentence", 2), ("f", "q", "Figure", 3)], "node_id string, paper_id string, node_type string, page int")
+    vector = lambda *rows: spark.createDataFrame(list(rows), "node_id string, vector array<float>")
+    points = lambda: {r.node_id: (r.vector, r.node_type) for r in graphs.ensure_collection(spark, up, 2).collect()}
+    assert points() == {}
+    graphs.upsert_nodes(vector(("a", [1.0, 2.0]), ("f", [0.0, 1.0])), more, up, 2)
+    graphs.upsert_nodes(vector(("a", [3.0, 4.0]), ("b", [5.0, 6.0])), more, up, 2)
+    assert points() == {"a": ([3.0, 4.0], "Sentence"), "b": ([5.0, 6.0], "Sentence"), "f": ([0.0, 1.0], "Figure")}
+    graphs.upsert_nodes(vector(("b", [7.0, 8.0])), more.withColumn("node_type", F.lit("Caption")), up, 2)
+    assert points() == {"a": ([3.0, 4.0], "Sentence"), "b": ([7.0, 8.0], "Caption"), "f": ([0.0, 1.0], "Figure")}
+    assert graphs.ensure_collection(spark, up, 2).first().point_id.count("-") == 4
+    with pytest.raises(ValueError):
+        graphs.ensure_collection(spark, up, 3)
+    with pytest.raises(Exception):
+        graphs.upsert_nodes(vector(("a", [1.0])), more, up, 2)
+    graphs.export_node_vectors(vector(("a", [1.0, 2.0])).withColumnRenamed("vector", "graph_vector"), more, str(tmp_path / "hgt"), epochs=3)
+    assert graphs.read_node_vectors(spark, str(tmp_path / "hgt"), 2).first().graph_vector == [1.0, 2.0]
+    with pytest.raises(ValueError):
+        graphs.read_node_vectors(spark, str(tmp_path / "hgt"), 3)
 
 
 def test_files(spark, tmp_path):
@@ -67,6 +87,8 @@ def test_files(spark, tmp_path):
     assert [r.k for r in rows.select(graphs.image_kind(F.col("c")).alias("k")).collect()] == ["png", "jpg", "webp", None]
     t = spark.createDataFrame([("r1", 0.5, "x"), ("r2", None, "y")], "run string, m double, n string")
     graphs.write_comparison(t, str(tmp_path / "cmp"))
+    text = next((tmp_path / "cmp/csv").glob("*.txt")).read_bytes()
+    assert text.startswith(b"\xef\xbb\xbfrun,m,n\n") and b"r1,0.5,x" in text
     assert "| r1 | 0.5000 | x |" in "".join(p.read_text() for p in (tmp_path / "cmp/markdown").glob("*.txt"))
 
 

@@ -59,6 +59,9 @@ def test_kernels():
     assert kernels.common_length(list("abcbdab"), list("bdcaba")) == 4 and kernels.common_length([], ["a"]) == 0
     assert kernels.html_rows("<table><tr><td>Model</td><td>F1</td></tr><tr><td>Ours</td><td> 91.2 </td><td></td></tr></table>") == "Model\tF1\nOurs\t91.2"
     assert kernels.table_cells('a,"b,c"\n--,--\n1,2') == [["a", "b,c"], ["1", "2"]]
+    assert kernels.table_cells('| a | b |\n|:--|--:|\n\n| 1 ||\n') == [["a", "b"], ["1"]]
+    assert kernels.table_cells('x\t"say ""so"""\n| 1|2\t3') == [["x", 'say "so"'], ["1|2", "3"]]
+    assert kernels.table_cells('a,,c\n"",2,') == [["a", "", "c"], ["", "2", ""]] and kernels.table_cells(None) == kernels.table_cells(" \n--\n") == []
     assert kernels.sequence_ratio_of("abcd", "bcde") == pytest.approx(0.75)
 
 
