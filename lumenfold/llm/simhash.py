@@ -66,7 +66,7 @@ def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A fingerprint for each document: the bits set in over half of its hashes; zero without any."""
     out = np.zeros(len(counts), np.uint64)
     ends = np.cumsum(counts)
-    a, step = 0, 1 << 18
+    a, step = 0, 1 << 16
     while a < len(counts):
         base = int(ends[a] - counts[a])
         b = max(a + 1, int(np.searchsorted(ends, base + step, "right")))
@@ -94,7 +94,7 @@ def fingerprint_column(text, shingle: int = 3):
         raw, offsets = text_buffers(col)
         out, a, n = [], 0, len(offsets) - 1
         while a < n:
-            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (4 << 20), "right")) - 1)
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (2 << 20), "right")) - 1)
             part, off = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             h, counts = _shingle_hashes(part, off, shingle)
             out.append(majority(h, counts))
