@@ -6,6 +6,8 @@ are those of the query's scope and node type. Queries of equal scope share them.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,13 +86,58 @@ def bm25(queries: DataFrame, nodes: DataFrame, k: int = 25, types=TYPES, k1: flo
     return top.select("query_id", "node_id", "paper_id", "node_type", "score", "pos")
 
 
+#: Rows and queries of one block of the exact product: 32 MB of vectors of 64 numbers.
+BLOCK_ROWS, BLOCK_QUERIES = 65_536, 2_048
+
+
+def _best_of_block(k: int, kind: str):
+    """Of one block of rows and one of queries, each query's k best of each type, by one matrix product."""
+    names = [x.rsplit(" ", 1)[0] for x in kind.split(", ")]
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        x = np.array(column.to_pylist(), np.float64)
+        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out = [rows.schema.empty_table().select(["node_id", "paper_id", "node_type", "ord"]).append_column("query_id", pa.array([], asked.schema.field("query_id").type)).append_column("score", pa.array([], pa.float64()))]
+        if rows.num_rows and asked.num_rows:
+            # rows in the order of ties, types side by side: a stable sort by score then keeps that order
+            rows = rows.sort_by([("node_type", "ascending"), ("ord", "ascending"), ("node_id", "ascending")])
+            kinds = np.array(rows.column("node_type").to_pylist())
+            cut = [0, *(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1).tolist(), len(kinds)]
+            scores = np.round(unit(asked.column("query_vector")) @ unit(rows.column("vector")).T, DIGITS)
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                best = np.argsort(-scores[:, i:j], axis=1, kind="stable")[:, :k]
+                at, who = (best + i).ravel(), np.repeat(np.arange(asked.num_rows), best.shape[1])
+                part = rows.take(pa.array(at)).select(["node_id", "paper_id", "node_type", "ord"])
+                out.append(part.append_column("query_id", asked.column("query_id").take(pa.array(who))).append_column("score", pa.array(scores[who, at])))
+        return pa.concat_tables(out).select(names)
+
+    return run
+
+
+def _blocked_cosine(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """All rows against all queries: each block of rows meets each block of queries in one task of bounded memory, and only the best move on."""
+    rows = rows.where("vector IS NOT NULL").select("node_id", "paper_id", "node_type", "ord", "vector")
+    asked = queries.where("query_vector IS NOT NULL").select("query_id", "query_vector")
+    n_rows, n_asked = -(-rows.count() // BLOCK_ROWS) or 1, -(-asked.count() // BLOCK_QUERIES) or 1
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("i", F.pmod(F.xxhash64("node_id"), F.lit(n_rows))).select("*", each(n_asked).alias("j"))
+    right = asked.withColumn("j", F.pmod(F.xxhash64("query_id"), F.lit(n_asked))).select("*", each(n_rows).alias("i"))
+    kind = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((asked, "query_id"), (rows, "node_id"), (rows, "paper_id"), (rows, "node_type"), (rows, "ord"))) + ", score double"
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_best_of_block(k, kind), kind)
+
+
 def cosine(queries: DataFrame, vectors: DataFrame, k: int = 25, types=TYPES) -> DataFrame:
     """Exact cosine. queries (query_id, query_vector, ...), vectors (node_id, paper_id, node_type, vector, ord) in scope order.
 
-    Every row is scored against every query of its scope; the planner broadcasts whichever side is under its size
-    threshold. Ties go by scope order: the candidates' ids, else papers and then `ord`, else `ord`.
+    Every row that has a vector is scored against every query of its scope: block by block where queries bring no filters, by a join on
+    the scope otherwise. Ties go by scope order: the candidates' ids, else papers and then `ord`, else `ord`.
     """
-    rows = vectors.where(F.col("node_type").isin(list(types))).withColumn("unit", l2_normalized(F.col("vector"))).drop("vector")
+    rows = vectors.where(F.col("node_type").isin(list(types)))
+    if not {"paper_ids", "candidate_node_ids"} & set(queries.columns):
+        return best_per_type(_blocked_cosine(queries, rows, k), k, F.col("ord"), F.col("node_id")).select("query_id", "node_id", "paper_id", "node_type", "score", "pos")
+    rows = rows.where("vector IS NOT NULL").withColumn("unit", l2_normalized(F.col("vector"))).drop("vector")
     q, members = scoped(queries, rows)
     none = F.array().cast("array<string>")
     has = lambda c: (F.size(F.coalesce(F.col(c), none)) > 0) if c in queries.columns else F.lit(False)
