@@ -32,14 +32,24 @@ def hard_negatives(positives: DataFrame, pool: DataFrame, vectors: DataFrame, se
 
 
 def relation_triples(nodes: DataFrame, edges: DataFrame, train_papers: DataFrame, seed: int = 42, relations=RELATIONS) -> DataFrame:
-    """(src, dst, negative) for edges out of training papers: a node of the source's paper and the target's type that no kept edge leads to from the source; the least seeded hash is drawn."""
+    """(src, dst, negative) for edges out of training papers: a node of the source's paper and the target's type that no kept edge leads to from the source.
+
+    A paper's nodes of one type stand in a circle, in the order of a seeded hash; an edge's hash says where to begin, and the first free node from there is
+    drawn. One more place is looked at than the source has neighbours of that type, so work grows with the edges, not with a paper's pairs.
+    """
+    h = lambda *c: F.sha1(F.concat_ws("|", F.lit(str(seed)), *c))
     n = nodes.join(train_papers.select("paper_id").distinct(), "paper_id", "left_semi").select("node_id", "paper_id", "node_type")
     types = nodes.select(F.col("node_id").alias("dst"), F.col("node_type").alias("d_type"))
-    kept = edges.where(F.col("relation").isin(list(relations))).join(n.select(F.col("node_id").alias("src"), "paper_id"), "src").select("src", "dst", "paper_id")
-    near = kept.select("src", F.col("dst").alias("node_id")).distinct()
-    pairs = kept.distinct().join(types, "dst").join(n, "paper_id").where((F.col("node_type") == F.col("d_type")) & (F.col("node_id") != F.col("src")))
-    free = pairs.join(near, ["src", "node_id"], "left_anti")
-    return free.groupBy("src", "dst").agg(F.min_by("node_id", F.sha1(F.concat_ws("|", F.lit(str(seed)), "src", "dst", "node_id"))).alias("negative"))
+    kept = edges.where(F.col("relation").isin(list(relations))).join(n.select(F.col("node_id").alias("src"), "paper_id", F.col("node_type").alias("s_type")), "src").select("src", "dst", "paper_id", "s_type").distinct().join(types, "dst")
+    circle = n.withColumn("place", F.row_number().over(Window.partitionBy("paper_id", "node_type").orderBy(h("node_id"), "node_id")) - 1)
+    size = n.groupBy("paper_id", F.col("node_type").alias("d_type")).agg(F.count("*").alias("size"))
+    taken = kept.groupBy("src", "d_type").agg(F.collect_set("dst").alias("taken"))
+    asked = kept.join(taken, ["src", "d_type"]).join(size, ["paper_id", "d_type"])
+    looks = F.least(F.col("size"), F.size("taken") + 1 + (F.col("s_type") == F.col("d_type")).cast("int"))
+    begin = F.conv(F.substring(h("src", "dst"), 1, 8), 16, 10).cast("long")
+    tries = asked.select("src", "dst", "paper_id", "d_type", "taken", "size", F.posexplode(F.transform(F.sequence(F.lit(0), looks.cast("int") - 1), lambda i: (begin + i) % F.col("size"))).alias("turn", "place"))
+    found = tries.join(circle.withColumnRenamed("node_type", "d_type"), ["paper_id", "d_type", "place"]).where((F.col("node_id") != F.col("src")) & ~F.array_contains("taken", F.col("node_id")))
+    return found.groupBy("src", "dst").agg(F.min_by("node_id", "turn").alias("negative"))
 
 
 def typed_index(nodes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,13 +80,78 @@ def bm25(queries: DataFrame, nodes: DataFrame, k: int = 25, types=TYPES, k1: flo
     idf = df.join(stats, ["scope", "node_type"]).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest("avg_len", F.lit(1.0))))
     parts = postings.join(idf, ["scope", "node_type", "term"]).select("scope", "node_type", "term", "node_id", "paper_id", weight.alias("w"))
-    # a node's postings together: its scores for all queries are summed in place, and only each part's best rows move on
-    parts = parts.repartition("node_id")
-    scored = terms.join(parts, ["scope", "term"]).groupBy("query_id", "node_id", "paper_id", "node_type").agg(F.round(F.sum(F.col("qtf") * F.col("w")), DIGITS).alias("score"))
-    top = best_per_type(scored.where("score > 0"), k, F.col("node_id").desc())
+    # blocks of nodes meet blocks of queries: scores are summed in a matrix there, and only each block's best rows move on
+    nodes_blocks, query_blocks = -(-docs.count() // POSTED_NODES) or 1, -(-q.count() // POSTED_QUERIES) or 1
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = parts.withColumn("i", F.pmod(F.xxhash64("node_id"), F.lit(nodes_blocks))).select("*", each(query_blocks).alias("j"))
+    right = terms.withColumn("j", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))).select("*", each(nodes_blocks).alias("i"))
+    kind = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((terms, "query_id"), (parts, "node_id"), (parts, "paper_id"), (parts, "node_type"))) + ", score double"
+    scored = left.groupBy("scope", "i", "j").cogroup(right.groupBy("scope", "i", "j")).applyInArrow(_summed_block(k, kind), kind)
+    top = best_per_type(scored, k, F.col("node_id").desc())
     return top.select("query_id", "node_id", "paper_id", "node_type", "score", "pos")
 
 
+#: Nodes and queries of one block of the score matrix: 32 MB.
+POSTED_NODES, POSTED_QUERIES = 16_384, 256
+
+
+def _summed_block(k: int, kind: str):
+    """Of one block of weighted postings and one of query terms, each query's k best nodes of each type, ties by descending id."""
+    names = [x.rsplit(" ", 1)[0] for x in kind.split(", ")]
+
+    def run(posted: pa.Table, asked: pa.Table) -> pa.Table:
+        fields = [asked.schema.field("query_id"), *(posted.schema.field(c) for c in ("node_id", "paper_id", "node_type"))]
+        out = [pa.schema([*fields, pa.field("score", pa.float64())]).empty_table()]
+        if posted.num_rows and asked.num_rows:
+            coded = posted.column("term").combine_chunks().dictionary_encode()
+            term = coded.indices.to_numpy()
+            wanted = pc.index_in(asked.column("term").combine_chunks(), value_set=coded.dictionary)
+            met = np.flatnonzero(~wanted.is_null().to_numpy(zero_copy_only=False))
+            q = asked.column("query_id").combine_chunks().dictionary_encode()
+            q_at, q_term, q_weight = q.indices.to_numpy()[met], wanted.take(pa.array(met)).to_numpy(), asked.column("qtf").to_numpy()[met]
+            # nodes in the order of ties, types side by side
+            node = posted.column("node_id").combine_chunks().dictionary_encode()
+            n_at = node.indices.to_numpy()
+            lead = np.zeros(len(node.dictionary), np.int64)
+            lead[n_at[::-1]] = np.arange(len(n_at))[::-1]
+            info = posted.select(["node_id", "paper_id", "node_type"]).take(pa.array(lead))
+            order = pc.sort_indices(info, sort_keys=[("node_type", "ascending"), ("node_id", "descending")]).to_numpy()
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            info, n_at, w = info.take(pa.array(order)), place[n_at], posted.column("w").to_numpy()
+            by = np.argsort(term, kind="stable")
+            bound = np.searchsorted(term[by], np.arange(len(coded.dictionary) + 1))
+            scores = np.zeros((len(q.dictionary), len(order)))
+            by_q = np.argsort(q_term, kind="stable")
+            heads = np.flatnonzero(np.concatenate(([True], np.diff(q_term[by_q]) > 0))) if len(met) else np.zeros(0, np.int64)
+            for a, z in zip(heads, [*heads[1:], len(by_q)], strict=True):
+                who, rows = by_q[a:z], by[bound[q_term[by_q[a]]] : bound[q_term[by_q[a]] + 1]]
+                for x in who.tolist():  # a query has a term once, a node too
+                    scores[q_at[x], n_at[rows]] += q_weight[x] * w[rows]
+            scores = np.round(scores, DIGITS)
+            kinds = np.array(info.column("node_type").to_pylist())
+            cut = [0, *(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1).tolist(), len(kinds)]
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                best = np.argsort(-scores[:, i:j], axis=1, kind="stable")[:, :k] if j - i <= 4 * k else _leading(scores[:, i:j], k)
+                at, who = (best + i).ravel(), np.repeat(np.arange(len(scores)), best.shape[1])
+                good = scores[who, at] > 0
+                at, who = at[good], who[good]
+                out.append(pa.Table.from_arrays([q.dictionary.take(pa.array(who)), *(info.column(c).take(pa.array(at)) for c in ("node_id", "paper_id", "node_type")), pa.array(scores[who, at])], ["query_id", "node_id", "paper_id", "node_type", "score"]))
+        return pa.concat_tables(out).select(names)
+
+    return run
+
+
+def _leading(scores: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest of each row, equal ones in their order: only what reaches the k-th greatest is sorted."""
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+    out = np.empty((len(scores), k), np.int64)
+    for r, x in enumerate(scores):
+        at = np.flatnonzero(x >= least[r])
+        out[r] = at[np.argsort(-x[at], kind="stable")[:k]]
+    return out
+
+
 #: Rows and queries of one block of the exact product: 32 MB of vectors of 64 numbers.
 BLOCK_ROWS, BLOCK_QUERIES = 65_536, 2_048
 
@@ -107,7 +173,7 @@ def _best_of_block(k: int, kind: str):
             cut = [0, *(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1).tolist(), len(kinds)]
             scores = np.round(unit(asked.column("query_vector")) @ unit(rows.column("vector")).T, DIGITS)
             for i, j in zip(cut[:-1], cut[1:], strict=True):
-                best = np.argsort(-scores[:, i:j], axis=1, kind="stable")[:, :k]
+                best = np.argsort(-scores[:, i:j], axis=1, kind="stable")[:, :k] if j - i <= 4 * k else _leading(scores[:, i:j], k)
                 at, who = (best + i).ravel(), np.repeat(np.arange(asked.num_rows), best.shape[1])
                 part = rows.take(pa.array(at)).select(["node_id", "paper_id", "node_type", "ord"])
                 out.append(part.append_column("query_id", asked.column("query_id").take(pa.array(who))).append_column("score", pa.array(scores[who, at])))

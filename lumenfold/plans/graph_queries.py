@@ -413,10 +413,10 @@ def hard_negatives(spark, sf):
 
 @query(
     "relation_triples",
-    cte(GRAPH, "tp AS (SELECT DISTINCT paper_id FROM nodes)", "n AS (SELECT * FROM nodes JOIN tp USING (paper_id))",
-        "k AS (SELECT DISTINCT src, dst, n.paper_id FROM edges JOIN n ON n.node_id = src)",
-        "c AS (SELECT k.src, k.dst, m.node_id FROM k JOIN nodes d ON d.node_id = k.dst JOIN n m ON m.paper_id = k.paper_id AND m.node_type = d.node_type AND m.node_id <> k.src WHERE NOT EXISTS (SELECT 1 FROM k z WHERE z.src = k.src AND z.dst = m.node_id))")
-    + "SELECT src, dst, min_by(node_id, sha1('42|' || src || '|' || dst || '|' || node_id)) AS negative FROM c GROUP BY 1, 2",
+    cte(GRAPH, "k AS (SELECT DISTINCT src, dst, s.paper_id, d.node_type AS t FROM edges JOIN nodes s ON s.node_id = src JOIN nodes d ON d.node_id = dst)",
+        "c AS (SELECT paper_id, node_type AS t, node_id, row_number() OVER (PARTITION BY paper_id, node_type ORDER BY sha1('42|' || node_id), node_id) - 1 AS place, count(*) OVER (PARTITION BY paper_id, node_type) AS size FROM nodes)",
+        "f AS (SELECT k.src, k.dst, c.node_id, (c.place - ('0x' || substr(sha1('42|' || k.src || '|' || k.dst), 1, 8))::BIGINT % size + size) % size AS turn FROM k JOIN c USING (paper_id, t) WHERE c.node_id <> k.src AND NOT EXISTS (SELECT 1 FROM k z WHERE z.src = k.src AND z.dst = c.node_id))")
+    + "SELECT src, dst, min_by(node_id, turn) AS negative FROM f GROUP BY 1, 2",
 )
 def relation_triples(spark, sf):
     nodes, edges = P.graph(spark, sf)
