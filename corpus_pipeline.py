@@ -2,6 +2,11 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns what it keeps. All but the last return
 the columns of documents.
+
+Edge cases, stage after stage: a null text is an empty one, kept or not by its score, one group with all texts without words, unchanged
+by substring dedup, and a document of one id in packing. A null doc_id stays where its group of near copies has no other. Repeated rows are
+copies: one stays. Ties go to the lesser doc_id, then to the first row. A null source is a source of its own. Very long texts are judged whole in
+every stage. Further columns, whatever their names, pass through all stages but the last. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -51,7 +56,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the trained classifier nor the fingerprints' components; tests compare with brute force.
+#: SQL can express neither the trained classifier nor the fingerprints' components; tests compare each stage with brute force on a small table.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config
-from .operators import build, charts, evaluate, graph
+from .operators import build, charts, evaluate, graph, mapping, reports
 from .plans import systems
 from .sources import graphs
 
@@ -82,6 +82,29 @@ def merge_charts(spark, a) -> None:
     charts.self_ensemble(graphs.read_lines(spark, a.samples, "figure_id string, sample int, linearized_table string").where(F.col("sample") < a.repeats)).write.json(a.out)
 
 
+def index(spark, a) -> None:
+    """Vectors of a graph into a collection, and a report of what is indexed."""
+    nodes, _ = _tables(spark, a.graph)
+    vectors = graphs.read_vectors(spark, a.vectors, nodes)
+    first = vectors.select(F.size("vector").alias("n")).first()
+    dimension = first["n"] if first else 0
+    graphs.upsert_nodes(vectors, nodes.withColumn("page", F.col("page") if "page" in nodes.columns else F.lit(None).cast("int")), a.out, dimension)
+    reports.index_report(nodes, dimension).write.json(f"{a.out}/report")
+
+
+def map_evidence(spark, a) -> None:
+    """Evidence texts (JSON lines of evidence_id, paper_id, evidence) to nodes of a graph."""
+    evidence = graphs.read_lines(spark, a.evidence, "evidence_id string, paper_id string, evidence string")
+    mapping.map_evidence(evidence, _tables(spark, a.graph)[0], a.least).write.json(a.out)
+
+
+def report_preparation(spark, a) -> None:
+    """Counts of a prepared set: papers, nodes, edges, samples and what was dropped."""
+    nodes, edges = _tables(spark, a.graph)
+    samples = graphs.read_lines(spark, a.samples, "query_id string, dropped string")
+    reports.preparation_report(nodes, edges, samples).write.json(a.out)
+
+
 def validate_config(spark, a) -> None:
     config.check(config.load(a.config))
 
@@ -92,6 +115,9 @@ COMMANDS = {
     "list-figures": (list_figures, ["graph", "out"], {}),
     "enrich-charts": (enrich_charts, ["graph", "manifest", "out"], {}),
     "merge-charts": (merge_charts, ["samples", "out"], {"--repeats": 3}),
+    "index": (index, ["graph", "vectors", "out"], {}),
+    "map-evidence": (map_evidence, ["graph", "evidence", "out"], {"--least": 0.85}),
+    "report-preparation": (report_preparation, ["graph", "samples", "out"], {}),
     "validate-config": (validate_config, ["config"], {}),
     "benchmark": (run_benchmark, ["graph", "samples", "out"], {"--config": None, "--vectors": None, "--query-vectors": None}),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,23 +14,63 @@ from ..functions.text import dot
 RELATIONS = ("caption_of", "refers_to", "derived_from", "next_sentence")
 
 
+#: Positives and pool nodes of one block of likenesses: 64 MB.
+BLOCK_POSITIVES, BLOCK_POOL = 512, 16_384
+
+
+def _most_alike():
+    """Of one block of a query's positives and one of its pool, each positive's most alike pool node of its own type and of the other types, least id at ties."""
+
+    def matrix(column) -> np.ndarray:
+        return np.array(column.to_pylist(), np.float64)
+
+    def run(positives: pa.Table, pool: pa.Table) -> pa.Table:
+        out = {"query_id": [], "positive": [], "node_id": [], "other": [], "like": []}
+        if positives.num_rows and pool.num_rows:
+            pool = pool.sort_by("node_id")
+            like = np.full((positives.num_rows, pool.num_rows), -1.0)
+            known = np.flatnonzero(pool.column("vector").is_valid().to_numpy())
+            if len(known):
+                like[:, known] = np.round(matrix(positives.column("p_vector")) @ matrix(pool.column("vector").take(pa.array(known))).T, 9)
+            kinds, ids = np.array(pool.column("node_type").to_pylist()), pool.column("node_id").to_pylist()
+            names, asked = positives.column("positive").to_pylist(), positives.column("query_id").to_pylist()
+            for i, t in enumerate(positives.column("p_type").to_pylist()):
+                for other in (False, True):
+                    at = np.flatnonzero((kinds != t) == other)
+                    if len(at):
+                        best = at[np.argmax(like[i, at])]
+                        for c, v in zip(out, (asked[i], names[i], ids[best], other, float(like[i, best])), strict=True):
+                            out[c].append(v)
+        types = [positives.schema.field("query_id").type, positives.schema.field("positive").type, pool.schema.field("node_id").type, pa.bool_(), pa.float64()]
+        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types, strict=True)})
+
+    return run
+
+
 def hard_negatives(positives: DataFrame, pool: DataFrame, vectors: DataFrame, seed: int = 42) -> DataFrame:
     """For each positive (query_id, node_id) the pool node (query_id, node_id) most like it.
 
     Nodes of the positive's type are preferred as long as there are any; gold of the query is never a negative. Likeness is
     the dot product (-1 for a pool node without vector), ties by id. A positive without vector takes the pool node of least
-    seeded hash. vectors: node_id, node_type, vector (null where there is none).
+    seeded hash. vectors: node_id, node_type, vector (null where there is none). A query's positives meet its pool block by block.
     """
     v = vectors.select("node_id", "node_type", "vector")
     gold = positives.select("query_id", "node_id").distinct()
     p = gold.join(v, "node_id").select("query_id", F.col("node_id").alias("positive"), F.col("node_type").alias("p_type"), F.col("vector").alias("p_vector"))
-    others = pool.select("query_id", "node_id").distinct().join(gold, ["query_id", "node_id"], "left_anti").join(v, "node_id")
-    pairs = p.join(others, "query_id")
-    like = F.when(F.col("vector").isNull(), F.lit(-1.0)).otherwise(F.round(dot(F.col("p_vector"), F.col("vector")), 9))
+    others = pool.select("query_id", "node_id").distinct().join(gold, ["query_id", "node_id"], "left_anti").join(v, "node_id").select("query_id", "node_id", "node_type", "vector")
+    # blocks by the largest pool and the most positives of a query
+    most = lambda df: df.groupBy("query_id").count().agg(F.max("count")).first()[0] or 1
+    n_pool, n_positives = -(-most(others) // BLOCK_POOL), -(-most(gold) // BLOCK_POSITIVES)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = p.where("p_vector IS NOT NULL").withColumn("i", F.pmod(F.xxhash64("positive"), F.lit(n_positives))).select("*", each(n_pool).alias("j"))
+    right = others.withColumn("j", F.pmod(F.xxhash64("node_id"), F.lit(n_pool))).select("*", each(n_positives).alias("i"))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # new identities: both sides come from the same vectors
+    kind = f"query_id {gold.schema['query_id'].dataType.simpleString()}, positive {gold.schema['node_id'].dataType.simpleString()}, node_id {gold.schema['node_id'].dataType.simpleString()}, other boolean, like double"
+    met = left.groupBy("query_id", "i", "j").cogroup(right.groupBy("query_id", "i", "j")).applyInArrow(_most_alike(), kind)
+    best = met.groupBy("query_id", "positive").agg(F.min(F.struct("other", (-F.col("like")).alias("l"), "node_id"))["node_id"].alias("negative"))
     pick = F.sha1(F.concat_ws("|", F.lit(str(seed)), "positive", "node_id"))
-    known = F.col("p_vector").isNotNull()
-    w = Window.partitionBy("query_id", "positive").orderBy((F.col("node_type") != F.col("p_type")), F.when(known, -like), F.when(~known, pick), "node_id")
-    return pairs.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("query_id", F.col("positive").alias("positive_node_id"), F.col("node_id").alias("negative_node_id"))
+    drawn = p.where("p_vector IS NULL").join(others, "query_id").groupBy("query_id", "positive").agg(F.min(F.struct((F.col("node_type") != F.col("p_type")).alias("o"), pick.alias("h"), "node_id"))["node_id"].alias("negative"))
+    return best.unionByName(drawn).select("query_id", F.col("positive").alias("positive_node_id"), F.col("negative").alias("negative_node_id"))
 
 
 def relation_triples(nodes: DataFrame, edges: DataFrame, train_papers: DataFrame, seed: int = 42, relations=RELATIONS) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, grouped_split, safe_name
 from ..operators.mapping import map_evidence
+from .graphs import image_kind
 
 
 def peer_graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -133,6 +136,20 @@ def page_nodes(pages: DataFrame, dataset: str) -> DataFrame:
     return pages.select(page_node_id(dataset, F.col("doc_id"), F.col("page")).alias("node_id"), F.col("doc_id").alias("paper_id"), F.lit("Figure").alias("node_type"), F.lit(None).cast("string").alias("text"), "image_path", F.col("page").cast("int").alias("page"))
 
 
+def scanned_pages(spark: SparkSession, path: str, patterns: str = "*.{png,jpg,jpeg,webp}") -> tuple[DataFrame, DataFrame]:
+    """(pages, unreadable) of image files below path: pages (doc_id, page from 1, image_path) for page_nodes, and the paths of files whose first bytes are no image's.
+
+    A document is a folder; its pages are ordered by the last number in their names, then by name. Only the first bytes of a file are looked at.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", patterns).option("recursiveFileLookup", True).load(path)
+    judged = files.select("path", image_kind(F.col("content")).alias("kind"))
+    name = F.substring_index(F.url_decode("path"), "/", -1)
+    number = F.regexp_extract(name, r"(\d+)\D*$", 1).try_cast("long")
+    good = judged.where("kind IS NOT NULL").select(F.element_at(F.split(F.url_decode("path"), "/"), -2).alias("doc_id"), F.col("path").alias("image_path"), number.alias("n"), name.alias("name"))
+    order = Window.partitionBy("doc_id").orderBy("n", "name")
+    return good.withColumn("page", F.row_number().over(order)).select("doc_id", "page", "image_path"), judged.where("kind IS NULL").select("path")
+
+
 def literal_list(c: Column) -> Column:
     """A list written as text, with single or double quotes, as strings; anything else is empty."""
     inner = F.regexp_extract(F.trim(F.coalesce(c, F.lit(""))), r"^[\[(](.*)[\])]$", 1)
@@ -190,8 +207,19 @@ def check_preparation(report: dict, allow_partial: bool = False) -> None:
         raise ValueError(f"incomplete data: {lost}")
 
 
-def check_leakage(train: DataFrame, test: DataFrame) -> None:
-    """A query in both the training and the test samples is an error."""
+def graph_digest(nodes: DataFrame, edges: DataFrame) -> str:
+    """A digest of a graph's rows, whatever their order and partitions: what is trained on a graph is kept beside it."""
+    parts = []
+    for df, names in ((nodes, ("node_id", "paper_id", "node_type", "text", "image_path")), (edges, ("src", "dst", "relation", "confidence"))):
+        h = F.xxhash64(*[c for c in names if c in df.columns])
+        parts += [str(x) for x in df.agg(F.count("*"), F.bit_xor(h), F.sum((F.pmod(h, F.lit(1 << 31))).cast("decimal(38,0)"))).first()]
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()
+
+
+def check_leakage(train: DataFrame, test: DataFrame, trained_on: str | None = None, graph: str | None = None) -> None:
+    """A query in both the training and the test samples is an error, as is a model trained on another graph (digests of both, where the training kept one)."""
+    if trained_on is not None and trained_on != graph:
+        raise ValueError("the model was trained on another graph")
     both = train.select("query_id").intersect(test.select("query_id")).limit(5).collect()
     if both:
         raise ValueError(f"queries in training and test: {[r[0] for r in both]}")

@@ -145,6 +145,30 @@ def test_pages(spark):
         datasets.check_leakage(q, q)
 
 
+def test_scanned_pages(spark, tmp_path):
+    for doc, name in (("d1", "page_10.png"), ("d1", "page_2.png"), ("d 2", "x.png")):
+        (tmp_path / doc).mkdir(exist_ok=True)
+        (tmp_path / doc / name).write_bytes(b"\x89PNG\r\n\x1a\n0000")
+    (tmp_path / "d1/page_3.png").write_bytes(b"oops")
+    pages, bad = datasets.scanned_pages(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.page, r.image_path.rsplit("/", 1)[1]) for r in pages.collect()) == [("d 2", 1, "x.png"), ("d1", 1, "page_2.png"), ("d1", 2, "page_10.png")]
+    assert [r.path.rsplit("/", 1)[1] for r in bad.collect()] == ["page_3.png"]
+    assert datasets.page_nodes(pages, "m").count() == 3
+
+
+def test_leakage(spark):
+    q = lambda *ids: spark.createDataFrame([(i,) for i in ids], "query_id string")
+    nodes = spark.createDataFrame([("a", "t"), ("b", None)], "node_id string, text string")
+    edges = spark.createDataFrame([("a", "b", "refers_to")], "src string, dst string, relation string")
+    digest = datasets.graph_digest(nodes, edges)
+    assert digest == datasets.graph_digest(nodes.repartition(3), edges) != datasets.graph_digest(nodes.where("node_id = 'a'"), edges)
+    datasets.check_leakage(q("a"), q("b"), digest, digest)
+    with pytest.raises(ValueError):
+        datasets.check_leakage(q("a"), q("a", "b"))
+    with pytest.raises(ValueError):
+        datasets.check_leakage(q("a"), q("b"), "other", digest)
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = [{"paper_id": "p", "index": i, "block": json.dumps({"type": t, "text": x}), "at": f"2024-01-01T00:0{i}:00Z"} for i, (t, x) in enumerate((("text", "First sentence. Second sentence."), ("caption", "Figure 1. Curve")))]
