@@ -82,11 +82,12 @@ def micro_metrics(selected: DataFrame, gold: DataFrame, nodes: DataFrame) -> Dat
     return sums.select("node_type", p.alias("precision"), r.alias("recall"), harmonic(p, r).alias("f1"))
 
 
-def macro_summary(rows: DataFrame) -> DataFrame:
-    """(metric, mean) of every numeric column but the keys, over the rows where it is not null."""
-    names = [c for c, t in rows.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint") and c != "query_id"]
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(f"macro_{c}").alias("metric"), F.col(c).cast("double").alias("x")) for c in names])).alias("m")).select("m.*")
-    return long.where(F.col("x").isNotNull()).groupBy("metric").agg(F.round(F.avg("x"), 9).alias("mean"))
+def macro_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, metric, mean) of every numeric column but the keys, over the rows where it is not null."""
+    by = by or []
+    names = [c for c, t in rows.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint") and c != "query_id" and c not in by]
+    long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(f"macro_{c}").alias("metric"), F.col(c).cast("double").alias("x")) for c in names])).alias("m")).select(*by, "m.*")
+    return long.where(F.col("x").isNotNull()).groupBy(*by, "metric").agg(F.round(F.avg("x"), 9).alias("mean"))
 
 
 def answer_metrics(answers: DataFrame) -> DataFrame:

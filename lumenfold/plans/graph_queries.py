@@ -433,7 +433,7 @@ def hetero_index(spark, sf):
 
 @query("system_metrics")
 def system_metrics(spark, sf):
-    """All ten systems over vectors as nodes, gold by label, macro means of all metrics; reranking and graph scores are plain functions."""
+    """The systems that need no model from outside, over vectors as nodes, gold by label, macro means of all metrics."""
     from . import systems
 
     e = P.table(spark, sf, "embeddings")
@@ -445,9 +445,8 @@ def system_metrics(spark, sf):
     nodes, edges = written.write(nodes), written.write(edges)
     asked = P.vector_queries(e).withColumn("query", F.lit("vector"))
     gold = asked.select("query_id", "label").join(v.select("node_id", "label"), "label").select("query_id", "node_id")
-    reranker = lambda query, document: F.pmod(F.crc32(document["text"].cast("binary")), F.lit(1000)) / 1000.0
-    scorer = lambda hits: systems.graph_scored(hits, asked.select("query_id", F.col("query_vector").alias("projected")), v.select("node_id", F.col("vector").alias("graph_vector")))
-    return systems.benchmark(systems.SYSTEMS, asked, gold, nodes, edges, v, reranker=reranker, graph_scorer=scorer)
+    chosen = {k: x for k, x in systems.SYSTEMS.items() if not (x.rerank or x.graph_scores)}
+    return systems.benchmark(chosen, asked, gold, nodes, edges, v)
 
 
 @query("index_report", cte(GRAPH) + "SELECT count(*) FILTER (node_type NOT IN ('Figure', 'Table')) AS text_nodes, count(*) FILTER (node_type = 'Figure') AS figure_nodes, count(*) FILTER (node_type = 'Table') AS table_nodes, 64 AS dimension FROM nodes")

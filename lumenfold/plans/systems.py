@@ -124,12 +124,24 @@ def metrics(hits: DataFrame, trees: DataFrame, gold: DataFrame, nodes: DataFrame
 
 
 def benchmark(systems: dict[str, System], queries: DataFrame, gold: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame | None = None, setting: Setting = Setting(), **models) -> DataFrame:
-    """(run, metric, value): macro means of every system, all over the same queries."""
-    rows = []
+    """(run, metric, value): macro means of every system, all over the same queries.
+
+    Systems that recall and rank alike share written hits, and all systems' metrics are computed at once, keyed by run and query.
+    """
+    scratch, recalled, hits, trees = Scratch(nodes.sparkSession, "benchmark"), {}, [], []
     for name, system in systems.items():
-        hits, trees = run(system, queries, nodes, edges, vectors, setting, **models)
-        rows.append(evaluate.macro_summary(metrics(hits, trees, gold, nodes, edges, setting.budget)).select(F.lit(name).alias("run"), "metric", F.col("mean").alias("value")))
-    return reduce(DataFrame.unionByName, rows)
+        tagged = lambda df, *c: df.select(F.struct(F.lit(name).alias("run"), F.col("query_id").alias("id")).alias("query_id"), *c)  # noqa: B023, E731
+        how = (system.candidates, system.rerank, system.graph_scores)
+        if how not in recalled:
+            recalled[how] = scratch.write(ranked_hits(system, queries, nodes, vectors, setting, **models))
+        found = recalled[how]
+        chosen = select.retrieve(system.method, found, nodes, edges, queries, setting.top_k, setting.budget, setting.image_unit, setting.scales)
+        hits.append(tagged(select.ppr_ranked(found, edges) if system.method == "ppr" else found, "node_id", "pos"))
+        trees.append(tagged(chosen, "node_ids", F.col("cost").cast("double").alias("cost")))
+    every = gold.select(F.explode(F.array(*[F.lit(x) for x in systems])).alias("run"), F.col("query_id").alias("id"), "node_id").select(F.struct("run", "id").alias("query_id"), "node_id")
+    both = (scratch.write(reduce(DataFrame.unionByName, x)) for x in (hits, trees))
+    rows = metrics(*both, every, nodes, edges, setting.budget).withColumn("run", F.col("query_id.run"))
+    return evaluate.macro_summary(rows, ["run"]).select("run", "metric", F.col("mean").alias("value"))
 
 
 def batch_consistency(one: DataFrame, other: DataFrame, least: float = 0.999) -> DataFrame:
