@@ -33,7 +33,7 @@ def compared(spark, folder, name, documents):
     import duckdb
 
     spark.createDataFrame(documents, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
-    asked = [(i, f"{WORDS[i % 8]} {WORDS[(i + 3) % 8]} {WORDS[i % 8]} number {i}") for i in range(10)] + [(10, ""), (11, None)]
+    asked = [(i, f"{WORDS[i % 8]} {WORDS[(i + 3) % 8]} {WORDS[i % 8]} number {i}") for i in range(10)] + [(10, ""), (11, None), (None, "heron reed")]
     spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     c = duckdb.connect()
     for t in ("documents", "benchmark"):
@@ -45,3 +45,10 @@ def compared(spark, folder, name, documents):
 def test_blocks_of_nodes_meet_blocks_of_queries(spark, tmp_path, blocks_apart):
     got, want = compared(spark, tmp_path, "bm25_topk", rows(16, ["src1", "src2"]))
     assert got == want and len({r[0] for r in want}) == 10
+
+
+def test_scopes_in_blocks(spark, tmp_path, blocks_apart):
+    """Scopes of one paper, of two and of all, to which sentences without a paper belong too; a document and a query without an id."""
+    documents = [*rows(32, [None, "src1", "src2", "src3", "src5"]), (None, rows(1, ["src1"])[0][1], "src1")]
+    got, want = compared(spark, tmp_path, "bm25_scoped", documents)
+    assert got == want and any(r[1] is None for r in want) and {r[2] for r in want if r[0] == 0} == {r[2] for r in want if r[0] == 4} == {None, "src1", "src2", "src3", "src5"}
