@@ -24,7 +24,7 @@ def rounded(rows):
     return Counter(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["cosine_topk_per_type", "hit_responses", "rrf_fusion", "rrf_weighted_library", "score_calibration", "score_components", "citation_prf", "per_type_recall", "ranking_metrics", "evidence_prf", "macro_summary"])
+@pytest.mark.parametrize("name", ["cosine_topk_per_type", "hit_responses", "rrf_fusion", "rrf_weighted_library", "score_calibration", "score_components", "citation_prf", "per_type_recall", "ranking_metrics", "evidence_prf", "macro_summary", "micro_metrics"])
 def test_blocks_of_rows_meet_blocks_of_queries(spark, data, blocks_apart, name):
     c = duckdb.connect()
     for p in Path(data).glob("*.parquet"):
