@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import general_format, parsed_cells
+from ..functions.kernels import readings_aligned, readings_merged
 from ..functions.text import numeric
 
 LEAST_CONFIDENCE = 0.67
@@ -16,33 +16,13 @@ def self_ensemble(samples: DataFrame) -> DataFrame:
 
     Readings of the most frequent shape (first seen at ties) are merged. A cell whose readings are all numbers is their median, else the most
     frequent text, first seen at ties. Uncertainty is the share of number cells whose readings differ.
+    A figure's readings meet in one row, by a single shuffle, so its tables must fit a worker together.
     """
-    cells = samples.select("figure_id", "sample", parsed_cells("linearized_table").alias("cells"))
-    width = F.coalesce(F.array_max(F.transform("cells", lambda r: F.size(r))), F.lit(0))
-    shaped = cells.withColumn("shape", F.struct(F.size("cells").alias("rows"), width.alias("cols")))
-    by_shape = shaped.groupBy("figure_id", "shape").agg(F.count("*").alias("n"), F.min("sample").alias("first"))
-    modal = by_shape.groupBy("figure_id").agg(F.max_by("shape", F.struct("n", (-F.col("first")).alias("f"))).alias("modal"))
-    aligned = shaped.join(modal, "figure_id").where(F.col("shape") == F.col("modal"))
-    rows = aligned.select("figure_id", "sample", "shape", F.posexplode("cells").alias("r", "row"))
-    grid = rows.select("figure_id", "sample", "r", F.explode(F.sequence(F.lit(0), F.greatest(F.col("shape.cols") - 1, F.lit(0)))).alias("c"), "row")
-    values = grid.select("figure_id", "sample", "r", "c", F.coalesce(F.get("row", F.col("c")), F.lit("")).alias("v")).withColumn("x", numeric(F.col("v")))
-    texts = values.groupBy("figure_id", "r", "c", "v").agg(F.count("*").alias("n"), F.min("sample").alias("first"))
-    mode = texts.groupBy("figure_id", "r", "c").agg(F.max_by("v", F.struct("n", (-F.col("first")).alias("f"))).alias("mode"))
-    stats = values.groupBy("figure_id", "r", "c").agg(F.count("*").alias("n"), F.count("x").alias("k"), F.median("x").alias("median"), (F.max("x") != F.min("x")).alias("differs"))
-    merged = stats.join(mode, ["figure_id", "r", "c"]).withColumn("is_number", F.col("n") == F.col("k"))
-    cell = F.when(F.col("is_number"), general_format("median")).otherwise(F.col("mode"))
-    quoted = F.when(cell.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell)
-    lines = merged.groupBy("figure_id", "r").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c", quoted.alias("v")))), lambda x: x["v"]), ",").alias("line"),
-        F.count_if("is_number").alias("numbers"),
-        F.count_if(F.col("is_number") & F.col("differs")).alias("apart"),
-    )
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), "\r\n")
-    whole = lines.groupBy("figure_id").agg(text.alias("linearized_table"), F.sum("numbers").alias("numbers"), F.sum("apart").alias("apart"))
-    out = modal.join(whole, "figure_id", "left")
-    empty = (F.col("modal.rows") == 0) | F.col("linearized_table").isNull()
-    doubt = F.when(empty, 1.0).when(F.col("numbers") > 0, F.col("apart") / F.col("numbers")).otherwise(0.0)
-    return out.select("figure_id", F.coalesce("linearized_table", F.lit("")).alias("linearized_table"), doubt.alias("uncertainty")).withColumn("confidence", F.greatest(F.lit(0.0), 1 - F.col("uncertainty"))).withColumn(
+    each = samples.groupBy("figure_id").agg(F.sort_array(F.collect_list(F.struct("sample", "linearized_table"))).alias("readings"))
+    aligned = each.select("figure_id", readings_aligned(F.col("readings.linearized_table")).alias("a")).select("figure_id", "a.*").withColumn("x", F.transform("values", numeric))
+    out = aligned.select("figure_id", "rows", readings_merged("rows", "cols", "n", "values", "x").alias("m")).select("figure_id", "rows", "m.*")
+    doubt = F.when(F.col("rows") == 0, 1.0).when(F.col("numbers") > 0, F.col("apart") / F.col("numbers")).otherwise(0.0)
+    return out.select("figure_id", "linearized_table", doubt.alias("uncertainty")).withColumn("confidence", F.greatest(F.lit(0.0), 1 - F.col("uncertainty"))).withColumn(
         "parse_status", F.when(F.col("confidence") >= LEAST_CONFIDENCE, "ok").otherwise("suspect")
     )
 

@@ -195,3 +195,12 @@ def test_charts(spark):
     assert "1,11" in r.linearized_table and "2,20" in r.linearized_table and r.uncertainty > 0
     with pytest.raises(ValueError):
         charts.checked_repeats(1)
+
+
+def test_chart_readings_meet_once(spark):
+    """One shuffle merges readings: modal shapes, short rows, ties, quotes, empty tables, numbers that are none."""
+    rows = [("a", 2, "x,y\n1,5"), ("a", 0, "x,y\n1,7"), ("a", 1, "x\n2"), ("b", 0, 'k,"p, q"\nnan,1%'), ("b", 1, 'K,"p, q"\nnan,"1,000"'), ("c", 0, ""), ("c", 1, None), ("d", 0, "u,v,w\n3"), ("d", 1, "u,v,w\n4")]
+    df = charts.self_ensemble(spark.createDataFrame(rows, "figure_id string, sample int, linearized_table string"))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r.figure_id: (r.linearized_table, r.uncertainty, r.parse_status) for r in df.collect()}
+    assert got == {"a": ("x,y\r\n1,6", 0.5, "suspect"), "b": ('k,"p, q"\r\nnan,500.5', 0.5, "suspect"), "c": ("", 1.0, "suspect"), "d": ("u,v,w\r\n3.5,,", 1.0, "suspect")}
