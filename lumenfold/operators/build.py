@@ -25,8 +25,17 @@ KINDS = {
 }
 
 
+#: Fields of a block that are looked at. They become columns by one reading of the JSON.
+FIELDS = (
+    "type", "category", "text", "content", "bbox", "box", "img_path", "image_path", "path", "table_body", "html", "markdown", "page_idx", "page", "page_number", "id",
+    "img_caption", "caption", "table_caption", "table_footnote",
+)
+
+
 def _get(path: str) -> Column:
-    return F.get_json_object("block", path)
+    """A field, or a place within `content`."""
+    _, name, *inner = path.split(".")
+    return F.when(F.ltrim(F.col(f"__{name}")).startswith("{"), F.get_json_object("block", path)) if inner else F.col(f"__{name}")
 
 
 def _filled(*cols: Column) -> Column:
@@ -43,6 +52,7 @@ def _joined(*paths: str) -> Column:
 
 def routed(blocks: DataFrame, base: str | None = None) -> DataFrame:
     """Blocks with what they become (`kind`), their text, page (from 1), box, image path and table parts."""
+    blocks = blocks.select("paper_id", "index", "block", F.json_tuple("block", *FIELDS).alias(*[f"__{f}" for f in FIELDS]))
     kind = F.lit(None).cast("string")
     name = F.lower(F.coalesce(_get("$.type"), _get("$.category")))
     for k, names in KINDS.items():

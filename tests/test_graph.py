@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from lumenfold.operators import charts, evaluate, fusion, graph, mapping, mining, recall, select, trees
+from lumenfold.operators import build, charts, evaluate, fusion, graph, mapping, mining, recall, select, trees
 
 NODES = "node_id string, paper_id string, node_type string, text string, image_path string"
 EDGES = "src string, dst string, relation string, confidence double"
@@ -204,3 +204,11 @@ def test_chart_readings_meet_once(spark):
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     got = {r.figure_id: (r.linearized_table, r.uncertainty, r.parse_status) for r in df.collect()}
     assert got == {"a": ("x,y\r\n1,6", 0.5, "suspect"), "b": ('k,"p, q"\r\nnan,500.5', 0.5, "suspect"), "c": ("", 1.0, "suspect"), "d": ("u,v,w\r\n3.5,,", 1.0, "suspect")}
+
+
+def test_blocks_are_read_once(spark):
+    """A block's fields come from one reading of its JSON; places within `content` only where that is an object."""
+    blocks = ['{"type":"image","content":{"img_path":"q.png"},"img_caption":["a","","b"]}', '{"type":"table","content":"{\\"html\\":\\"<p>x</p>\\"}"}', '{"type":"image","content":{"image_source":{"path":"z.png"}}}', "not json", None]
+    routed = build.routed(spark.createDataFrame([("p", i, b) for i, b in enumerate(blocks)], "paper_id string, index int, block string"))
+    assert "$.type" not in routed._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.kind, r.image_path, r.image_caption, r.body) for r in routed.orderBy("index").collect()] == [("image", "q.png", "a b", None), ("table", None, "", ""), ("image", "z.png", "", None), (None, None, "", None), (None, None, "", None)]
