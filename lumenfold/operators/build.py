@@ -6,7 +6,7 @@ under several names, as parsers differ.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,18 +158,21 @@ def nearest_pairs(captions: list[tuple[int, str]], targets: list[tuple[int, str]
 
 
 def nearest_captions(nodes: DataFrame, linked: DataFrame) -> DataFrame:
-    """Captions and targets that no caption_of edge of `linked` joins yet, paired within (paper, page, type) by reading order."""
+    """Captions and targets that no caption_of edge of `linked` joins yet, paired within (paper, page, type) by reading order.
+
+    A page's captions and targets are one row; Python sees batches of pages, and none without both.
+    """
     orphans = nodes.where("node_type = 'Caption'").join(linked.select(F.col("src").alias("node_id")), "node_id", "left_anti").withColumn("what", F.when(F.col("caption_target") == "table", "Table").otherwise("Figure"))
     free = nodes.where("node_type IN ('Figure', 'Table')").join(linked.select(F.col("dst").alias("node_id")), "node_id", "left_anti").withColumn("what", F.col("node_type"))
-    cols = ("paper_id", "what", "page", "node_id", "source_index", "is_caption")
-    rows = orphans.withColumn("is_caption", F.lit(True)).select(*cols).unionByName(free.withColumn("is_caption", F.lit(False)).select(*cols))
+    spots = lambda df, name: df.groupBy("paper_id", "what", F.coalesce("page", F.lit(-1)).alias("page")).agg(F.collect_list(F.struct("source_index", "node_id")).alias(name))
+    met = spots(orphans, "captions").join(spots(free, "targets"), ["paper_id", "what", "page"])
 
-    def pair(g: pd.DataFrame) -> pd.DataFrame:
-        c, t = g[g.is_caption], g[~g.is_caption]
-        found = nearest_pairs(list(zip(c.source_index, c.node_id, strict=True)), list(zip(t.source_index, t.node_id, strict=True)))
-        return pd.DataFrame(found, columns=["src", "dst"])
+    def pair(captions: pa.Array, targets: pa.Array) -> pa.Array:
+        listed = lambda found: [(x["source_index"], x["node_id"]) for x in found]
+        made = [[{"src": a, "dst": b} for a, b in nearest_pairs(listed(c), listed(t))] for c, t in zip(captions.to_pylist(), targets.to_pylist(), strict=True)]
+        return pa.array(made, pa.list_(pa.struct([("src", pa.string()), ("dst", pa.string())])))
 
-    paired = rows.withColumn("page", F.coalesce("page", F.lit(-1))).groupBy("paper_id", "what", "page").applyInPandas(pair, "src string, dst string")
+    paired = met.select(F.explode(F.arrow_udf(pair, "array<struct<src:string,dst:string>>")("captions", "targets")).alias("p")).select("p.*")
     return _edge(paired, "src", "dst", "caption_of", 0.9)
 
 

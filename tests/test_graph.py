@@ -212,3 +212,12 @@ def test_blocks_are_read_once(spark):
     routed = build.routed(spark.createDataFrame([("p", i, b) for i, b in enumerate(blocks)], "paper_id string, index int, block string"))
     assert "$.type" not in routed._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.kind, r.image_path, r.image_caption, r.body) for r in routed.orderBy("index").collect()] == [("image", "q.png", "a b", None), ("table", None, "", ""), ("image", "z.png", "", None), (None, None, "", None), (None, None, "", None)]
+
+
+def test_pages_are_paired_in_batches(spark):
+    """Captions and targets of many pages go to Python together, not a page at a time; a page with only one of both gives nothing."""
+    rows = [("p:c1", "Caption", None, 3, 1), ("p:c2", "Caption", None, 5, 1), ("p:f1", "Figure", None, 4, 1), ("p:t", "Table", None, 4, None), ("p:c3", "Caption", "table", 1, None), ("p:c4", "Caption", None, 9, 2), ("p:f2", "Figure", None, 9, 3)]
+    nodes = spark.createDataFrame([("p", *r) for r in rows], "paper_id string, node_id string, node_type string, caption_target string, source_index int, page int")
+    edges = build.nearest_captions(nodes, spark.createDataFrame([], "src string, dst string"))
+    assert "FlatMapGroups" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.src, r.dst) for r in edges.collect()) == [("p:c1", "p:f1"), ("p:c3", "p:t")]
