@@ -62,8 +62,9 @@ def hard_negatives(positives: DataFrame, pool: DataFrame, vectors: DataFrame, se
     most = lambda df: df.groupBy("query_id").count().agg(F.max("count")).first()[0] or 1
     n_pool, n_positives = -(-most(others) // BLOCK_POOL), -(-most(gold) // BLOCK_POSITIVES)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = p.where("p_vector IS NOT NULL").withColumn("i", F.pmod(F.xxhash64("positive"), F.lit(n_positives))).select("*", each(n_pool).alias("j"))
-    right = others.withColumn("j", F.pmod(F.xxhash64("node_id"), F.lit(n_pool))).select("*", each(n_positives).alias("i"))
+    # both sides' block numbers are ints: a long is hashed to another partition than an equal int, and its block would meet nothing
+    left = p.where("p_vector IS NOT NULL").withColumn("i", F.pmod(F.xxhash64("positive"), F.lit(n_positives)).cast("int")).select("*", each(n_pool).alias("j"))
+    right = others.withColumn("j", F.pmod(F.xxhash64("node_id"), F.lit(n_pool)).cast("int")).select("*", each(n_positives).alias("i"))
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # new identities: both sides come from the same vectors
     kind = f"query_id {gold.schema['query_id'].dataType.simpleString()}, positive {gold.schema['node_id'].dataType.simpleString()}, node_id {gold.schema['node_id'].dataType.simpleString()}, other boolean, like double"
     met = left.groupBy("query_id", "i", "j").cogroup(right.groupBy("query_id", "i", "j")).applyInArrow(_most_alike(), kind)

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lumenfold.operators import recall
+from lumenfold.operators import mining, recall
 from lumenfold.plans import registry
 
 
@@ -14,6 +14,8 @@ from lumenfold.plans import registry
 def blocks_apart(spark, monkeypatch):
     monkeypatch.setattr(recall, "BLOCK_ROWS", 100)
     monkeypatch.setattr(recall, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(mining, "BLOCK_POSITIVES", 30)
+    monkeypatch.setattr(mining, "BLOCK_POOL", 150)
     before = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     yield
@@ -24,7 +26,7 @@ def rounded(rows):
     return Counter(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["cosine_topk_per_type", "hit_responses", "rrf_fusion", "rrf_weighted_library", "score_calibration", "score_components", "citation_prf", "per_type_recall", "ranking_metrics", "evidence_prf", "macro_summary", "micro_metrics"])
+@pytest.mark.parametrize("name", ["cosine_topk_per_type", "hit_responses", "rrf_fusion", "rrf_weighted_library", "score_calibration", "score_components", "citation_prf", "per_type_recall", "ranking_metrics", "evidence_prf", "macro_summary", "micro_metrics", "hard_negatives"])
 def test_blocks_of_rows_meet_blocks_of_queries(spark, data, blocks_apart, name):
     c = duckdb.connect()
     for p in Path(data).glob("*.parquet"):
